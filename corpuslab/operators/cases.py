@@ -33,6 +33,20 @@ def first_message(messages: Column, role: str) -> Column:
     return F.get(matching, F.lit(0))["content"]
 
 
+def from_turns(turns: DataFrame, key: str, order: str, role: str = "role", content: str = "content") -> DataFrame:
+    """Cases from a table of single turns: the first text of each role.
+
+    The first text is a minimum, taken per task before the shuffle, so a conversation of any length
+    is never gathered.
+    """
+    def first(name: str) -> Column:
+        return F.min_by(content, F.when((F.col(role) == name) & F.col(content).isNotNull(), F.col(order)))
+
+    return turns.groupBy(F.col(key).alias("case_id")).agg(
+        first("system").alias("system"), first("user").alias("prompt"), first("assistant").alias("completion")
+    )
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """Fill absent fields from the messages, defaults and empty lists; other columns pass through."""
     messages = _column(df, "messages")
