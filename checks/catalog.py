@@ -1,6 +1,12 @@
 """All queries, in the order they are listed."""
 
-from checks import case_queries  # noqa: F401
+from checks import (  # noqa: F401
+    case_queries,
+    corpus_queries,
+    evaluation_queries,
+    experiment_queries,
+    review_queries,
+)
 from checks.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
