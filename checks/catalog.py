@@ -2,6 +2,7 @@
 
 from checks import (  # noqa: F401
     case_queries,
+    code_queries,
     corpus_queries,
     evaluation_queries,
     experiment_queries,

@@ -35,7 +35,7 @@ UNION ALL SELECT t, 0 FROM (VALUES ('<|reserved_0|>'), ('<|reserved_1|>'), ('<|r
 def token_bytes(spark, folder):
     """The vocabulary is what the documents hold, and the special tokens beside it."""
     words = corpus.pretoken_counts(views.table(spark, folder, "documents")).select(F.col("pretoken").alias("token"))
-    special = words.limit(1).select(F.explode(views.strings(*corpus.SPECIAL_TOKENS)).alias("token"))
+    special = spark.range(1).select(F.explode(views.strings(*corpus.SPECIAL_TOKENS)).alias("token"))
     return corpus.token_bytes(words.unionByName(special)).withColumn("n_bytes", F.col("n_bytes").cast("bigint"))
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.functions.text import derived_prompt, source_case_id
 
@@ -25,11 +25,23 @@ PLAIN_PACKAGES = (
     "statistics", "decimal", "fractions", "copy", "PIL", "sys", "os",
 )
 
-PROFILE_SCHEMA = (
-    "syntax_ok boolean, syntax_error string, syntax_message string, scene_name string, scene_classes array<string>, "
-    "imports array<string>, local_imports array<string>"
-)
-MODULES_SCHEMA = "imports array<string>, local_imports array<string>, modules array<struct<scene:string,module:string>>"
+_NAMES = T.ArrayType(T.StringType())
+PROFILE = T.StructType([
+    T.StructField("syntax_ok", T.BooleanType()),
+    T.StructField("syntax_error", T.StringType()),
+    T.StructField("syntax_message", T.StringType()),
+    T.StructField("scene_name", T.StringType()),
+    T.StructField("scene_classes", _NAMES),
+    T.StructField("imports", _NAMES),
+    T.StructField("local_imports", _NAMES),
+])
+MODULES = T.StructType([
+    T.StructField("imports", _NAMES),
+    T.StructField("local_imports", _NAMES),
+    T.StructField("modules", T.ArrayType(T.StructType([
+        T.StructField("scene", T.StringType()), T.StructField("module", T.StringType()),
+    ]))),
+])
 
 # Top-level statements every extracted module keeps (fixed values).
 SHARED_STATEMENTS = (
@@ -100,26 +112,20 @@ def _scene_modules(code: str | None) -> tuple:
     return outside, inside, modules
 
 
-def _frame(rows: Iterable[tuple], schema: str) -> pd.DataFrame:
-    names = [part.split()[0] for part in schema.replace("struct<scene:string,module:string>", "x").split(", ")]
-    return pd.DataFrame(list(rows), columns=names)
-
-
-@F.pandas_udf(PROFILE_SCHEMA)
+@F.pandas_udf(PROFILE)
 def _profile_udf(code: pd.Series) -> pd.DataFrame:
-    return _frame((_profile(c) for c in code), PROFILE_SCHEMA)
+    return pd.DataFrame([_profile(c) for c in code], columns=PROFILE.names)
 
 
-@F.pandas_udf(MODULES_SCHEMA)
+@F.pandas_udf(MODULES)
 def _modules_udf(code: pd.Series) -> pd.DataFrame:
-    return _frame((_scene_modules(c) for c in code), MODULES_SCHEMA)
+    return pd.DataFrame([_scene_modules(c) for c in code], columns=MODULES.names)
 
 
 def profile(df: DataFrame, code: str = "code") -> DataFrame:
     """Add ``syntax_ok``, ``syntax_error``, ``syntax_message``, ``scene_name``, ``scene_classes``,
     ``imports`` and ``local_imports``."""
-    added = [part.split()[0] for part in PROFILE_SCHEMA.split(", ")]
-    kept = [c for c in df.columns if c not in added]
+    kept = [c for c in df.columns if c not in PROFILE.names]
     return df.select(*kept, _profile_udf(F.col(code)).alias("_profile")).select(*kept, "_profile.*")
 
 
