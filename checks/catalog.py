@@ -7,6 +7,8 @@ from checks import (  # noqa: F401
     evaluation_queries,
     experiment_queries,
     review_queries,
+    source_queries,
+    stream_queries,
 )
 from checks.registry import QUERIES, SQL
 

@@ -115,7 +115,10 @@ explog_v AS (
 
 def raw_results(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as per-case results; the same run and case may occur more than once."""
-    item = table(spark, folder, "lineitem")
+    return as_results(table(spark, folder, "lineitem"))
+
+
+def as_results(item: DataFrame) -> DataFrame:
     syntax_ok = F.col("l_returnflag") != "R"
     no_scene = ~syntax_ok | ((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.08))
     scene = F.when(~no_scene, F.concat(F.lit("Scene"), F.col("l_linenumber").cast("string")))
