@@ -8,6 +8,7 @@ from checks import views
 from checks.registry import query
 from corpuslab.functions import tags
 from corpuslab.operators import audit, corpus, packing
+from corpuslab.session import spread
 from corpuslab.sources import shards
 
 # The pre-token pattern for an engine without look-ahead: a mark set before the last space of a run
@@ -26,7 +27,7 @@ tokens_v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKENS}')) AS pre
 
 @query("pretoken_freq", f"WITH {PRETOKENS} SELECT pretoken, count(*) AS n_uses FROM tokens_v GROUP BY pretoken")
 def pretoken_freq(spark, folder):
-    return corpus.pretoken_counts(views.table(spark, folder, "documents"))
+    return corpus.pretoken_counts(spread(views.table(spark, folder, "documents").select("text")))
 
 
 @query("token_bytes", f"""WITH {PRETOKENS}
@@ -34,7 +35,7 @@ SELECT DISTINCT pretoken AS token, octet_length(encode(pretoken)) AS n_bytes FRO
 UNION ALL SELECT t, 0 FROM (VALUES ('<|reserved_0|>'), ('<|reserved_1|>'), ('<|reserved_2|>'), ('<|reserved_3|>')) v(t)""")
 def token_bytes(spark, folder):
     """The vocabulary is what the documents hold, and the special tokens beside it."""
-    words = corpus.pretoken_counts(views.table(spark, folder, "documents")).select(F.col("pretoken").alias("token"))
+    words = pretoken_freq(spark, folder).select(F.col("pretoken").alias("token"))
     special = spark.range(1).select(F.explode(views.strings(*corpus.SPECIAL_TOKENS)).alias("token"))
     return corpus.token_bytes(words.unionByName(special)).withColumn("n_bytes", F.col("n_bytes").cast("bigint"))
 
@@ -77,7 +78,7 @@ def shard_split(spark, folder):
 
 
 def _token_rows(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = spread(views.table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", corpus.hashed_token_ids(F.col("text"), 8192).alias("token_ids"))
 
 

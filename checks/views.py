@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.operators import cases as case_operators
 from corpuslab.operators import evaluation
+from corpuslab.session import spread
 
 SNIPPETS = {"en": ("the", "and"), "de": ("die", "und"), "fr": ("de", "le"), "es": ("de", "la")}
 MODELS = [f"line{i}" for i in range(1, 8)]
@@ -119,20 +119,31 @@ def raw_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_results(item: DataFrame) -> DataFrame:
+    return named_results(result_facts(item))
+
+
+def result_facts(item: DataFrame) -> DataFrame:
+    """What a line item says about its case, still under the table's own integer keys."""
     syntax_ok = F.col("l_returnflag") != "R"
-    no_scene = ~syntax_ok | ((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.08))
-    scene = F.when(~no_scene, F.concat(F.lit("Scene"), F.col("l_linenumber").cast("string")))
+    has_scene = syntax_ok & ~((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.08))
     return item.select(
-        F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("run_name"),
-        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("case_id"),
-        syntax_ok.alias("syntax_ok"), scene.alias("scene_name"),
-        F.when(~no_scene, F.col("l_discount") <= 0.05).alias("render_ok"),
+        "l_linenumber", "l_orderkey", syntax_ok.alias("syntax_ok"), has_scene.alias("has_scene"),
+        F.when(has_scene, F.col("l_discount") <= 0.05).alias("render_ok"),
         (F.col("l_quantity") / 50).alias("required_snippet_ratio"),
         (F.col("l_tax") <= 0.06).alias("forbidden_ok"),
         (F.col("l_tax") + F.col("l_discount")).alias("loss"),
     )
 
 
+def named_results(facts: DataFrame) -> DataFrame:
+    number = F.col("l_linenumber").cast("string")
+    return facts.select(
+        F.concat(F.lit("line"), number).alias("run_name"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("case_id"),
+        "syntax_ok", F.when(F.col("has_scene"), F.concat(F.lit("Scene"), number)).alias("scene_name"),
+        "render_ok", "required_snippet_ratio", "forbidden_ok", "loss",
+    )
+
+
 RAW_RESULTS = """
 raw_results_v AS (
   SELECT 'line' || CAST(l_linenumber AS VARCHAR) AS run_name, 'o' || CAST(l_orderkey AS VARCHAR) AS case_id,
@@ -148,11 +159,11 @@ raw_results_v AS (
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """One scored row per run and case."""
     every = lambda c: F.every(c).alias(c)
-    one_each = raw_results(spark, folder).groupBy("run_name", "case_id").agg(
-        every("syntax_ok"), F.min("scene_name").alias("scene_name"), every("render_ok"),
+    one_each = result_facts(table(spark, folder, "lineitem")).groupBy("l_linenumber", "l_orderkey").agg(
+        every("syntax_ok"), F.some("has_scene").alias("has_scene"), every("render_ok"),
         F.min("required_snippet_ratio").alias("required_snippet_ratio"), every("forbidden_ok"), F.min("loss").alias("loss"),
     )
-    return evaluation.with_score(one_each)
+    return evaluation.with_score(named_results(one_each))
 
 
 SCORE = """
@@ -187,9 +198,7 @@ RATES = ("syntax_success_rate", "render_success_rate", "mean_case_score", "test_
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     """Run summaries with a loss, rates rounded so that summation order cannot show."""
-    scored = results(spark, folder)
-    losses = scored.groupBy("run_name").agg(F.avg("loss").alias("test_loss"))
-    return rounded(evaluation.with_losses(evaluation.run_summary(scored), losses), RATES)
+    return rounded(evaluation.run_summary(results(spark, folder), extra=[F.avg("loss").alias("test_loss")]), RATES)
 
 
 def rounded(df: DataFrame, columns, places: int = 6) -> DataFrame:
@@ -200,7 +209,7 @@ def rounded(df: DataFrame, columns, places: int = 6) -> DataFrame:
 # outside package, one with two scenes and a custom library, one that does not parse, and one with a
 # local import and no scene. The whole text goes in as a comment.
 def modules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id", "lang", "source", F.concat(F.lit("# "), F.regexp_replace("text", "[\\r\\n]+", "\n# ")).alias("comment")
     )
     number = F.col("doc_id").cast("string")

@@ -1,8 +1,8 @@
 """Rewrite rules for generated code, applied as a chain of native array and regex expressions.
 
-Every stage is its own projection. Catalyst does not inline a regex or a lambda that is used more
-than once, so the chain stays linear: each stage reads the text once to rewrite it and once to see
-whether it fired.
+Every stage is its own projection over the text so far. Catalyst does not inline a regex or a lambda
+that is used more than once, so the chain stays linear. A rule names a literal that every match contains: a byte search
+for it comes first, and only texts that hold it pay for the regex.
 """
 
 from __future__ import annotations
@@ -26,31 +26,35 @@ LINE_RULES = (
     ),
 )
 
-# Rules over the whole text: (pattern, replacement, note). Fixed values, in order. The receiver of
-# get_origin() is replaced together with the call.
+# Rules over the whole text: (literal, pattern, replacement, note). Fixed values, in order. The
+# receiver of get_origin() is replaced together with the call.
 TEXT_RULES = (
-    ("\\bORANGE_[A-E]\\b", "ORANGE", "replace unsupported ORANGE shade aliases"),
-    ("\\.move_by\\(", ".shift(", "replace unsupported move_by with shift"),
-    ("\\bPipe\\(", "Line(", "replace unsupported Pipe with Line"),
-    ("layout\\s*=\\s*GraphLayout\\(([^)]+)\\)", "layout=$1", "replace GraphLayout wrapper with layout string"),
-    ("\\.plot_polar\\(", ".plot_polar_graph(", "replace plot_polar with plot_polar_graph"),
-    ("\\.get_axis_range\\(\\)", ".x_range", "replace get_axis_range() with x_range"),
-    ("(?:\\b\\w++(?:\\.\\w+)*?)?\\.get_origin\\(\\)", "ORIGIN", "replace get_origin() with ORIGIN"),
-    ("\\.axis_range\\b", ".x_range", "replace axis_range with x_range"),
-    ("\\bVectorField\\(", "ArrowVectorField(", "replace VectorField with ArrowVectorField"),
-    (",\\s*texture\\s*=\\s*ImageTexture\\([^)]*\\)", "", "remove unsupported ImageTexture usage"),
-    (",\\s*\\*\\*\\{['\"]radius['\"]:\\s*[^}]+\\}", "", "remove misplaced VGroup radius kwargs"),
+    ("ORANGE_", "\\bORANGE_[A-E]\\b", "ORANGE", "replace unsupported ORANGE shade aliases"),
+    (".move_by(", "\\.move_by\\(", ".shift(", "replace unsupported move_by with shift"),
+    ("Pipe(", "\\bPipe\\(", "Line(", "replace unsupported Pipe with Line"),
+    ("GraphLayout(", "layout\\s*=\\s*GraphLayout\\(([^)]+)\\)", "layout=$1", "replace GraphLayout wrapper with layout string"),
+    (".plot_polar(", "\\.plot_polar\\(", ".plot_polar_graph(", "replace plot_polar with plot_polar_graph"),
+    (".get_axis_range()", "\\.get_axis_range\\(\\)", ".x_range", "replace get_axis_range() with x_range"),
+    (".get_origin()", "(?:\\b\\w++(?:\\.\\w+)*?)?\\.get_origin\\(\\)", "ORIGIN", "replace get_origin() with ORIGIN"),
+    (".axis_range", "\\.axis_range\\b", ".x_range", "replace axis_range with x_range"),
+    ("VectorField(", "\\bVectorField\\(", "ArrowVectorField(", "replace VectorField with ArrowVectorField"),
+    ("ImageTexture(", ",\\s*texture\\s*=\\s*ImageTexture\\([^)]*\\)", "", "remove unsupported ImageTexture usage"),
+    ("**{", ",\\s*\\*\\*\\{['\"]radius['\"]:\\s*[^}]+\\}", "", "remove misplaced VGroup radius kwargs"),
     (
+        "MoveToTarget(",
         "MoveToTarget\\(\\s*([A-Za-z_]\\w*)\\s*,\\s*target=([^,\\n)]+)(?:,\\s*[^)]*)?\\)", "$1.animate.move_to($2)",
         "replace unsupported MoveToTarget(target=...) usage",
     ),
     (
+        "SurroundingRectangle(",
         "SurroundingRectangle\\((axes\\.c2p\\([^)]+\\)),\\s*([0-9.]+),\\s*([0-9.]+),\\s*color=([^,]+),\\s*fill_opacity=([0-9.]+)\\)",
         "Rectangle(width=$2, height=$3, color=$4, fill_opacity=$5).move_to($1)",
         "replace SurroundingRectangle point usage with Rectangle.move_to",
     ),
-    ("\\bcaption_text\\b", "phase_caption", "replace undefined caption_text reference with phase_caption"),
-    ("\\[\\s*(['\"][^'\"]+['\"])\\s*,\\s*(['\"][^'\"]+['\"])\\s*\\]", "($1, $2)", "replace string pair lists with tuples"),
+    ("caption_text", "\\bcaption_text\\b", "phase_caption", "replace undefined caption_text reference with phase_caption"),
+    (
+        "[", "\\[\\s*(['\"][^'\"]+['\"])\\s*,\\s*(['\"][^'\"]+['\"])\\s*\\]", "($1, $2)", "replace string pair lists with tuples",
+    ),
 )
 
 # Rules that need a matching render log: (log pattern, text rules). Fixed values.
@@ -58,9 +62,9 @@ REPAIR_RULES = (
     (
         "(?i)Unexpected argument .* passed to Scene\\.play\\(\\)",
         (
-            ("(\\b\\w+)\\.become\\(", "$1.animate.become(", "animate become calls after Scene.play failure"),
+            (".become(", "(\\b\\w+)\\.become\\(", "$1.animate.become(", "animate become calls after Scene.play failure"),
             (
-                "(\\b\\w+)\\.set_points_smoothly\\(", "$1.animate.set_points_smoothly(",
+                ".set_points_smoothly(", "(\\b\\w+)\\.set_points_smoothly\\(", "$1.animate.set_points_smoothly(",
                 "animate set_points_smoothly calls after Scene.play failure",
             ),
         ),
@@ -98,57 +102,67 @@ def _first_change(before: Column, after: Column) -> Column:
 def normalise_code(df: DataFrame, code: str, out: str = "normal_code", notes: str = "notes") -> DataFrame:
     """Add ``out``, the rewritten code, and ``notes``, the rules that fired.
 
-    Line rules come first and are noted by the line each first fired on, then rule order; text
-    rules follow in rule order. A null code stays null.
+    A text without any line rule's literal is not cut into lines. Line rules come first and are noted
+    by the line each first fired on, then rule order; text rules follow in rule order. A null code
+    stays null.
     """
+    staged = _text_stages(_line_stage(df, code), df.columns, TEXT_RULES)
+    kept = [c for c in df.columns if c not in (out, notes)]
+    return staged.select(*kept, F.col("_text").alias(out), F.array_distinct("_notes").alias(notes))
+
+
+def _line_stage(df: DataFrame, code: str) -> DataFrame:
+    """Add ``_text``, the code after the line rules, and ``_notes``. Each stage keeps two versions of
+    the lines at most: the one before a rule, to see where it fired, and the one after."""
+    cut = F.lit(False)
+    for needed, *_ in LINE_RULES:
+        cut = cut | F.contains(F.col(code), F.lit(needed[-1]))
     columns = df.columns
-    staged = df.withColumn("_lines0", F.split(F.col(code), LINE_END, -1))
-    for i, rule in enumerate(LINE_RULES):
-        staged = staged.withColumn(f"_lines{i + 1}", F.transform(F.col(f"_lines{i}"), _line_rewrite(rule)))
-    fired = [
-        F.struct(
-            _first_change(F.col(f"_lines{i}"), F.col(f"_lines{i + 1}")).alias("line"),
-            F.lit(i).alias("rule"), F.lit(rule[-1]).alias("note"),
+    staged = df.withColumn("_before", F.when(cut, F.split(F.col(code), LINE_END, -1)))
+    fired: list[str] = []
+    for number, rule in enumerate(LINE_RULES):
+        staged = staged.select(*columns, *fired, "_before", F.transform("_before", _line_rewrite(rule)).alias("_after"))
+        staged = staged.select(
+            *columns, *fired, _first_change(F.col("_before"), F.col("_after")).alias(f"_at{number}"), F.col("_after").alias("_before")
         )
-        for i, rule in enumerate(LINE_RULES)
-    ]
-    line_notes = F.transform(
-        F.array_sort(F.filter(F.array(*fired), lambda f: f["line"].isNotNull())), lambda f: f["note"]
-    )
-    staged = staged.select(
-        *columns, line_notes.alias("_line_notes"), F.array_join(F.col(f"_lines{len(LINE_RULES)}"), "").alias("_text0")
-    )
-    staged, text_notes = _text_stages(staged, "_text0", TEXT_RULES)
+        fired.append(f"_at{number}")
+    found = F.array(*[
+        F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("line"), F.lit(i).alias("rule"), F.lit(LINE_RULES[i][-1]).alias("note")))
+        for i, at in enumerate(fired)
+    ])
     return staged.select(
-        *[c for c in columns if c not in (out, notes)],
-        F.col(f"_text{len(TEXT_RULES)}").alias(out),
-        F.array_distinct(F.concat(F.col("_line_notes"), text_notes)).alias(notes),
+        *columns,
+        F.coalesce(F.array_join("_before", ""), F.col(code)).alias("_text"),
+        F.transform(F.array_sort(F.array_compact(found)), lambda f: f["note"]).alias("_notes"),
     )
 
 
-def _text_stages(df: DataFrame, start: str, rules, prefix: str = "_text") -> tuple[DataFrame, Column]:
-    """A column per rule holding the text after it, and the notes of the rules that matched."""
-    current, hits = start, []
-    for i, (pattern, replacement, note) in enumerate(rules):
-        hits.append(F.when(F.rlike(F.col(current), F.lit(_unicode(pattern))), F.lit(note)))
-        df = df.withColumn(f"{prefix}{i + 1}", F.regexp_replace(F.col(current), _unicode(pattern), replacement))
-        current = f"{prefix}{i + 1}"
-    return df, F.array_compact(F.array(*hits))
+def _text_stages(df: DataFrame, columns: list[str], rules) -> DataFrame:
+    """Apply text rules to ``_text`` one by one and append to ``_notes`` the note of each that matches."""
+    text = F.col("_text")
+    for literal, pattern, replacement, note in rules:
+        possible = F.contains(text, F.lit(literal))
+        matched = possible & F.rlike(text, F.lit(_unicode(pattern)))
+        df = df.select(
+            *columns,
+            F.when(possible, F.regexp_replace(text, _unicode(pattern), replacement)).otherwise(text).alias("_text"),
+            F.when(matched, F.array_append("_notes", F.lit(note))).otherwise(F.col("_notes")).alias("_notes"),
+        )
+    return df
 
 
 def repair_code(df: DataFrame, code: str, log: str, out: str = "repaired_code", notes: str = "repair_notes") -> DataFrame:
     """Add ``out``, the code after the rules its render log calls for, and the rules that fired."""
     columns = df.columns
-    staged = df.withColumn("_current", F.col(code)).withColumn("_repairs", F.array().cast("array<string>"))
-    for number, (trigger, rules) in enumerate(REPAIR_RULES):
-        prefix = f"_fix{number}_"
-        staged, hits = _text_stages(staged, "_current", rules, prefix)
-        final = F.col(f"{prefix}{len(rules)}")
-        applies = F.coalesce(F.rlike(F.col(log), F.lit(trigger)), F.lit(False)) & (final != F.col("_current"))
-        staged = staged.select(
+    none = F.array().cast("array<string>")
+    staged = df.withColumns({"_current": F.col(code), "_repairs": none})
+    for trigger, rules in REPAIR_RULES:
+        called = F.coalesce(F.rlike(F.col(log), F.lit(trigger)), F.lit(False))
+        started = staged.withColumns({"_text": F.when(called, F.col("_current")), "_notes": none})
+        staged = _text_stages(started, started.columns[:-2], rules).select(
             *columns,
-            F.when(applies, F.array_union(F.col("_repairs"), hits)).otherwise(F.col("_repairs")).alias("_repairs"),
-            F.when(applies, final).otherwise(F.col("_current")).alias("_current"),
+            F.coalesce("_text", "_current").alias("_current"),
+            F.array_union("_repairs", F.when(F.col("_text") != F.col("_current"), F.col("_notes")).otherwise(none)).alias("_repairs"),
         )
     return staged.select(
         *[c for c in columns if c not in (out, notes)], F.col("_current").alias(out), F.col("_repairs").alias(notes)

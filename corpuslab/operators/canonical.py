@@ -38,11 +38,18 @@ def rebuild(
     """The canonical rows. The gates run in this order: licences of every shard row, then
     the reject drop, then unique ids among what is left."""
     merged = union_shards(shards)
-    kept = keep_unrejected(merged, rejected)
     if strict:
-        keys.require_empty(cases.license_gaps(merged), "Missing row-level license metadata")
-        keys.require_empty(keys.duplicate_keys(kept, "case_id"), "Duplicate case_id while rebuilding canonical dataset")
-    return with_curation_tags(kept).drop("_shard", "_shard_tags")
+        facts = merged.select("case_id", cases.lacks_license().alias("unlicensed"))
+        if rejected is None:
+            facts = facts.withColumn("kept", F.lit(True))
+        else:
+            dropped = rejected.select("case_id").distinct().withColumn("_dropped", F.lit(True))
+            facts = facts.join(dropped, "case_id", "left").withColumn("kept", F.col("_dropped").isNull())
+        keys.gate(
+            facts, "case_id", {"unlicensed": "Missing row-level license metadata"},
+            repeated="Duplicate case_id while rebuilding canonical dataset",
+        )
+    return with_curation_tags(keep_unrejected(merged, rejected)).drop("_shard", "_shard_tags")
 
 
 def merge_shards(shards: Sequence[DataFrame], strict: bool = True) -> DataFrame:

@@ -79,11 +79,15 @@ def violations(df: DataFrame) -> DataFrame:
     )
 
 
+def is_usable() -> Column:
+    return F.coalesce(
+        F.col("case_id").isNotNull() & F.col("prompt").isNotNull() & blank_to_null(F.col("completion")).isNotNull(), F.lit(False)
+    )
+
+
 def usable(df: DataFrame) -> DataFrame:
     """The normalised cases that ``violations`` does not list."""
-    return df.filter(
-        F.col("case_id").isNotNull() & F.col("prompt").isNotNull() & blank_to_null(F.col("completion")).isNotNull()
-    )
+    return df.filter(is_usable())
 
 
 def tag_filter(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -93,15 +97,20 @@ def tag_filter(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str
 def prepare(
     df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), strict: bool = True, label: str = "dataset"
 ) -> DataFrame:
-    """Normalise all cases, filter by tags, then check that something is left and ids are unique."""
+    """Normalise all cases, filter by tags, and check that something is left and ids are unique.
+
+    The checks are one pass; without ``strict`` nothing runs and unusable rows are left out.
+    """
     normal = normalise(df)
-    kept = tag_filter(usable(normal), include, exclude)
     if strict:
-        keys.require_empty(violations(normal), f"Unusable cases in {label}")
-        if kept.select("case_id").isEmpty():
-            raise keys.CheckFailed(f"No dataset cases matched filter for {label}.")
-        keys.require_empty(keys.duplicate_keys(kept, "case_id"), f"Duplicate case_id values found in {label}")
-    return kept
+        wanted = is_usable() & tag_functions.matches(F.col("tags"), include, exclude)
+        keys.gate(
+            normal.select("case_id", wanted.alias("kept"), (~is_usable()).alias("unusable")), "case_id",
+            {"unusable": f"Unusable cases in {label}"},
+            repeated=f"Duplicate case_id values found in {label}",
+            empty=f"No dataset cases matched filter for {label}.",
+        )
+    return tag_filter(usable(normal), include, exclude)
 
 
 def _passthrough(df: DataFrame) -> list[Column]:
@@ -130,9 +139,13 @@ def export_records(df: DataFrame) -> DataFrame:
     return df.select(*_core(df), *_passthrough(df))
 
 
+def lacks_license() -> Column:
+    return blank_to_null(F.col("license")).isNull()
+
+
 def license_gaps(df: DataFrame) -> DataFrame:
     """Ids of cases with no row-level licence."""
-    return df.filter(blank_to_null(F.col("license")).isNull()).select(
+    return df.filter(lacks_license()).select(
         F.coalesce(F.col("case_id"), F.lit("<missing-case-id>")).alias("case_id")
     )
 

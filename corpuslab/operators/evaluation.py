@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import metrics, scoring
@@ -46,14 +46,18 @@ def with_score(df: DataFrame, weights: scoring.Weights = scoring.Weights()) -> D
     ))
 
 
-def run_summary(results: DataFrame, run: str = "run_name") -> DataFrame:
-    """One row per run. The render rate is over attempted renders only, and null when there is none."""
+def run_summary(results: DataFrame, run: str = "run_name", extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per run. The render rate is over attempted renders only, and null when there is none.
+
+    ``extra`` holds further aggregates to take in the same pass.
+    """
     rate = lambda c: F.avg(F.col(c).cast("double"))
     return results.groupBy(run).agg(
         F.count(F.lit(1)).alias("num_cases"),
         F.avg(F.coalesce(F.col("syntax_ok"), F.lit(False)).cast("double")).alias("syntax_success_rate"),
         rate("render_ok").alias("render_success_rate"),
         F.avg("weighted_score").alias("mean_case_score"),
+        *extra,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,30 @@ def require_empty(violations: DataFrame, label: str, preview: int = 10) -> None:
         raise CheckFailed(f"{label}: {shown}" + (", ..." if len(found) > preview else ""))
 
 
+def gate(facts: DataFrame, key: str, faults: Mapping[str, str], repeated: str, empty: str | None = None) -> None:
+    """Check a table in one pass over narrow facts: the key, ``kept`` and a boolean column per fault.
+
+    Raises when a fault column is true, when nothing is kept (given a message for it) or when a kept
+    key repeats, in that order. Facts are combined per key before the shuffle; the offending keys are
+    read by a second job, and only when there are any.
+    """
+    per_key = facts.groupBy(key).agg(
+        F.count_if("kept").alias("n_kept"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in faults]
+    )
+    totals = per_key.agg(
+        F.coalesce(F.sum("n_kept"), F.lit(0)).alias("n_kept"),
+        F.count_if(F.col("n_kept") > 1).alias("n_repeated"),
+        *[F.count_if(c).alias(c) for c in faults],
+    ).first()
+    for column, label in faults.items():
+        if totals[column]:
+            require_empty(per_key.filter(column).select(key), label)
+    if empty is not None and not totals["n_kept"]:
+        raise CheckFailed(empty)
+    if totals["n_repeated"]:
+        require_empty(per_key.filter(F.col("n_kept") > 1).select(key), repeated)
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys held by more than one row, with how many; counted before the shuffle, on the keys alone."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)

@@ -7,12 +7,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUFFER_DOCS = 1_000
 REFILL_DOCS = 128
+ROWS_PER_BATCH = 256
 PACKED_SCHEMA = "part int, row_no long, tokens array<int>, n_docs int, n_cropped long, complete boolean"
 
 
@@ -98,30 +99,54 @@ def pack_sequences(
     ranged = narrow.repartitionByRange(partitions, "doc_key") if partitions else narrow.repartitionByRange("doc_key")
     placed = ranged.sortWithinPartitions("doc_key").select("doc_tokens", F.spark_partition_id().alias("part"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
 
-        def documents():
+        def documents() -> Iterator[np.ndarray]:
             nonlocal part
             for batch in batches:
-                for number, ids in zip(batch["part"], batch["doc_tokens"]):
-                    part = int(number)
-                    yield np.concatenate(([bos_id], ids if ids is not None else [])).astype(np.int32)
+                if batch.num_rows:
+                    part = batch.column("part")[0].as_py()
+                yield from _token_lists(batch.column("doc_tokens"), bos_id)
 
         rows, first = [], 0
-        for ids, n_docs, n_cropped in pack_documents(documents(), capacity, buffer_docs):
-            rows.append((part, first + len(rows), ids, n_docs, n_cropped, len(ids) == capacity))
-            if len(rows) == 256:
-                yield _frame(rows)
+        for row in pack_documents(documents(), capacity, buffer_docs):
+            rows.append(row)
+            if len(rows) == ROWS_PER_BATCH:
+                yield _batch(rows, part, first, capacity)
                 first, rows = first + len(rows), []
         if rows:
-            yield _frame(rows)
-
-    return placed.mapInPandas(pack, PACKED_SCHEMA)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["part", "row_no", "tokens", "n_docs", "n_cropped", "complete"])
+            yield _batch(rows, part, first, capacity)
+
+    return placed.mapInArrow(pack, PACKED_SCHEMA)
+
+
+def _token_lists(column: pa.ListArray, bos_id: int) -> Iterator[np.ndarray]:
+    """Each document's tokens behind the start token, cut from the batch's own buffer."""
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    for begin, end in zip(offsets[:-1], offsets[1:]):
+        doc = np.empty(end - begin + 1, dtype=np.int32)
+        doc[0] = bos_id
+        doc[1:] = values[begin:end]
+        yield doc
+
+
+def _batch(rows: list[tuple], part: int, first: int, capacity: int) -> pa.RecordBatch:
+    tokens, n_docs, n_cropped = zip(*rows)
+    lengths = np.array([len(t) for t in tokens])
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(rows), part, dtype=np.int32)),
+            pa.array(np.arange(first, first + len(rows), dtype=np.int64)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens))),
+            pa.array(n_docs, pa.int32()),
+            pa.array(n_cropped, pa.int64()),
+            pa.array(lengths == capacity),
+        ],
+        names=["part", "row_no", "tokens", "n_docs", "n_cropped", "complete"],
+    )
 
 
 def packing_totals(packed: DataFrame) -> DataFrame:
