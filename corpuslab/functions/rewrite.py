@@ -1,8 +1,9 @@
-"""Rewrite rules for generated code, applied as a chain of native array and regex expressions.
+"""Rewrite rules for generated code: tables of rules, folded over the text by one native expression.
 
-Every stage is its own projection over the text so far. Catalyst does not inline a regex or a lambda
-that is used more than once, so the chain stays linear. A rule names a literal that every match contains: a byte search
-for it comes first, and only texts that hold it pay for the regex.
+The rules are array literals and a fold applies them in turn, so the text is read from its column once
+however many rules there are, and a filter on the result cannot make the plan grow. A rule names a
+literal that every match contains: a byte search for it comes first, and only texts that hold it pay for
+the regex.
 """
 
 from __future__ import annotations
@@ -79,91 +80,123 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _line_rewrite(rule):
-    needed, barred, pattern, replacement, _ = rule
+def _strings(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
-    def rewrite(line: Column) -> Column:
-        applies = F.lit(True)
-        for text in needed:
-            applies = applies & F.contains(line, F.lit(text))
-        for text in barred:
-            applies = applies & ~F.contains(line, F.lit(text))
-        return F.when(applies, F.regexp_replace(line, _unicode(pattern), replacement)).otherwise(line)
 
-    return rewrite
+def _line_rules() -> Column:
+    return F.array(*[
+        F.struct(
+            _strings(needed).alias("needed"), _strings(barred).alias("barred"), F.lit(_unicode(pattern)).alias("pattern"),
+            F.lit(replacement).alias("replacement"), F.lit(number).alias("number"), F.lit(note).alias("note"),
+        )
+        for number, (needed, barred, pattern, replacement, note) in enumerate(LINE_RULES)
+    ])
 
 
-def _first_change(before: Column, after: Column) -> Column:
-    """Index of the first element that differs; null when none does."""
-    changed = F.zip_with(before, after, lambda a, b: a != b)
-    return F.nullif(F.array_position(changed, F.lit(True)), F.lit(0).cast("bigint"))
+def _text_rules(rules) -> Column:
+    return F.array(*[
+        F.struct(
+            F.lit(literal).alias("literal"), F.lit(_unicode(pattern)).alias("pattern"),
+            F.lit(replacement).alias("replacement"), F.lit(note).alias("note"),
+        )
+        for literal, pattern, replacement, note in rules
+    ])
 
 
-def normalise_code(df: DataFrame, code: str, out: str = "normal_code", notes: str = "notes") -> DataFrame:
-    """Add ``out``, the rewritten code, and ``notes``, the rules that fired.
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _after_line_rules(code: Column) -> Column:
+    """``struct(lines, found)``: the lines, and where each rule that fired did so first."""
+    def rewritten(lines: Column, rule: Column) -> Column:
+        def one(line: Column) -> Column:
+            applies = F.forall(rule["needed"], lambda n: F.contains(line, n)) & ~F.exists(rule["barred"], lambda n: F.contains(line, n))
+            return F.when(applies, F.regexp_replace(line, rule["pattern"], rule["replacement"])).otherwise(line)
+
+        return F.transform(lines, one)
+
+    def step(so_far: Column, rule: Column) -> Column:
+        def judged(lines: Column) -> Column:
+            first = F.array_position(F.zip_with(so_far["lines"], lines, lambda a, b: a != b), F.lit(True))
+            entry = F.struct(first.alias("line"), rule["number"].alias("rule"), rule["note"].alias("note"))
+            found = F.when(first > 0, F.array_append(so_far["found"], entry)).otherwise(so_far["found"])
+            return F.struct(lines.alias("lines"), found.alias("found"))
+
+        return _bound(rewritten(so_far["lines"], rule), judged)
 
-    A text without any line rule's literal is not cut into lines. Line rules come first and are noted
-    by the line each first fired on, then rule order; text rules follow in rule order. A null code
-    stays null.
+    none = F.array().cast("array<struct<line:bigint,rule:int,note:string>>")
+    return F.aggregate(_line_rules(), F.struct(F.split(code, LINE_END, -1).alias("lines"), none.alias("found")), step)
+
+
+def _after_text_rules(text: Column, notes: Column, rules) -> Column:
+    """``struct(text, notes)``: the text, and ``notes`` with the note of each rule that matched."""
+    def step(so_far: Column, rule: Column) -> Column:
+        current = so_far["text"]
+        possible = F.contains(current, rule["literal"])
+        return F.struct(
+            F.when(possible, F.regexp_replace(current, rule["pattern"], rule["replacement"])).otherwise(current).alias("text"),
+            F.when(possible & F.rlike(current, rule["pattern"]), F.array_append(so_far["notes"], rule["note"]))
+            .otherwise(so_far["notes"]).alias("notes"),
+        )
+
+    return F.aggregate(_text_rules(rules), F.struct(text.alias("text"), notes.alias("notes")), step)
+
+
+def normalised(code: Column) -> Column:
+    """``struct(text, notes)`` of generated code; a null code stays null.
+
+    Only a text with some line rule's literal is cut into lines. Line rules come first and are noted by
+    the line each first fired on, then rule order; text rules follow in rule order.
     """
-    staged = _text_stages(_line_stage(df, code), df.columns, TEXT_RULES)
-    kept = [c for c in df.columns if c not in (out, notes)]
-    return staged.select(*kept, F.col("_text").alias(out), F.array_distinct("_notes").alias(notes))
-
-
-def _line_stage(df: DataFrame, code: str) -> DataFrame:
-    """Add ``_text``, the code after the line rules, and ``_notes``. Each stage keeps two versions of
-    the lines at most: the one before a rule, to see where it fired, and the one after."""
-    cut = F.lit(False)
-    for needed, *_ in LINE_RULES:
-        cut = cut | F.contains(F.col(code), F.lit(needed[-1]))
-    columns = df.columns
-    staged = df.withColumn("_before", F.when(cut, F.split(F.col(code), LINE_END, -1)))
-    fired: list[str] = []
-    for number, rule in enumerate(LINE_RULES):
-        staged = staged.select(*columns, *fired, "_before", F.transform("_before", _line_rewrite(rule)).alias("_after"))
-        staged = staged.select(
-            *columns, *fired, _first_change(F.col("_before"), F.col("_after")).alias(f"_at{number}"), F.col("_after").alias("_before")
+    none = F.array().cast("array<string>")
+
+    def whole(c: Column) -> Column:
+        cut = F.exists(_strings([needed[-1] for needed, *_ in LINE_RULES]), lambda n: F.contains(c, n))
+        joined = lambda s: F.struct(
+            F.array_join(s["lines"], "").alias("text"), F.transform(F.array_sort(s["found"]), lambda f: f["note"]).alias("notes")
         )
-        fired.append(f"_at{number}")
-    found = F.array(*[
-        F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("line"), F.lit(i).alias("rule"), F.lit(LINE_RULES[i][-1]).alias("note")))
-        for i, at in enumerate(fired)
-    ])
-    return staged.select(
-        *columns,
-        F.coalesce(F.array_join("_before", ""), F.col(code)).alias("_text"),
-        F.transform(F.array_sort(F.array_compact(found)), lambda f: f["note"]).alias("_notes"),
+        lined = F.when(cut, _bound(_after_line_rules(c), joined)).otherwise(F.struct(c.alias("text"), none.alias("notes")))
+        return _bound(lined, lambda s: _after_text_rules(s["text"], s["notes"], TEXT_RULES))
+
+    return _bound(code, whole)
+
+
+def normalise_code(df: DataFrame, code: str, out: str = "normal_code", notes: str = "notes") -> DataFrame:
+    """Add ``out``, the rewritten code, and ``notes``, the rules that fired."""
+    kept = [c for c in df.columns if c not in (out, notes)]
+    return df.withColumn("_normal", normalised(F.col(code))).select(
+        *kept, F.col("_normal.text").alias(out), F.array_distinct("_normal.notes").alias(notes)
     )
 
 
-def _text_stages(df: DataFrame, columns: list[str], rules) -> DataFrame:
-    """Apply text rules to ``_text`` one by one and append to ``_notes`` the note of each that matches."""
-    text = F.col("_text")
-    for literal, pattern, replacement, note in rules:
-        possible = F.contains(text, F.lit(literal))
-        matched = possible & F.rlike(text, F.lit(_unicode(pattern)))
-        df = df.select(
-            *columns,
-            F.when(possible, F.regexp_replace(text, _unicode(pattern), replacement)).otherwise(text).alias("_text"),
-            F.when(matched, F.array_append("_notes", F.lit(note))).otherwise(F.col("_notes")).alias("_notes"),
-        )
-    return df
+def _repair_step(called: Column, rules):
+    """What one trigger makes of ``struct(text, notes)``: notes count only where the text changes."""
+    none = F.array().cast("array<string>")
+
+    def step(before: Column) -> Column:
+        def judged(after: Column) -> Column:
+            notes = F.when(after["text"] != before["text"], F.array_union(before["notes"], after["notes"])).otherwise(before["notes"])
+            return F.struct(after["text"].alias("text"), notes.alias("notes"))
+
+        return F.when(called, _bound(_after_text_rules(before["text"], none, rules), judged)).otherwise(before)
+
+    return step
+
+
+def repaired(code: Column, log: Column) -> Column:
+    """``struct(text, notes)`` after the rules whose trigger the render log matches."""
+    state = F.struct(code.alias("text"), F.array().cast("array<string>").alias("notes"))
+    for trigger, rules in REPAIR_RULES:
+        state = _bound(state, _repair_step(F.coalesce(F.rlike(log, F.lit(trigger)), F.lit(False)), rules))
+    return state
 
 
 def repair_code(df: DataFrame, code: str, log: str, out: str = "repaired_code", notes: str = "repair_notes") -> DataFrame:
     """Add ``out``, the code after the rules its render log calls for, and the rules that fired."""
-    columns = df.columns
-    none = F.array().cast("array<string>")
-    staged = df.withColumns({"_current": F.col(code), "_repairs": none})
-    for trigger, rules in REPAIR_RULES:
-        called = F.coalesce(F.rlike(F.col(log), F.lit(trigger)), F.lit(False))
-        started = staged.withColumns({"_text": F.when(called, F.col("_current")), "_notes": none})
-        staged = _text_stages(started, started.columns[:-2], rules).select(
-            *columns,
-            F.coalesce("_text", "_current").alias("_current"),
-            F.array_union("_repairs", F.when(F.col("_text") != F.col("_current"), F.col("_notes")).otherwise(none)).alias("_repairs"),
-        )
-    return staged.select(
-        *[c for c in columns if c not in (out, notes)], F.col("_current").alias(out), F.col("_repairs").alias(notes)
+    kept = [c for c in df.columns if c not in (out, notes)]
+    return df.withColumn("_repaired", repaired(F.col(code), F.col(log))).select(
+        *kept, F.col("_repaired.text").alias(out), F.col("_repaired.notes").alias(notes)
     )

@@ -122,6 +122,12 @@ def _modules_udf(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_scene_modules(c) for c in code], columns=MODULES.names)
 
 
+# A filter on a profile must stay above it: pushed through, it would carry a second copy of the parser
+# into the plan. Marked this way the optimizer neither copies nor moves the two functions.
+_profile_udf = _profile_udf.asNondeterministic()
+_modules_udf = _modules_udf.asNondeterministic()
+
+
 def profile(df: DataFrame, code: str = "code") -> DataFrame:
     """Add ``syntax_ok``, ``syntax_error``, ``syntax_message``, ``scene_name``, ``scene_classes``,
     ``imports`` and ``local_imports``."""

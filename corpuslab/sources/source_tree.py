@@ -26,17 +26,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """``(path, code)`` of the ``*.py`` files below a folder, tests and package markers left out.
 
-    One row per file: the listing is distributed over tasks by size, and a file is read once.
+    One row per file: the listing is distributed over tasks by size, and a file is read once. The
+    text is kept to the last character, with line ends as Python reads them.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
     )
-    name = F.col("_metadata.file_name")
-    full = F.col("_metadata.file_path")
-    prefix = root.rstrip("/") + "/"
-    return (
-        files.filter(~F.startswith(name, F.lit("test_")) & (name != "__init__.py"))
-        .select(F.substring_index(F.url_decode(F.regexp_replace(full, "\\+", "%2B")), prefix, -1).alias("path"), F.col("value").alias("code"))
+    name = F.substring_index("path", "/", -1)
+    below = F.substring_index("path", root.rstrip("/") + "/", -1)
+    return files.filter(~F.startswith(name, F.lit("test_")) & (name != "__init__.py")).select(
+        below.alias("path"), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n").alias("code")
     )
 
 
