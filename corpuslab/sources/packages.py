@@ -6,11 +6,14 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import cases, splitting
 
+SPLITS = ("train", "valid", "test")
+EXPORT_SPLITS = ("train", "validation", "test")
+
 
 def write_manifest(spark: SparkSession, manifest: dict[str, Any], path: str) -> None:
     """A one-row JSON file."""
@@ -21,12 +24,12 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
     return json.loads(spark.read.text(path).first()["value"])
 
 
-def _counted_write(df: DataFrame, path: str, split: str) -> dict[str, int]:
-    """Write by split and count the rows of each from the files written, which hold the split in their path."""
-    df.write.mode("overwrite").partitionBy(split).json(path)
-    spark = df.sparkSession
-    written = spark.read.schema(f"case_id string, {split} string").json(path)
-    return {row[split]: row["n_rows"] for row in splitting.split_counts(written, split).collect()}
+def _counted_write(df: DataFrame, path: str, split: str, names: Sequence[str]) -> dict[str, int]:
+    """Write by split; the rows of each are counted as they are written, so nothing is read again."""
+    counts = Observation()
+    watched = df.observe(counts, *[F.count_if(F.col(split) == name).alias(name) for name in names])
+    watched.write.mode("overwrite").partitionBy(split).json(path)
+    return {name: counts.get[name] for name in names}
 
 
 def write_dataset(
@@ -35,7 +38,7 @@ def write_dataset(
 ) -> dict[str, Any]:
     """Chat records in ``<path>/records/split=<name>`` and the manifest in ``<path>/manifest``."""
     split = splitting.exact_split(cases.chat_records(prepared), spec)
-    counts = _counted_write(split, f"{path}/records", "split")
+    counts = _counted_write(split, f"{path}/records", "split", SPLITS)
     manifest = {
         "source_dataset": source,
         "source_dataset_spec": source_spec or {},
@@ -51,7 +54,7 @@ def write_dataset(
 def write_variant(spark: SparkSession, source_path: str, path: str, exclude: Sequence[str], schema) -> dict[str, Any]:
     """A dataset folder without the excluded tags in train and valid; the test split stays as it is."""
     records = spark.read.schema(schema).json(f"{source_path}/records")
-    counts = _counted_write(splitting.split_variant(records, exclude), f"{path}/records", "split")
+    counts = _counted_write(splitting.split_variant(records, exclude), f"{path}/records", "split", SPLITS)
     manifest = read_manifest(spark, f"{source_path}/manifest")
     manifest |= {"output_dir": path, "variant_exclude_tags": sorted(set(exclude)), "counts": counts}
     write_manifest(spark, manifest, f"{path}/manifest")
@@ -67,7 +70,7 @@ def write_export(
     export_records = cases.export_records(prepared)
     export_records.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/cases")
     chat = splitting.exact_split(cases.chat_records(prepared), spec)
-    counts = _counted_write(export_split_names(chat), f"{path}/chat", "split")
+    counts = _counted_write(export_split_names(chat), f"{path}/chat", "split", EXPORT_SPLITS)
     metadata = {
         "source_dataset": source,
         "counts": {"cases": sum(counts.values()), "chat": counts},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,21 +17,24 @@ PROGRESS = "run_name string, best_step long, best_loss double, stop_step long, s
 def track(evals: DataFrame, run: str = "run_name", step: str = "step", loss: str = "loss", patience: int = 3, min_delta: float = 0.01) -> DataFrame:
     """A row per run and micro-batch with where the run stands.
 
-    The rows a micro-batch brings for a run are sorted by step; a step that arrives after a later one
-    of an earlier micro-batch is taken as it comes. Missing losses are skipped.
+    The rows a micro-batch brings for a run are sorted by step, of which only step and loss are held;
+    the stream's trigger options (``maxFilesPerTrigger``) bound how many they are. A step that arrives
+    after a later one of an earlier micro-batch is taken as it comes. Missing losses are skipped.
     """
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, best_step, stale, stop_step = state.get if state.exists else (None, None, 0, None)
-        arrived = pd.concat(list(batches), ignore_index=True).dropna(subset=[loss]).sort_values(step)
-        for at, value in zip(arrived[step], arrived[loss]):
+        parts = [(b[step].to_numpy(), b[loss].to_numpy()) for b in (batch.dropna(subset=[loss]) for batch in batches)]
+        steps, losses = (np.concatenate(column) for column in zip(*parts))
+        for at in np.argsort(steps, kind="stable"):
+            value = losses[at]
             if stop_step is not None:
                 break
             if best is None or value < best - min_delta:
-                best, best_step, stale = float(value), int(at), 0
+                best, best_step, stale = float(value), int(steps[at]), 0
             else:
                 stale += 1
                 if stale >= patience:
-                    stop_step = int(at)
+                    stop_step = int(steps[at])
         state.update((best, best_step, stale, stop_step))
         yield pd.DataFrame({
             "run_name": [str(key[0])], "best_step": pd.array([best_step], dtype="Int64"), "best_loss": [best],
