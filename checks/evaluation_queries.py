@@ -79,10 +79,10 @@ def leaderboard(spark, folder):
 
 @query("case_count_consensus", f"""WITH {views.SUMMARY}
 SELECT array_to_string(list_sort(list(DISTINCT num_cases)), ',') AS case_counts,
-  CASE WHEN count(DISTINCT num_cases) = 1 THEN min(num_cases) END AS num_cases FROM summary_v""")
+  CASE WHEN count(DISTINCT num_cases) = 1 THEN min(num_cases) ELSE -1 END AS num_cases FROM summary_v""")
 def case_count_consensus(spark, folder):
     found = evaluation.case_count_consensus(views.summary(spark, folder))
-    return found.select(F.array_join(F.transform("case_counts", lambda c: c.cast("string")), ",").alias("case_counts"), "num_cases")
+    return found.select(F.array_join(F.transform("case_counts", lambda c: c.cast("string")), ",").alias("case_counts"), F.coalesce("num_cases", F.lit(-1)).alias("num_cases"))
 
 
 @query("eval_grid", f"""WITH {views.HOLDOUT}

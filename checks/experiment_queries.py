@@ -83,11 +83,11 @@ w AS (
     CASE WHEN e.loss < w.best_loss - 0.01 THEN 0 ELSE w.stale + 1 END,
     CASE WHEN e.loss >= w.best_loss - 0.01 AND w.stale + 1 >= 3 THEN e.step END
   FROM w JOIN e ON e.run_name = w.run_name AND e.n = w.n + 1 WHERE w.stop_step IS NULL)
-SELECT w.run_name, arg_max(best_step, w.n) AS best_step, arg_max(best_loss, w.n) AS best_loss, max(stop_step) AS stop_step,
+SELECT w.run_name, arg_max(best_step, w.n) AS best_step, arg_max(best_loss, w.n) AS best_loss, coalesce(max(stop_step), -1) AS stop_step,
   max(stop_step) IS NOT NULL AS stopped, (SELECT count(*) FROM events v WHERE v.user_id = w.run_name) AS n_evals
 FROM w GROUP BY w.run_name""")
 def early_stop(spark, folder):
-    return experiments.early_stop(evals(spark, folder))
+    return experiments.early_stop(evals(spark, folder)).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
 
 
 @query("ema_loss", """

@@ -60,4 +60,4 @@ def live_early_stop(spark, folder):
     )
     path = scratch_path(spark, "early-stop")
     early_stop.start(arriving, path, once=True).awaitTermination()
-    return early_stop.latest(spark, path)
+    return early_stop.latest(spark, path).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))

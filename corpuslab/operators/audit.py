@@ -117,6 +117,35 @@ def audit(df: DataFrame, canonical: DataFrame | None = None, min_tags: int = 5,
     return findings
 
 
+# Wording of each finding behind its case id, with the detail in place of {} (fixed values).
+MESSAGES = {
+    "missing_field": "missing required field {}",
+    "blank_element": "{} must be a non-empty string",
+    "case_id_form": "case_id should be lowercase snake_case",
+    "already_canonical": "duplicate case_id already in canonical dataset",
+    "syntax_error": "completion syntax error: {}",
+    "entry_scene_not_found": "entry_scene '{}' not found",
+    "missing_snippet": "missing must_contain snippet '{}'",
+    "forbidden_snippet": "contains forbidden snippet '{}'",
+    "duplicate_id": "duplicate case_id in shard",
+    "few_tags": "has only {} tags",
+    "missing_staging_tag": "missing staging tag {}",
+    "short_prompt": "prompt is short for a training sample",
+    "missing_license": "missing license",
+    "missing_import_line": "completion should use from manim import *",
+    "scene_count": "expected one intended scene class, found [{}]",
+    "duplicate_prompt": "duplicate prompt text",
+}
+
+
+def with_messages(findings: DataFrame) -> DataFrame:
+    """Add ``message``, the finding as a line to print."""
+    wording = F.create_map(*[F.lit(part) for pair in MESSAGES.items() for part in pair])
+    return findings.withColumn(
+        "message", F.concat(F.coalesce("case_id", F.lit("None")), F.lit(": "), F.replace(wording[F.col("rule")], F.lit("{}"), F.col("detail")))
+    )
+
+
 def audit_totals(findings: DataFrame) -> DataFrame:
     """Findings per severity and rule."""
     return findings.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n_findings"))

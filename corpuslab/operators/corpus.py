@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,16 @@ def char_budget(
 
     ``order`` is an integral column. The result is a filter on it: the cut is found by summing lengths
     per range of ``order`` and looking again only inside the range where the budget is crossed, so no
-    running total goes over the whole table and the driver sees at most ``BUCKETS`` sums per pass.
+    running total goes over the whole table and the driver sees at most ``BUCKETS`` sums per pass. The
+    texts are read once for that; lengths are kept while it takes.
     """
     lengths = docs.select(F.col(order).alias("o"), F.char_length(capped(F.col(text), cap)).cast("bigint").alias("n"))
     taken = docs.withColumn(text, capped(F.col(text), cap))
-    cut = _budget_cut(lengths, budget)
+    lengths = lengths.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cut = _budget_cut(lengths, budget)
+    finally:
+        lengths.unpersist()
     return taken if cut is None else taken.filter(F.col(order) <= cut)
 
 
@@ -50,7 +56,7 @@ def _budget_cut(lengths: DataFrame, budget: int) -> int | None:
         width = (high - low) // BUCKETS + 1
         within = lengths.filter(F.col("o").between(low, high))
         sums = (
-            within.groupBy(F.floor((F.col("o") - F.lit(low)) / F.lit(width)).alias("b"))
+            within.groupBy(F.expr(f"(o - ({low}L)) div {width}L").alias("b"))
             .agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("rows")).collect()
         )
         crossing = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +89,15 @@ def _starts_with(prefixes) -> Column:
 def exact_split(df: DataFrame, spec: SplitSpec = SplitSpec(), key: str = "case_id", out: str = "split") -> DataFrame:
     """Add the split of each row. The keys must be unique and not null.
 
-    The cuts are found over the key column alone. The rows themselves are not shuffled: the split is
-    a comparison with two constants, so it fuses with the scan and with whatever writes the result.
+    The cuts are found over the hashed keys alone, which are kept while that takes, so the table is read
+    once for them whatever its format. The rows themselves are not shuffled: the split is a comparison
+    with two constants, so it fuses with the scan and with whatever writes the result.
     """
-    first_valid, first_test = _cut_points(df.select(order_hash(F.col(key), spec.seed).alias("h")), spec)
+    hashes = df.select(order_hash(F.col(key), spec.seed).alias("h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first_valid, first_test = _cut_points(hashes, spec)
+    finally:
+        hashes.unpersist()
     position = order_hash(F.col(key), spec.seed)
     return df.withColumn(
         out, F.when(position < first_valid, "train").when(position < first_test, "valid").otherwise("test")

@@ -134,6 +134,9 @@ def test_audit(spark):
         ("error", "blank_element", "must_contain[0]"), ("error", "missing_field", "must_not_contain"),
     }
     assert not audit.passes(curation_plans.audit_shard(rows))
+    lines = {r["message"] for r in audit.with_messages(curation_plans.audit_shard(rows, known)).collect()}
+    assert {"twice: duplicate prompt text", "twice: entry_scene 'B' not found", "Bad-Id: has only 2 tags", "good: duplicate case_id already in canonical dataset"} <= lines
+    assert None not in lines
 
 
 def test_scoring_job(spark):

@@ -180,3 +180,8 @@ def test_training_log_patterns(spark):
     last = value(spark, metrics.last_validation_loss(F.lit("Iter 5: Val loss 2.5\nIter 10: Val loss 1.25, x")))
     assert tuple(last) == (10, 1.25)
     assert value(spark, metrics.last_validation_loss(F.lit("Iter 5: Train loss 2.5"))) is None
+
+
+def test_category_labels(spark):
+    found = [value(spark, metrics.category_label(F.lit(c))) for c in ("api_skill", "local_base", "other")]
+    assert found == ["API model + skill", "Local base", "other"]

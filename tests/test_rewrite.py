@@ -8,38 +8,38 @@ def normalised(spark, *codes):
     return {r["id"]: (r["normal_code"], r["notes"]) for r in rewrite.normalise_code(rows, "code").collect()}
 
 
-FIRST = """from manim import *
-
-class Demo(Scene):
-    def construct(self):
-        number_line = NumberLine(x_range=[0, 4, 1], x_length=8)
-        graph = Graph(["A", "B"], [("A", "B")], layout=GraphLayout("circular"))
-        curve = polar.plot_polar(lambda t: 1 + t)
-        caption = Text("x").move_by(RIGHT)
-        arrow = Pipe(LEFT, RIGHT, color=ORANGE_D)
-        panel.add_caption(caption)
-        self.play(a.become(b), run_time=2)
-        dot = Dot(run_time=1, color=RED)
+FIRST = """ruler = NumberLine(x_range=[0, 9, 3], x_length=6)
+web = Graph(["P", "Q"], [("P", "Q")], layout=GraphLayout("spring"))
+rose = plane.plot_polar(lambda a: 2)
+label = Text("hi").move_by(UP)
+link = Pipe(UP, DOWN, color=ORANGE_B)
+    frame.add_caption(label)
+self.play(p.become(q), run_time=3)
+spot = Dot(run_time=1, color=RED)
 """
-SECOND = """axes = Axes(x_range=[-1, 1], z_range=[-1, 1]); other = ThreeDAxes(z_range=[0, 1])
-marker = Dot(vector.field.get_origin())
-self.play(Indicate(caption_text))
-graph = Graph([["A", 'B']])
-mover = MoveToTarget(dot, target=shell, run_time=1)
-axes.add_labels()
-box = SurroundingRectangle(axes.c2p(1, 2), 3, 4.5, color=RED, fill_opacity=0.5)
-group = VGroup(a, **{'radius': 2})
-size = axes.get_axis_range(); other = axes.axis_range; skin = Sphere(x, texture=ImageTexture("a.png"))
+SECOND = """space = Axes(x_range=[0, 2], z_range=[0, 2]); more = ThreeDAxes(z_range=[0, 1])
+centre = Dot(field.inner.get_origin())
+self.play(Flash(caption_text))
+pairs = make([["P", 'Q']])
+step = MoveToTarget(ball, target=goal, run_time=4)
+space.add_labels()
+box = SurroundingRectangle(axes.c2p(3, 1), 2, 1.5, color=BLUE, fill_opacity=0.2)
+group = VGroup(ball, **{'radius': 2})
+size = axes.get_axis_range(); other = axes.axis_range; skin = Sphere(ball, texture=ImageTexture("a.png"))
 """
 
 
 def test_rules(spark):
     code, notes = normalised(spark, FIRST)[0]
-    assert "x_range=[0, 4, 1], length=8" in code
-    assert 'Graph(("A", "B"), [("A", "B")], layout="circular")' in code
-    assert ".plot_polar_graph(" in code and ".shift(RIGHT)" in code and "Line(LEFT, RIGHT, color=ORANGE)" in code
-    assert "add_caption" not in code
-    assert "self.play(a.animate.become(b), run_time=2)" in code
+    assert code.splitlines() == [
+        "ruler = NumberLine(x_range=[0, 9, 3], length=6)",
+        'web = Graph(("P", "Q"), [("P", "Q")], layout="spring")',
+        "rose = plane.plot_polar_graph(lambda a: 2)",
+        'label = Text("hi").shift(UP)',
+        "link = Line(UP, DOWN, color=ORANGE)",
+        "self.play(p.animate.become(q), run_time=3)",
+        "spot = Dot(run_time=1, color=RED)",
+    ]
     assert notes[:4] == [
         "replace NumberLine x_length with length", "remove unsupported add_caption calls",
         "animate become calls inside self.play", "replace unsupported ORANGE shade aliases",
@@ -48,11 +48,17 @@ def test_rules(spark):
 
 def test_more_rules(spark):
     code, notes = normalised(spark, SECOND)[0]
-    assert code.startswith("axes = ThreeDAxes(x_range=[-1, 1], z_range=[-1, 1]); other = ThreeDAxes(")
-    assert "Dot(ORIGIN)" in code and "phase_caption" in code and "Graph([(\"A\", 'B')])" in code
-    assert "dot.animate.move_to(shell)" in code and "axes.add_numbers()" in code
-    assert "Rectangle(width=3, height=4.5, color=RED, fill_opacity=0.5).move_to(axes.c2p(1, 2))" in code
-    assert "VGroup(a)" in code and "size = axes.x_range; other = axes.x_range; skin = Sphere(x)" in code
+    assert code.splitlines() == [
+        "space = ThreeDAxes(x_range=[0, 2], z_range=[0, 2]); more = ThreeDAxes(z_range=[0, 1])",
+        "centre = Dot(ORIGIN)",
+        "self.play(Flash(phase_caption))",
+        "pairs = make([(\"P\", 'Q')])",
+        "step = ball.animate.move_to(goal)",
+        "space.add_numbers()",
+        "box = Rectangle(width=2, height=1.5, color=BLUE, fill_opacity=0.2).move_to(axes.c2p(3, 1))",
+        "group = VGroup(ball)",
+        "size = axes.x_range; other = axes.x_range; skin = Sphere(ball)",
+    ]
     assert len(notes) == len(set(notes))
 
 
@@ -76,8 +82,8 @@ def test_run_time_is_kept_in_play(spark):
 
 
 def test_repair(spark):
-    code = "self.play(frontier.set_points_smoothly([LEFT]), highlight.become(Circle()), run_time=2)"
-    log = "TypeError: Unexpected argument VMobject passed to Scene.play()."
+    code = "self.play(curve.set_points_smoothly(points), ring.become(Dot()))"
+    log = "TypeError: Unexpected argument Curve passed to Scene.play()."
     rows = spark.createDataFrame([(1, code, log), (2, code, "other"), (3, code, None), (4, "x = 1", log)], "id int, code string, log string")
     found = {r["id"]: r for r in rewrite.repair_code(rows, "code", "log").collect()}
     assert found[1]["repaired_code"].count(".animate.") == 2 and len(found[1]["repair_notes"]) == 2
