@@ -157,3 +157,13 @@ def test_scoring_job(spark):
     again = evaluation_plans.repair_failed(scored)
     assert [r["repaired_code"].count(".animate") for r in again.collect()] == [2]
     assert again._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_hot_group_of_copies_is_reported_whole(spark):
+    """A third of all prompts say the same; every one of them is listed and none of the others."""
+    rows = spark.range(900).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("case_id"),
+        F.when(F.col("id") % 3 == 0, "Draw  the SAME thing ").otherwise(F.concat(F.lit("draw "), F.col("id").cast("string"))).alias("prompt"),
+    )
+    found = audit.duplicate_prompt_rows(rows)
+    assert found.count() == 300 and found.select("prompt_hash").distinct().count() == 1
