@@ -88,7 +88,7 @@ def maybe_in(ids: DataFrame, key: str = "doc_id"):
     words = (
         ids.select(F.explode(F.array(place(1, F.col(key)), place(2, F.col(key)), place(3, F.col(key)))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
     )
     filled = np.zeros(bits // 64, np.uint64)
     got = words.toArrow()
@@ -144,3 +144,18 @@ def components(edges: DataFrame) -> DataFrame:
         roots = jumped.select("node", "root")
         if not jumped.where("root <> old").limit(1).count():
             return roots
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is one of ``ids`` (distinct); other rows are filtered before the shuffle. Null matches null."""
+    keys = checkpointed(ids.select(F.col(key).alias("_id")))
+    near = maybe_in(keys, "_id")
+    return rows.where(near(F.col(key))).join(keys, F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is none of ``ids`` (distinct); what surely isn't one is never shuffled. Null matches null."""
+    keys = checkpointed(ids.select(F.col(key).alias("_id")))
+    near = maybe_in(keys, "_id")
+    far = rows.where(~near(F.col(key)))
+    return far.unionByName(rows.where(near(F.col(key))).join(keys, F.col(key).eqNullSafe(F.col("_id")), "left_anti"))

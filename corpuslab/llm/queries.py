@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, language_id
+from corpuslab.llm import common, exact_dedup, language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +26,18 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", common.held_out(F.col("doc_id")).alias("held_out"),
         F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"),
     )
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.find_copies(common.table(spark, folder, "documents"))
+
+
+SQL["op3_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY body)
+"""
