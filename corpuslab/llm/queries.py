@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, exact_dedup, language_id
+from corpuslab.llm import common, exact_dedup, language_id, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,8 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY body)
 """
+
+
+@query
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.find_classes(common.table(spark, folder, "documents").select("doc_id", "text"))
