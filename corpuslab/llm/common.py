@@ -130,19 +130,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes the smallest root among its neighbours' and then its root's root, until
     nothing changes. Minima are combined before each shuffle; a hub's rows are split by adaptive execution.
     """
-    edges = edges.select("a", "b").where("a <> b").distinct()
-    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    there = edges.select("a", "b").where("a <> b")
+    both = checkpointed(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root"))
-    roots = checkpointed(roots)
     while True:
-        near = (
-            both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
+        near = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         taken = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = checkpointed(taken.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         roots = jumped.select("node", "root")
-        if not jumped.where("root <> old").limit(1).count():
+        if jumped.where("root <> old").isEmpty():
             return roots
 
 

@@ -216,39 +216,52 @@ def _verifier(settings: Settings):
     return verify
 
 
-def _leaders(members: DataFrame, roots: DataFrame | None, width: int) -> DataFrame:
-    """(key, leader, leader_root) of the first ``width`` classes in each bucket that still holds several."""
-    classes = members.groupBy("key", "root").agg(F.min("rep").alias("leader"))
-    if width == 1 and roots is None:
-        return members.groupBy("key").agg(F.min("rep").alias("leader")).withColumn("leader_root", F.col("leader"))
+def _leaders(placed: DataFrame, width: int) -> DataFrame:
+    """(key, leader, leader_root) of the first ``width`` classes in each bucket that holds several."""
+    if width == 1:
+        return placed.groupBy("key").agg(F.min("rep").alias("leader")).withColumn("leader_root", F.col("leader"))
+    classes = placed.groupBy("key", "root").agg(F.min("rep").alias("leader"))
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     ranked = classes.join(several, "key", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("leader")))
     return ranked.where(F.col("_rank") <= width).select("key", "leader", F.col("root").alias("leader_root"))
 
 
+def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """``roots`` after the classes that ``joined`` (node, root) names by their roots have become one."""
+    if roots is None:
+        return joined
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+    fresh = joined.join(roots, "node", "left_anti")
+    return checkpointed(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(fresh.select("node", "root")))
+
+
 def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFrame | None:
-    """(node, root) of the distinct texts that have a near duplicate."""
-    verify, roots, done, links, width = _verifier(settings), None, None, None, 1
+    """(node, root) of the distinct texts that have a near duplicate, or None.
+
+    The first round compares all members of a bucket with its smallest. Later rounds look at buckets that still
+    hold several classes and compare members with the leaders of other classes, more of them each round, until
+    no pair is left that was not compared.
+    """
+    verify, roots, done, width = _verifier(settings), None, None, 1
     while True:
         if roots is None:
             placed = members.withColumn("root", F.col("rep"))
         else:
             placed = members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        leaders = _leaders(placed, roots, width)
-        pairs = placed.join(leaders, "key").where("root <> leader_root").select(F.col("rep").alias("b"), F.col("leader").alias("a")).distinct()
+        both = placed.join(_leaders(placed, width), "key").where("root <> leader_root")
+        pairs = both.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader_root").alias("a_root"), F.col("root").alias("b_root")).distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             return roots
         sides = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words")), "b").join(
             words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words")), "a"
         )
-        found = sides.where(verify("a_words", "b_words")).select("a", "b")
-        links = checkpointed(found if links is None else links.unionByName(found))
+        found = sides.where(verify("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        roots = _merged(roots, common.components(found))
         done = pairs if done is None else done.unionByName(pairs)
-        roots = common.components(links)
-        width *= 4
+        width *= 64
 
 
 def find_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
