@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, exact_dedup, language_id, near_dedup
+from corpuslab.llm import common, decontamination, exact_dedup, language_id, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,8 @@ FROM n WINDOW g AS (PARTITION BY body)
 @query
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.find_classes(common.table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
