@@ -3,8 +3,8 @@
 A text's k-mers are its runs of five words, labelled with their occurrence number, so that repeats count. A sketch
 takes the ``minima`` k-mers of least hash and keeps them in the order in which the text has them: two texts agree on
 a sketch when they share these k-mers in the same order. ``rows`` sketches make a band; texts that agree on a band
-are candidates. In each band's bucket the members are compared with leaders only, one from each class found so far,
-never with one another, so a bucket of thousands of copies costs one comparison each. A candidate pair is verified
+are candidates. In each band's bucket the members are compared with leaders of other classes, a few in a large bucket
+and all in a small one, so a bucket of thousands of copies costs a few comparisons each. A candidate pair is verified
 on the whole word sequences: the k-mers in common, repeats counted, over those in either must reach ``similarity``,
 and an alignment inside a band around the diagonal must keep the share ``aligned`` of the words in order.
 
@@ -22,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuslab.llm import common
 from corpuslab.llm.words import mixed, words_of
 from corpuslab.session import checkpointed
 
 _M = np.uint64(0x9FB21C651E98DF25)
+# Buckets of at most SMALL texts are compared completely; in larger ones members meet one leader in the first turn
+# and two in each later one, so comparisons grow with the members. A text has ``bands`` buckets.
+SMALL = 16
+TURNS = 3
 
 
 @dataclass(frozen=True)
@@ -216,14 +219,15 @@ def _verifier(settings: Settings):
     return verify
 
 
-def _leaders(placed: DataFrame, width: int) -> DataFrame:
-    """(key, leader, leader_root) of the first ``width`` classes in each bucket that holds several."""
-    if width == 1:
+def _leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """(key, leader, leader_root): the smallest member of each bucket, and in later turns, of the buckets that still
+    hold several classes, two members drawn by a hash, or all of at most SMALL."""
+    if turn == 1:
         return placed.groupBy("key").agg(F.min("rep").alias("leader")).withColumn("leader_root", F.col("leader"))
-    classes = placed.groupBy("key", "root").agg(F.min("rep").alias("leader"))
-    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    ranked = classes.join(several, "key", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("leader")))
-    return ranked.where(F.col("_rank") <= width).select("key", "leader", F.col("root").alias("leader_root"))
+    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(2 * turn + i)), F.col("rep").alias("leader"), F.col("root").alias("leader_root"))) for i in (0, 1)]
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *[d.alias(f"d{i}") for i, d in enumerate(drawn)]).where("low <> high")
+    few = placed.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root"))
+    return open_.where(F.col("n") > SMALL).select("key", F.explode(F.array("d0", "d1")).alias("d")).select("key", "d.leader", "d.leader_root").unionByName(few)
 
 
 def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
@@ -238,18 +242,22 @@ def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
 def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFrame | None:
     """(node, root) of the distinct texts that have a near duplicate, or None.
 
-    The first round compares all members of a bucket with its smallest. Later rounds look at buckets that still
-    hold several classes and compare members with the leaders of other classes, more of them each round, until
-    no pair is left that was not compared.
+    Members are compared with leaders of other classes: first each bucket's smallest, then, for TURNS - 1 turns or
+    until no pair is new, others. A bucket of at most SMALL members is compared completely.
     """
-    verify, roots, done, width = _verifier(settings), None, None, 1
-    while True:
+    verify, roots, done = _verifier(settings), None, None
+    for turn in range(1, TURNS + 1):
         if roots is None:
             placed = members.withColumn("root", F.col("rep"))
         else:
-            placed = members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        both = placed.join(_leaders(placed, width), "key").where("root <> leader_root")
-        pairs = both.select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader_root").alias("a_root"), F.col("root").alias("b_root")).distinct()
+            placed = checkpointed(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
+        both = placed.join(_leaders(placed, turn), "key").where("root <> leader_root")
+        first = F.col("leader") < F.col("rep")
+        pairs = both.select(
+            F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"),
+            F.when(first, F.col("leader_root")).otherwise(F.col("root")).alias("a_root"),
+            F.when(first, F.col("root")).otherwise(F.col("leader_root")).alias("b_root"),
+        ).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
@@ -261,7 +269,7 @@ def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFram
         found = sides.where(verify("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         roots = _merged(roots, common.components(found))
         done = pairs if done is None else done.unionByName(pairs)
-        width *= 64
+    return roots
 
 
 def find_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
