@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, language_id, near_dedup
+from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows, domains = mixing.mixed(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+    shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
+    return rows.select("doc_id", "source", "tokens", *shares, "rate", "copies")
