@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup
+from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,15 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows, domains = mixing.mixed(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
     return rows.select("doc_id", "source", "tokens", *shares, "rate", "copies")
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    known = ~common.held_out(F.col("doc_id"))
+    model = toxicity.learn(docs.where(known), labels.where(known))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", common.held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity.score").alias("score"),
+        (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.spans").alias("spans"),
+    )
