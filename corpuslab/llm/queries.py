@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, toxicity
+from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", common.held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity.score").alias("score"),
         (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.spans").alias("spans"),
     )
+
+
+@query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.learn(docs)).select("doc_id", "_secrets.*")
