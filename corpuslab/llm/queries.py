@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, toxicity
+from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, mixing, near_dedup, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,19 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
     return secrets.scan(docs, secrets.learn(docs)).select("doc_id", "_secrets.*")
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.learn(pages))
+    return found.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
