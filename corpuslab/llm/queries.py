@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, mixing, near_dedup, secrets, toxicity, url_filter
+from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,32 @@ def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = common.table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_extract.extract(pages, html_extract.learn(pages))
     return found.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeats(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+SQL["op1_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+starts AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM l),
+w AS (
+  SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS body FROM starts
+),
+ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS turn
+  FROM w WHERE body <> chr(10) || chr(10)
+),
+gone AS (SELECT DISTINCT doc_id, pos + k AS i FROM ranked, (SELECT unnest([0, 1, 2]) AS k) s WHERE turn > 1),
+each AS (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM l),
+kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS body FROM each e
+  LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.doc_id
+),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(lost.n, 0) AS n_removed,
+       CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(kept.body, '') END AS text
+FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id LEFT JOIN lost ON l.doc_id = lost.doc_id
+"""
