@@ -50,9 +50,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     out = np.zeros(n, np.uint64)
     end = np.repeat(first[1:], np.diff(first))
     for j in range(size):
-        inside = np.arange(n - j) + j < end[: n - j]
         out = out * _M
-        out[: n - j] += np.where(inside, hashes[j:], np.uint64(0))
+        if j < n:
+            inside = np.arange(n - j) + j < end[: n - j]
+            out[: n - j] += np.where(inside, hashes[j:], np.uint64(0))
     counts = np.diff(first)
     start = np.repeat(first[:-1], counts)
     keep = (np.arange(n) + size <= end) | (np.arange(n) == start)
