@@ -8,7 +8,6 @@ from checks import views
 from checks.registry import query
 from corpuslab.functions import tags
 from corpuslab.operators import audit, corpus, packing
-from corpuslab.session import spread
 from corpuslab.sources import shards
 
 # The pre-token pattern for an engine without look-ahead: a mark set before the last space of a run
@@ -27,7 +26,7 @@ tokens_v AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKENS}')) AS pre
 
 @query("pretoken_freq", f"WITH {PRETOKENS} SELECT pretoken, count(*) AS n_uses FROM tokens_v GROUP BY pretoken")
 def pretoken_freq(spark, folder):
-    return corpus.pretoken_counts(spread(views.table(spark, folder, "documents").select("text")))
+    return corpus.pretoken_counts(views.table(spark, folder, "documents").select("text"))
 
 
 @query("token_bytes", f"""WITH {PRETOKENS}
@@ -59,8 +58,8 @@ SELECT doc_id, CAST(n AS INTEGER) AS n_chars_taken FROM r WHERE before < CAST(fl
 def char_budget(spark, folder):
     """A budget of three fifths of the table's own characters."""
     docs = views.table(spark, folder, "documents").select("doc_id", "text")
-    total = docs.agg(F.sum(F.char_length(corpus.capped(F.col("text"), corpus.DOC_CAP)))).first()[0]
-    taken = corpus.char_budget(docs, "doc_id", budget=int(total * 0.6))
+    total = docs.agg(F.sum(F.char_length(corpus.capped(F.col("text"), 10_000)))).first()[0]
+    taken = corpus.char_budget(docs, "doc_id", budget=int(total * 0.6), cap=10_000)
     return taken.select("doc_id", F.char_length("text").alias("n_chars_taken"))
 
 
@@ -78,7 +77,7 @@ def shard_split(spark, folder):
 
 
 def _token_rows(spark, folder):
-    docs = spread(views.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = views.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", corpus.hashed_token_ids(F.col("text"), 8192).alias("token_ids"))
 
 

@@ -90,13 +90,21 @@ def early_stop(spark, folder):
     return experiments.early_stop(evals(spark, folder)).withColumn("stop_step", F.coalesce("stop_step", F.lit(-1)))
 
 
+BETAS = (0.4, 0.9, 0.99)
+
+
 @query("ema_loss", """
-WITH e AS (SELECT user_id AS run_name, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)
-SELECT a.run_name, a.step, a.n AS step_no, round(sum(0.1::DOUBLE * pow(0.9, a.n - b.n) * b.loss) / (1 - pow(0.9, a.n + 1)), 6) AS smooth_loss
-FROM e a JOIN e b ON a.run_name = b.run_name AND b.n <= a.n AND b.n >= a.n - 400 GROUP BY a.run_name, a.step, a.n""")
+WITH e AS (SELECT user_id AS run_name, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+b AS (SELECT unnest([0.4, 0.9, 0.99]::DOUBLE[]) AS beta)
+SELECT beta, a.run_name, a.step, a.n AS step_no, round(sum((1 - beta) * pow(beta, a.n - h.n) * h.loss) / (1 - pow(beta, a.n + 1)), 6) AS smooth_loss
+FROM b, e a JOIN e h ON a.run_name = h.run_name AND h.n <= a.n GROUP BY beta, a.run_name, a.step, a.n""")
 def ema_loss(spark, folder):
-    smooth = experiments.smoothed_loss(evals(spark, folder).select("run_name", "step", "loss"))
-    return views.rounded(smooth.select("run_name", "step", "step_no", "smooth_loss"), ["smooth_loss"])
+    steps = evals(spark, folder).select("run_name", "step", "loss")
+    rows = None
+    for beta in BETAS:
+        smooth = experiments.smoothed_loss(steps, beta=beta).select(F.lit(beta).alias("beta"), "run_name", "step", "step_no", "smooth_loss")
+        rows = smooth if rows is None else rows.unionByName(smooth)
+    return views.rounded(rows, ["smooth_loss"])
 
 
 @query("training_telemetry", """
@@ -108,8 +116,5 @@ FROM e GROUP BY run_name""")
 def training_telemetry(spark, folder):
     numbered = experiments.smoothed_loss(evals(spark, folder))
     steps = experiments.step_telemetry(numbered, "seconds", 524288, 6e9)
-    extremes = steps.groupBy("run_name").agg(
-        F.min("tok_per_sec").alias("slowest"), F.round(F.max("mfu_pct"), 6).alias("best_mfu")
-    )
-    totals = experiments.training_time(steps, "run_name", "seconds")
-    return views.rounded(totals, ["training_seconds"]).join(extremes, "run_name")
+    extremes = [F.min("tok_per_sec").alias("slowest"), F.round(F.max("mfu_pct"), 6).alias("best_mfu")]
+    return views.rounded(experiments.training_time(steps, "run_name", "seconds", extremes), ["training_seconds"])

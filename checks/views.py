@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import evaluation
-from corpuslab.session import spread
 
 SNIPPETS = {"en": ("the", "and"), "de": ("die", "und"), "fr": ("de", "le"), "es": ("de", "la")}
 MODELS = [f"line{i}" for i in range(1, 8)]
@@ -209,7 +208,7 @@ def rounded(df: DataFrame, columns, places: int = 6) -> DataFrame:
 # outside package, one with two scenes and a custom library, one that does not parse, and one with a
 # local import and no scene. The whole text goes in as a comment.
 def modules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")).select(
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text").select(
         "doc_id", "lang", "source", F.concat(F.lit("# "), F.regexp_replace("text", "[\\r\\n]+", "\n# ")).alias("comment")
     )
     number = F.col("doc_id").cast("string")

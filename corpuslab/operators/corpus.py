@@ -15,8 +15,6 @@ PRETOKEN_PATTERN = (
 )
 # Special tokens (fixed values); the first one starts every document.
 SPECIAL_TOKENS = ("<|reserved_0|>", "<|reserved_1|>", "<|reserved_2|>", "<|reserved_3|>")
-DOC_CAP = 10_000
-CHAR_BUDGET = 1_000_000_000
 
 BUCKETS = 4_096
 SMALL_BUCKET = 50_000
@@ -27,16 +25,18 @@ def capped(text: Column, cap: int | None) -> Column:
 
 
 def char_budget(
-    docs: DataFrame, order: str, text: str = "text", budget: int = CHAR_BUDGET, cap: int | None = DOC_CAP
+    docs: DataFrame, order: str, budget: int, text: str = "text", cap: int | None = None
 ) -> DataFrame:
     """Documents in order until their running length reaches the budget; the crossing one is included.
 
+    ``cap``, if given, cuts each text to that many characters. A null text has length 0.
+
     ``order`` is an integral column. The result is a filter on it: the cut is found by summing lengths
     per range of ``order`` and looking again only inside the range where the budget is crossed, so no
     running total goes over the whole table and the driver sees at most ``BUCKETS`` sums per pass. The
     texts are read once for that; lengths are kept while it takes.
     """
-    lengths = docs.select(F.col(order).alias("o"), F.char_length(capped(F.col(text), cap)).cast("bigint").alias("n"))
+    lengths = docs.select(F.col(order).alias("o"), F.coalesce(F.char_length(capped(F.col(text), cap)), F.lit(0)).cast("bigint").alias("n"))
     taken = docs.withColumn(text, capped(F.col(text), cap))
     lengths = lengths.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -6,18 +6,22 @@ campaign and gives the order, ``metric`` (lower is better), ``status`` and ``des
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.operators import ordered
+from corpuslab.session import checkpointed
 
 KEPT, DISCARDED, CRASHED = "KEEP", "DISCARD", "CRASH"
 REGION_MARGIN = 0.0005
 EMA_BETA = 0.9
-EMA_CHUNK = 512
+# Rows that one task smooths in a go; the state is carried exactly from one such chunk to the next.
+EMA_CHUNK = 65_536
 EXPLODED_LOSS = 100.0
 WARMUP_STEPS = 10
 
@@ -92,9 +96,6 @@ def near_baseline(log: DataFrame, margin: float = REGION_MARGIN) -> DataFrame:
 
 # --- early stopping -------------------------------------------------------------------------
 
-EARLY_STOP_SCHEMA = "best_step long, best_loss double, stop_step_no long, stopped boolean"
-
-
 def early_stop(
     evals: DataFrame, run: str = "run_name", step: str = "step", loss: str = "loss", patience: int = 3, min_delta: float = 0.01
 ) -> DataFrame:
@@ -156,21 +157,48 @@ def smoothed_loss(
 ) -> DataFrame:
     """Add ``step_no`` (from 0) and ``smooth_loss``, the bias-corrected moving average.
 
-    A loss ``EMA_CHUNK`` steps back weighs ``beta ** EMA_CHUNK`` (4e-24 at 0.9), below what a double
-    can hold beside the others. So each chunk of that many steps needs only the chunk before it: a row
-    is sent to its own chunk and, as history, to the next one, and no task holds more than two chunks.
+    Each chunk of consecutive steps is smoothed from zero and summarised by its length and last value. Summaries
+    give the state that each chunk starts from, ``state * beta ** length + last``, and a step's value is that of
+    its chunk plus the decayed state: exact for any beta between 0 and 1 and any number of steps. A NaN loss
+    stays in the average; a null one counts as 0.
     """
-    numbered = ordered.prefixed(steps, [run], step, {"_no": ("ordinal", None)}).withColumn("_no", F.col("_no") - 1)
-    own = F.floor(F.col("_no") / F.lit(EMA_CHUNK))
-    placed = numbered.withColumn("_chunk", F.explode(F.array(own, own + 1))).withColumn("_is_own", F.col("_chunk") == own)
-    since = (F.col("_no") - (F.col("_chunk") - 1) * EMA_CHUNK).cast("double")
-    inside = Window.partitionBy(run, "_chunk").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.sum(F.lit(1 - beta) * F.col(loss) * F.pow(F.lit(beta), -since)).over(inside)
-    biased = grown * F.pow(F.lit(beta), since)
-    debiased = biased / (F.lit(1.0) - F.pow(F.lit(beta), (F.col("_no") + 1).cast("double")))
-    return placed.withColumn("_smooth", debiased).filter("_is_own").select(
-        *steps.columns, F.col("_no").alias("step_no"), F.col("_smooth").alias("smooth_loss")
+    numbered = ordered.prefixed(steps, [run], step, {"_no": ("ordinal", None)}).withColumns(
+        {"_chunk": F.floor((F.col("_no") - 1) / F.lit(EMA_CHUNK)), "_at": F.pmod(F.col("_no") - 1, F.lit(EMA_CHUNK))}
     )
+    schema = T.StructType([*numbered.schema.fields, T.StructField("_part", T.DoubleType())])
+    parts = checkpointed(numbered.groupBy(run, "_chunk").applyInArrow(_smoothed_from_zero(loss, beta), schema))
+    summary = parts.groupBy(run, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_part", "_at").alias("_last"))
+    key_type = steps.schema[run].dataType.simpleString()
+    states = summary.groupBy(run).applyInArrow(_chunk_states(run, beta), f"_run {key_type}, _of long, _state double")
+    joined = parts.join(states, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_chunk") == F.col("_of")))
+    smooth = F.col("_part") + F.col("_state") * F.pow(F.lit(beta), F.col("_at") + 1)
+    debiased = smooth / (F.lit(1.0) - F.pow(F.lit(beta), F.col("_no").cast("double")))
+    return joined.select(*steps.columns, (F.col("_no") - 1).alias("step_no"), debiased.alias("smooth_loss"))
+
+
+def _smoothed_from_zero(loss: str, beta: float):
+    def smooth(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        losses = rows[loss].combine_chunks()
+        state, out = 0.0, []
+        for x in losses.fill_null(0.0).to_pylist():
+            state = beta * state + (1 - beta) * x
+            out.append(state)
+        return rows.append_column("_part", pa.array(out, pa.float64()))
+
+    return smooth
+
+
+def _chunk_states(run: str, beta: float):
+    def states(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_chunk")
+        state, out = 0.0, []
+        for n, last in zip(rows["_n"].to_pylist(), rows["_last"].to_pylist(), strict=True):
+            out.append(state)
+            state = state * beta**n + last
+        return pa.table({"_run": rows[run], "_of": rows["_chunk"], "_state": pa.array(out, pa.float64())})
+
+    return states
 
 
 def step_telemetry(
@@ -185,10 +213,11 @@ def step_telemetry(
     })
 
 
-def training_time(numbered: DataFrame, run: str, seconds: str) -> DataFrame:
-    """Per run: steps, whether any failed and seconds spent after the warm-up steps."""
+def training_time(numbered: DataFrame, run: str, seconds: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Per run: steps, how many failed, seconds spent after the warm-up steps, and ``more`` aggregates of the same pass."""
     return numbered.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.coalesce(F.sum(F.when(F.col("step_no") > WARMUP_STEPS, F.col(seconds))), F.lit(0.0)).alias("training_seconds"),
         F.count_if("failed").alias("n_failed"),
+        *more,
     )

@@ -1,8 +1,9 @@
 """Order-dependent operators that never need one task to hold a whole key.
 
 A plain window sends every row of a key to one task, so a key with a third of all rows is one
-task's work. Here the order column cuts each key into chunks of bounded size; chunks are summarised
-before any shuffle, the summaries are carried forward, and the window runs inside a chunk.
+task's work. Here rows are range-partitioned by key and order, which splits a hot key over many
+partitions; a chunk is what a partition holds of a key. Chunks are summarised, at most one summary
+for each partition is carried forward, and the window runs inside a chunk.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import checkpointed
 
-CHUNK = 65_536
-
-
 def _carry(kind: str, frame) -> Column:
     if kind == "ordinal":
         return F.sum("_n").over(frame)
@@ -26,9 +24,9 @@ def _carry(kind: str, frame) -> Column:
 
 
 def prefixed(
-    df: DataFrame, keys: Sequence[str], order: str, outputs: Mapping[str, tuple[str, str | None]], width: int = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, outputs: Mapping[str, tuple[str, str | None]], partitions: int | None = None
 ) -> DataFrame:
-    """Add prefix columns over each key's rows in the order of an integral, per-key unique column.
+    """Add prefix columns over each key's rows in the order of a sortable, per-key unique column.
 
     ``outputs`` maps a new column to ``(kind, value column)``:
 
@@ -37,10 +35,13 @@ def prefixed(
     * ``min_before``: minimum of the earlier rows;
     * ``previous``: value of the row before.
 
-    A chunk spans ``width`` consecutive values of ``order``, so it holds at most ``width`` rows.
+    Ranges hold about equally many rows, however the values of ``order`` lie; the rows are checkpointed,
+    so both uses see the same ranges. Callers pass narrow rows.
     """
     keys = list(keys)
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
+    by = [*[F.col(k) for k in keys], F.col(order)]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    chunked = checkpointed(ranged.withColumn("_chunk", F.spark_partition_id()))
     value_of = {kind: value for kind, value in outputs.values()}
     if len(value_of) != len(outputs):
         raise ValueError("each kind of prefix may be asked for once")
@@ -52,7 +53,7 @@ def prefixed(
         "previous": lambda v: F.max_by(v, order).alias("_previous"),
     }
     summary = chunked.groupBy(*keys, "_chunk").agg(
-        *[partial[kind](value) for kind, value in value_of.items()], F.count(F.lit(1)).alias("_rows")
+        *[partial[kind](value) for kind, value in value_of.items()], F.count(F.lit(1)).alias("_rows"),
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
@@ -107,21 +108,15 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
     return (
         ranged.withColumn("_local", F.row_number().over(inside))
-        .join(F.broadcast(offsets), condition, "left")
+        .join(offsets, condition, "left")
         .select(*df.columns, (F.col("_local").cast("bigint") + F.coalesce("_offset", F.lit(0))).alias(out))
     )
 
 
-# Largest slice taken with a top-k plan, which brings offset + limit rows to one task.
-TOP_K_ROWS = 10_000
-
-
 def row_slice(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in the given order; a limit of 0 means all the rest."""
     if offset == 0 and limit == 0:
         return df
-    if limit and offset + limit <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
     numbered = ranked(df, [], order, "_position")
     wanted = F.col("_position") > offset
     if limit:

@@ -54,20 +54,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-# Input below this many bytes per core is too small for its files to occupy the cores.
-SMALL_SHARE = 32 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hand a small input to as many tasks as there are cores, ahead of work that is heavy per row.
-
-    The size is the optimizer's own estimate, so nothing runs to find it. Larger inputs have splits
-    enough and are left as they are: no shuffle is added at scale.
-    """
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df

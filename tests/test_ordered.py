@@ -21,7 +21,7 @@ def series(spark):
     return rows, spark.createDataFrame(rows, "k string, o long, v double").repartition(6)
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, ordered.CHUNK])
+@pytest.mark.parametrize("width", [1, 3, 40, None])
 def test_prefixes_equal_a_walk(series, width):
     rows, df = series
     found = ordered.prefixed(
@@ -48,10 +48,8 @@ def test_ranks_equal_a_sort(series):
 
 
 @pytest.mark.parametrize("offset, limit", [(0, 0), (5, 10), (100, 0), (400, 100), (1000, 5)])
-@pytest.mark.parametrize("top_k", [0, ordered.TOP_K_ROWS])
-def test_slices(series, monkeypatch, offset, limit, top_k):
+def test_slices(series, offset, limit):
     rows, df = series
-    monkeypatch.setattr(ordered, "TOP_K_ROWS", top_k)
     found = ordered.row_slice(df, [F.col("k"), F.col("o")], offset, limit).collect()
     wanted = sorted(rows)[offset:]
     assert sorted(tuple(r) for r in found) == (wanted[:limit] if limit else wanted)
@@ -135,3 +133,34 @@ def test_char_budget_equals_a_walk(spark, monkeypatch, buckets, small, budget):
         if total >= budget:
             break
     assert found == expected
+
+
+@pytest.mark.parametrize("chunk", [3, 64, 65_536])
+@pytest.mark.parametrize("beta", [0.4, 0.9, 0.999])
+def test_averages_of_any_length_are_the_recurrence(spark, monkeypatch, chunk, beta):
+    monkeypatch.setattr(experiments, "EMA_CHUNK", chunk)
+    maker = random.Random(7)
+    losses = [maker.uniform(0, 10) for _ in range(300)]
+    rows = [("hot", 70_000 * i, x) for i, x in enumerate(losses)] + [("nan", 1, 1.0), ("nan", 2, float("nan")), ("nan", 3, 1.0), ("null", 1, None), ("null", 2, 2.0)]
+    got = {}
+    for r in experiments.smoothed_loss(spark.createDataFrame(rows, "run_name string, step long, loss double"), beta=beta).collect():
+        got[r["run_name"], r["step"]] = r["smooth_loss"]
+    state = 0.0
+    for i, x in enumerate(losses):
+        state = beta * state + (1 - beta) * x
+        assert got["hot", 70_000 * i] == pytest.approx(state / (1 - beta ** (i + 1)), rel=1e-9)
+    assert got["nan", 2] != got["nan", 2] and got["nan", 3] != got["nan", 3] and got["null", 1] == 0.0
+
+
+def test_a_hot_key_with_sparse_order_is_cut_by_rows(spark):
+    rows = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * 70_000).alias("o"), (-F.col("id")).alias("v"))
+    found = ordered.prefixed(rows, ["k"], "o", {"n": ("ordinal", None), "m": ("min", "v")}, 8)
+    assert found.where("n <> o / 70000 + 1 or m <> v").count() == 0
+    chunks = rows.repartitionByRange(8, "k", "o").groupBy(F.spark_partition_id()).count().collect()
+    assert len(chunks) == 8 and max(r["count"] for r in chunks) < 5_000
+
+
+def test_a_budget_over_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, None), (3, "abc")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus.char_budget(docs, "doc_id", 2).orderBy("doc_id").collect()] == [1, 2, 3]
+    assert corpus.char_budget(docs.where("text is null"), "doc_id", 2).count() == 2
