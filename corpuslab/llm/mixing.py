@@ -94,7 +94,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[
     domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
     marked = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", domain.alias("_domain")).dropDuplicates(["doc_id"])
     marked = common.bounded_sample(marked, F.col("_domain"), "doc_id", F.lit(1), settings.rows, settings.rows)
-    known = common.only(docs.select("doc_id", "text"), marked.select("doc_id").distinct()).join(marked, "doc_id")
+    # At most ``rows`` ids of each domain.
+    known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     sample = checkpointed(common.bounded_sample(known, F.col("_domain"), "doc_id", F.octet_length(common.text_of()), settings.rows, settings.bytes))
     domains = sorted(r["_domain"] for r in sample.select("_domain").distinct().collect())
     if len(domains) < 2:
