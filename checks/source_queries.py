@@ -95,11 +95,14 @@ def payload_report(spark, folder):
         F.when(F.col("run_name") == "line2", "no summary").alias("error"),
         F.when(F.col("run_name") != "line2", F.struct("num_cases", "syntax_success_rate", "render_success_rate", "mean_case_score", "test_loss")).alias("summary"),
     )
-    documents = summary.select(F.to_json(body).alias("value"), F.col("run_name").alias("run"))
-    documents.repartition("run").write.partitionBy("run").option("lineSep", "\n").text(path)
-    found = spark.read.schema(schemas.EVAL_PAYLOAD).option("recursiveFileLookup", True).json(path).withColumn("path", F.col("run_name"))
-    entries = summary.select(F.col("run_name").alias("name"), F.lit("api").alias("category"), F.col("run_name").alias("path")).unionByName(
-        spark.range(1).select(F.lit("gone").alias("name"), F.lit("api").alias("category"), F.lit("gone").alias("path"))
+    documents = summary.select(body.alias("b"), F.col("run_name").alias("run")).select("b.*", "run")
+    documents.repartition("run").write.partitionBy("run").json(path)
+    found = payloads.read_payloads(spark, path)
+    # Entries name the written files by their plain paths.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    entries = files.select(F.regexp_extract("path", "run=([^/]+)/", 1).alias("name"), F.lit("api").alias("category"), plain.alias("path")).unionByName(
+        spark.range(1).select(F.lit("gone").alias("name"), F.lit("api").alias("category"), F.lit(f"{path}/gone.json").alias("path"))
     )
     board, errors, _ = evaluation_plans.benchmark_report(entries, found)
     return board.select("name", F.lit(None).cast("string").alias("error"), "mean_case_score", "rank").unionByName(

@@ -32,14 +32,37 @@ def category_label(c: Column) -> Column:
 def half_even(value: Column, places: int) -> Column:
     """``value`` as text with ``places`` decimals, its exact binary value rounded half to even.
 
-    ``format_string`` rounds the shortest decimal half up, which differs on values such as 0.0625.
+    A double below 2**53 / 10**places is split exactly: whole part, then the fraction times 10**places as a product
+    and its rounding error (found with Dekker's split of the factors). Where the product lies on a half, the error
+    says on which side the exact value is. Larger values hold no such fraction or go through a decimal; those
+    beyond the decimal are shown as doubles.
     """
-    return F.bround(value.cast("decimal(38,18)"), places).cast(f"decimal(38,{places})").cast("string")
+    scale = float(10**places)
+    size = F.abs(value)
+    whole = F.floor(size).cast("double")
+    fraction = size - whole
+    product = fraction * F.lit(scale)
+    high = (fraction * F.lit(134217729.0)) - ((fraction * F.lit(134217729.0)) - fraction)
+    low = fraction - high
+    error = (high * F.lit(scale) - product) + low * F.lit(scale)
+    base = F.floor(product).cast("double")
+    rest = product - base
+    odd = (base % 2) == 1
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    # A product that rounded up to a whole number belongs just below it, where the half is far away.
+    digits = base + F.when(up, 1.0).otherwise(0.0)
+    total = whole.cast("decimal(20,0)") * F.lit(10**places).cast("decimal(10,0)") + digits.cast("decimal(20,0)")
+    text = F.lpad(total.cast("decimal(38,0)").cast("string"), F.greatest(F.length(total.cast("decimal(38,0)").cast("string")), F.lit(places + 1)), "0")
+    shown = F.concat(F.left(text, F.length(text) - places), F.lit("."), F.right(text, F.lit(places)))
+    negative = (value < 0) | (F.signum(value) < 0) | (value.cast("string") == "-0.0")
+    signed = F.when(negative, F.concat(F.lit("-"), shown)).otherwise(shown)
+    large = F.coalesce(value.try_cast(f"decimal(38,{places})").cast("string"), value.cast("string"))
+    return F.when(size < F.lit(2.0**53 / scale), signed).otherwise(large)
 
 
 def metric_text(value: Column) -> Column:
     """Whole numbers without a point, anything else with six decimals."""
-    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(half_even(value, 6))
+    return F.when(value == F.floor(value), F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string"))).otherwise(half_even(value, 6))
 
 
 def report_text(value: Column) -> Column:
@@ -47,12 +70,23 @@ def report_text(value: Column) -> Column:
     return F.coalesce(half_even(value, 3), F.lit("n/a"))
 
 
+# A decimal number as accepted: digits with single underscores between them, a point, an exponent; or a special value.
+_DIGITS = "[0-9](?:_?[0-9])*"
+NUMBER_FORM = f"(?i)^[+-]?(?:(?:{_DIGITS}[.]?(?:{_DIGITS})?|[.]{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+
+
+def number(text: Column) -> Column:
+    """The double that a text spells, white space around it allowed; null for any other text."""
+    bare = strip(text)
+    return F.when(bare.rlike(NUMBER_FORM), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def parse_assignment(c: Column) -> Column:
     """``struct(name, value, problem)`` of one ``name=value`` text; ``problem`` is null when it is well formed."""
     pieces = F.split(c, "=", 2)
     name = strip(F.get(pieces, F.lit(0)))
     raw = F.get(pieces, F.lit(1))
-    value = strip(raw).try_cast("double")
+    value = number(raw)
     problem = (
         F.when(~F.contains(c, F.lit("=")), F.lit("missing ="))
         .when(name == "", F.lit("blank name"))

@@ -36,7 +36,7 @@ TEXT_RULES = (
     ("GraphLayout(", "layout\\s*=\\s*GraphLayout\\(([^)]+)\\)", "layout=$1", "replace GraphLayout wrapper with layout string"),
     (".plot_polar(", "\\.plot_polar\\(", ".plot_polar_graph(", "replace plot_polar with plot_polar_graph"),
     (".get_axis_range()", "\\.get_axis_range\\(\\)", ".x_range", "replace get_axis_range() with x_range"),
-    (".get_origin()", "(?:\\b\\w++(?:\\.\\w+)*?)?\\.get_origin\\(\\)", "ORIGIN", "replace get_origin() with ORIGIN"),
+    (".get_origin()", "(?:\\b\\w++(?:\\.\\w+|\\([^()]*\\)|\\[[^\\[\\]]*\\])*?)?\\.get_origin\\(\\)", "ORIGIN", "replace get_origin() with ORIGIN"),
     (".axis_range", "\\.axis_range\\b", ".x_range", "replace axis_range with x_range"),
     ("VectorField(", "\\bVectorField\\(", "ArrowVectorField(", "replace VectorField with ArrowVectorField"),
     ("ImageTexture(", ",\\s*texture\\s*=\\s*ImageTexture\\([^)]*\\)", "", "remove unsupported ImageTexture usage"),

@@ -105,9 +105,9 @@ def _scene_modules(code: str | None) -> tuple:
     head = [ast.Expr(ast.Constant(docstring))] if docstring else []
     kept = [node for node in tree.body if isinstance(node, SHARED_STATEMENTS)]
     modules = []
-    for name in dict.fromkeys(node.name for node in tree.body if _is_scene(node)):
-        body = head + [node for node in kept if not _is_scene(node) or node.name == name]
-        modules.append({"scene": name, "module": ast.unparse(ast.Module(body, [])).rstrip() + "\n"})
+    for scene in (node for node in tree.body if _is_scene(node)):
+        body = head + [node for node in kept if not _is_scene(node) or node is scene]
+        modules.append({"scene": scene.name, "module": ast.unparse(ast.Module(body, [])).rstrip() + "\n"})
     outside, inside = _imports(tree) if scenes else ([], [])
     return outside, inside, modules
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.functions import metrics
 from corpuslab.operators import ordered
 from corpuslab.session import checkpointed
 
@@ -32,7 +33,7 @@ def clean_log(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     for name in ("metric", "memory_gb"):
         if kinds.get(name) == "string":
-            cleaned[name] = F.col(name).try_cast("double")
+            cleaned[name] = metrics.number(F.col(name))
     return df.withColumns(cleaned)
 
 

@@ -26,8 +26,8 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     strings = spark.read.option("sep", "\t").option("header", True).csv(path)
     return strings.select(
         "commit",
-        F.col("val_bpb").try_cast("double").alias("val_bpb"),
-        F.col("memory_gb").try_cast("double").alias("memory_gb"),
+        metrics.number(F.col("val_bpb")).alias("val_bpb"),
+        metrics.number(F.col("memory_gb")).alias("memory_gb"),
         F.upper(F.trim("status")).alias("status"),
         "description",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab import schemas
@@ -13,22 +13,31 @@ MISSING = "artifact missing"
 NO_SUMMARY = "no summary payload"
 
 
+def plain_path(path: Column, base: str | None = None) -> Column:
+    """One form for ``file:/x``, ``file:///x`` and ``/x``; a relative path is taken from ``base``."""
+    bare = F.regexp_replace(path, "^file:(//)?(?=/)", "")
+    if base is None:
+        return bare
+    return F.when(bare.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), bare).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), bare))
+
+
 def read_payloads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """All payloads below the paths, each with its ``path``."""
     return (
         spark.read.schema(schemas.EVAL_PAYLOAD).option("multiLine", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json").json(path if isinstance(path, str) else list(path))
-        .withColumn("path", F.col("_metadata.file_path"))
+        .withColumn("path", plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
     )
 
 
-def report_entries(entries: DataFrame, payloads: DataFrame) -> DataFrame:
+def report_entries(entries: DataFrame, payloads: DataFrame, base: str | None = None) -> DataFrame:
     """Listed runs with their summary, or with the ``error`` that keeps them out of the ranking.
 
-    ``entries`` holds name, category and path; a path without a payload is an error row, not a failure.
+    ``entries`` holds name, category and path (relative to ``base``, if given); a path without a payload is an
+    error row, not a failure.
     """
-    found = payloads.select("path", F.lit(True).alias("_found"), "summary", F.col("error").alias("_error"))
-    joined = entries.join(found, "path", "left")
+    found = payloads.select(plain_path(F.col("path"), base).alias("_path"), F.lit(True).alias("_found"), "summary", F.col("error").alias("_error"))
+    joined = entries.join(found, plain_path(F.col("path"), base) == F.col("_path"), "left")
     error = F.when(F.col("_found").isNull(), MISSING).when(
         F.col("summary").isNull(), F.coalesce("_error", F.lit(NO_SUMMARY))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslab.operators.review import PAIR_VERDICTS, SAMPLE_DECISIONS
+from corpuslab.session import checkpointed
 
 MISSING_ID, REPEATED, UNKNOWN, INVALID = "missing_id", "already_rated", "unknown_item", "invalid_answer"
 
@@ -31,18 +32,22 @@ def route(
     valid = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
     known = items.select("review_id").distinct().withColumn("_known", F.lit(True))
     before = earlier.select("review_id").distinct().withColumn("_before", F.lit(True))
+    # Equal arrivals are told apart by their rows' contents; rows that are equal throughout, by a number. The rows
+    # are checkpointed, so that both uses see the same numbers.
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in ratings.columns])))
+    numbered = checkpointed(ratings.withColumn("_turn", F.struct(F.col(arrival), content, F.monotonically_increasing_id())))
     facts = (
-        ratings.groupBy("review_id").agg(F.min(F.when(valid, F.col(arrival))).alias("_first"))
+        numbered.groupBy("review_id").agg(F.min(F.when(valid, F.col("_turn"))).alias("_first"))
         .join(known, "review_id", "left").join(before, "review_id", "left")
     )
     reason = (
         F.when(F.col("review_id").isNull(), MISSING_ID)
         .when(F.col("_before"), REPEATED)
         .when(F.col("_known").isNull(), UNKNOWN)
-        .when(F.col(arrival) > F.col("_first"), REPEATED)
+        .when(F.col("_turn") > F.col("_first"), REPEATED)
         .when(~valid, INVALID)
     )
-    routed = ratings.join(facts, "review_id", "left").withColumn("reason", reason)
+    routed = numbered.join(facts, "review_id", "left").withColumn("reason", reason)
     return (
         routed.filter(F.col("reason").isNull()).select(*ratings.columns),
         routed.filter(F.col("reason").isNotNull()).select(*ratings.columns, "reason"),

@@ -185,3 +185,21 @@ def test_training_log_patterns(spark):
 def test_category_labels(spark):
     found = [value(spark, metrics.category_label(F.lit(c))) for c in ("api_skill", "local_base", "other")]
     assert found == ["API model + skill", "Local base", "other"]
+
+
+def test_decimals_are_those_of_the_exact_binary_value(spark):
+    import random
+
+    maker = random.Random(4)
+    values = [0.0005, 0.0025, 0.0625, 0.0015, 1.0005, 2.5, 0.5, 1e-9, 999.9995, 123456.0005, -0.0005, -0.0625, -0.0001, 0.9999999, 1e15 + 0.5, 3.5e15, 1e21, -1e21]
+    values += [maker.uniform(-10, 10) for _ in range(300)] + [round(maker.uniform(0, 100), 4) for _ in range(300)] + [maker.randrange(1 << 20) / 1024 for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows.select("v", metrics.half_even(F.col("v"), 3).alias("three"), metrics.half_even(F.col("v"), 6).alias("six")).collect()
+    wrong = [(r["v"], r["three"], f"{r['v']:.3f}") for r in got if r["three"] != f"{r['v']:.3f}"] + [(r["v"], r["six"]) for r in got if r["six"] != f"{r['v']:.6f}"]
+    assert wrong == []
+    assert rows.select(metrics.report_text(F.lit(1e300))).first()[0] == "1.0E300"
+
+
+@pytest.mark.parametrize("text, value", [("a=1d", None), ("a=0x1p3", None), ("a=1_000", 1000.0), ("a=1__0", None), ("a=_1", None), ("a= .5 ", 0.5), ("a=1.", 1.0), ("a=1e-3", 0.001), ("a=Infinity", float("inf")), ("a=1f", None), ("a=+2", 2.0)])
+def test_numbers_follow_the_accepted_grammar(spark, text, value):
+    assert spark.range(1).select(metrics.parse_assignment(F.lit(text)).alias("p")).first()["p"]["value"] == value

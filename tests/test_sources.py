@@ -158,3 +158,14 @@ def test_metric_projection(spark):
     long = evaluation.finite_metrics(rows)
     assert {r["metric"]: r["value"] for r in long.collect()} == {"mean_case_score": 1.0, "num_cases": 3.0}
     assert [r["metric"] for r in evaluation.missing_metrics(long, rows, ["mean_case_score", "test_loss"]).collect()] == ["test_loss"]
+
+
+def test_payloads_are_found_by_their_plain_paths(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name, body in [("a b/x+1.json", '{"run_name": "x", "summary": {"num_cases": 3}}'), ("y.json", '{"run_name": "y"}')]:
+        (tmp_path / name).write_text(body)
+    table = payloads.read_payloads(spark, str(tmp_path))
+    listed = [("x", f"{tmp_path}/a b/x+1.json"), ("uri", f"file://{tmp_path}/a b/x+1.json"), ("relative", "a b/x+1.json"), ("y", f"{tmp_path}/y.json"), ("gone", f"{tmp_path}/z.json")]
+    entries = spark.createDataFrame([(n, "api", p) for n, p in listed], "name string, category string, path string")
+    got = {r["name"]: (r["num_cases"], r["error"]) for r in payloads.report_entries(entries, table, str(tmp_path)).collect()}
+    assert got == {"x": (3, None), "uri": (3, None), "relative": (3, None), "y": (None, payloads.NO_SUMMARY), "gone": (None, payloads.MISSING)}
