@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import metrics, scoring
+from corpuslab.operators import ordered
 
 # Metrics of a run summary that reports look at (fixed values, fixed order).
 SUMMARY_METRICS = (
@@ -74,22 +75,17 @@ def loss_metrics(logs: DataFrame, run: str = "run_name", text: str = "log") -> D
 
 
 def leaderboard(summary: DataFrame, tie_break: str = "run_name", error: str | None = None) -> DataFrame:
-    """Runs ranked by score, render rate and syntax rate, best first; ties by ``tie_break``.
-
-    One row per evaluated run comes in, so the unpartitioned window holds the run table, not cases.
-    """
+    """Runs ranked by score, render rate and syntax rate, best first; ties by ``tie_break``."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     completed = summary if error is None else summary.filter(F.col(error).isNull())
-    best_first = Window.orderBy(
-        zero("mean_case_score").desc(), zero("render_success_rate").desc(), zero("syntax_success_rate").desc(), F.col(tie_break)
-    )
-    return completed.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
+    best_first = [zero("mean_case_score").desc(), zero("render_success_rate").desc(), zero("syntax_success_rate").desc(), F.col(tie_break)]
+    return ordered.ranked(completed, [], best_first)
 
 
 def case_count_consensus(summary: DataFrame) -> DataFrame:
     """Distinct case counts of the completed runs, and the count itself when they agree."""
-    counts = F.sort_array(F.collect_set("num_cases"))
-    return summary.agg(counts.alias("case_counts")).select(
+    distinct = summary.select("num_cases").where(F.col("num_cases").isNotNull()).distinct()
+    return distinct.agg(F.sort_array(F.collect_list("num_cases")).alias("case_counts")).select(
         "case_counts", F.when(F.size("case_counts") == 1, F.get("case_counts", F.lit(0))).alias("num_cases")
     )
 

@@ -15,11 +15,21 @@ SAMPLE_DECISIONS = ("promote", "reject", "skip")
 RENDERS_FAILED = "one_or_more_renders_failed"
 
 
-def paired_runs(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cases both runs hold, with each side's columns prefixed ``left_`` and ``right_``."""
+def paired_runs(
+    left: DataFrame, right: DataFrame, columns: Sequence[str], limit: int | None = None, required: bool = False
+) -> DataFrame:
+    """Cases both runs hold, with each side's columns prefixed ``left_`` and ``right_``.
+
+    ``limit`` takes the first cases by id; with ``required`` two runs that share no case are an error.
+    """
     l = left.select("case_id", *[F.col(c).alias(f"left_{c}") for c in columns])
     r = right.select("case_id", *[F.col(c).alias(f"right_{c}") for c in columns])
-    return l.join(r, "case_id")
+    pairs = l.join(r, "case_id")
+    if required:
+        shared = l.select("case_id").join(r.select("case_id"), "case_id", "left_semi")
+        if shared.isEmpty():
+            raise keys.CheckFailed("The two runs share no case.")
+    return pairs if limit is None else ordered.row_slice(pairs, [F.col("case_id")], 0, limit)
 
 
 def resolved_labels(

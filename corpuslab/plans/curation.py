@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,16 @@ def audit_shard(candidates: DataFrame, known: DataFrame | None = None, min_tags:
     return audit.audit(profiled, known, min_tags, profiled=True)
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ids of the records below a path, or None where nothing was written yet."""
+    try:
+        return spark.read.schema("case_id string").json(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def apply_review(
     spark: SparkSession, dataset_path: str, ratings: DataFrame, new_path: str,
     log_path: str, archive_path: str, review_path: str = "",
@@ -40,10 +51,14 @@ def apply_review(
 ) -> dict[str, Any]:
     """Apply decisions: the dataset without rejects goes to ``new_path``; log and archive are appended to.
 
+    What was applied and archived before is read from those two, where they exist, unless tables are given.
+
     The archive and the log are written before the new dataset version, so a job that dies half way
     leaves the old version in place and nothing lost.
     """
     dataset = records.read_cases(spark, dataset_path)
+    log = _written(spark, log_path) if log is None else log
+    archive = _written(spark, archive_path) if archive is None else archive
     applied = curation.apply_decisions(dataset, ratings, log, archive, review_path)
     records.write_records(applied.archived, archive_path, mode="append")
     records.write_records(applied.log_entries, log_path, mode="append")
@@ -56,8 +71,12 @@ def promote_candidates(
     spark: SparkSession, candidates_path: str, ratings: DataFrame, promoted_path: str, remaining_path: str,
     promoted: DataFrame | None = None,
 ) -> dict[str, Any]:
-    """Append approved candidates to the promoted set and write what is left of the shard."""
+    """Append approved candidates to the promoted set and write what is left of the shard.
+
+    Ids that the promoted set holds already are refused; it is read from its path unless a table is given.
+    """
     candidates = records.read_cases(spark, candidates_path)
+    promoted = _written(spark, promoted_path) if promoted is None else promoted
     result = curation.promote(candidates, ratings, promoted)
     records.write_records(result.promoted, promoted_path, mode="append")
     records.write_records(result.remaining, remaining_path)
