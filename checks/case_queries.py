@@ -41,10 +41,7 @@ SELECT case_id,
 FROM turns_v GROUP BY case_id""")
 def normalize_chat(spark, folder):
     normal = cases.normalise(cases.from_turns(views.turns(spark, folder), "case_id", "turn"))
-    bad = cases.violations(normal).select("case_id").distinct().withColumn("_bad", F.lit(True))
-    return normal.join(bad, "case_id", "left").select(
-        "case_id", "system", "prompt", "completion", F.col("_bad").isNull().alias("usable")
-    )
+    return normal.select("case_id", "system", "prompt", "completion", cases.is_usable().alias("usable"))
 
 
 @query("tag_filter", f"""WITH {views.CASES}
@@ -243,13 +240,13 @@ def slugs(spark, folder):
 
 
 @query("extract_code", """
-SELECT doc_id, CASE lang WHEN 'en' THEN trim(text, chr(10) || chr(13) || chr(9) || ' ') WHEN 'de' THEN 'x = 1' ELSE 'y = 2' END AS code FROM documents""")
+SELECT doc_id, trim(text, chr(10) || chr(13) || chr(9) || ' ') AS code FROM documents""")
 def extract_code(spark, folder):
-    """English texts have no fence and come back whole; the others hold one before or after the text."""
+    """English texts have no fence; German ones stand in a fence with a language and before another, the rest in one that text follows."""
     response = (
         F.when(F.col("lang") == "en", F.col("text"))
-        .when(F.col("lang") == "de", F.concat("text", F.lit("\n```python\nx = 1\n```\n```\nlater\n```")))
-        .otherwise(F.concat(F.lit("``` \n y = 2 \n\n```"), "text"))
+        .when(F.col("lang") == "de", F.concat(F.lit("before\n```python\n"), "text", F.lit("\n```\n```\nlater\n```")))
+        .otherwise(F.concat(F.lit("``` \n "), "text", F.lit(" \n\n```"), "text"))
     )
     return views.table(spark, folder, "documents").select("doc_id", text.extract_code(response).alias("code"))
 
@@ -266,9 +263,10 @@ def compose_prompt(spark, folder):
 
 
 @query("harden_prompt", f"""WITH {views.TURNS}
-SELECT case_id, turn, rtrim(content, chr(10) || chr(13) || chr(9) || ' ') || '{text.HARDENING_SUFFIX.replace("'", "''")}' AS hardened FROM turns_v WHERE role = 'system'""")
+SELECT case_id, turn, rtrim(content, chr(10) || chr(13) || chr(9) || ' ') || '{text.HARDENING_SUFFIX.replace("'", "''")}' AS hardened FROM turns_v""")
 def harden_prompt(spark, folder):
-    rows = views.turns(spark, folder).filter(F.col("role") == "system")
+    """Every turn, null ones too, each hardened twice."""
+    rows = views.turns(spark, folder)
     return rows.select("case_id", "turn", text.harden_prompt(text.harden_prompt(F.col("content"))).alias("hardened"))
 
 
