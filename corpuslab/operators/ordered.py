@@ -114,11 +114,11 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
 
 
 def row_slice(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in the given order; a limit of 0 means all the rest."""
+    """Rows ``offset`` to ``offset + limit`` in the given order; a limit of 0 means all the rest. They come out sorted."""
     if offset == 0 and limit == 0:
         return df
     numbered = ranked(df, [], order, "_position")
     wanted = F.col("_position") > offset
     if limit:
         wanted = wanted & (F.col("_position") <= offset + limit)
-    return numbered.filter(wanted).drop("_position")
+    return numbered.filter(wanted).orderBy("_position").drop("_position")

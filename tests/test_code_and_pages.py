@@ -167,3 +167,9 @@ def test_a_hot_group_of_copies_is_reported_whole(spark):
     )
     found = audit.duplicate_prompt_rows(rows)
     assert found.count() == 300 and found.select("prompt_hash").distinct().count() == 1
+
+
+def test_repeated_scene_names_both_come_out(spark):
+    twice = "class A(Scene):\n    x = 1\n\nclass A(Scene):\n    x = 2\n"
+    rows = code.scene_cases(files(spark, twice)).collect()
+    assert len(rows) == 2 and len({r["completion"] for r in rows}) == 2

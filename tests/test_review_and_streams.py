@@ -185,3 +185,13 @@ def test_all_rendered_and_leaderboard(spark):
                                     "run_name string, mean_case_score double, render_success_rate double, syntax_success_rate double, error string")
     assert [r["run_name"] for r in evaluation.leaderboard(summary, error="error").orderBy("rank").collect()] == ["b", "a", "c"]
     assert evaluation.run_summary(rows).filter("run_name = 'm2'").first()["render_success_rate"] == 1.0
+
+
+def test_one_of_several_ratings_with_equal_arrival_wins(spark):
+    rows = [("i1", "A", 5), ("i1", "B", 5), ("i1", "B", 5), ("i2", "nope", 1), ("i2", "A", 2), (None, "A", 1), ("i9", "A", 1)]
+    batch = spark.createDataFrame(rows, "review_id string, verdict string, arrival long").repartition(3)
+    items = spark.createDataFrame([("i1",), ("i2",)], "review_id string")
+    accepted, refused = ratings.route(batch, items, batch.limit(0), "arrival")
+    assert sorted(r["review_id"] for r in accepted.collect()) == ["i1", "i2"] and refused.count() == 5
+    winners = {accepted.where("review_id = 'i1'").first()["verdict"] for accepted, _ in [ratings.route(batch.repartition(n), items, batch.limit(0), "arrival") for n in (1, 4)]}
+    assert len(winners) == 1

@@ -89,3 +89,8 @@ def test_repair(spark):
     assert found[1]["repaired_code"].count(".animate.") == 2 and len(found[1]["repair_notes"]) == 2
     for untouched in (2, 3, 4):
         assert found[untouched]["repaired_code"] == found[untouched]["code"] and found[untouched]["repair_notes"] == []
+
+
+def test_receivers_of_get_origin_may_end_in_calls_and_indexes(spark):
+    found = normalised(spark, "a = f(x)[0].get_origin()", "b = g(x).get_origin()", "c = rows[i].axes.get_origin()", "d = .get_origin()")
+    assert [found[i][0] for i in range(4)] == ["a = ORIGIN", "b = ORIGIN", "c = ORIGIN", "d = ORIGIN"]
