@@ -27,6 +27,8 @@ UNDETERMINED = "und"
 _NODES = "lang string, depth int, gram long, seen long"
 # The posterior is taken as if at most so many bytes had been read: long texts would all score 1.
 EVIDENCE_BYTES = 100
+# Bytes scored at a time, whatever the length of a text.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -82,9 +84,18 @@ class Model:
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text under each language."""
-        grams = _grams(folded(data), offsets, self.order)
-        out = np.zeros((len(data), len(self.languages)), np.float32)
-        left = np.arange(len(data))
+        low, out = folded(data), np.zeros((len(offsets) - 1, len(self.languages)))
+        for begin in range(0, len(low), BLOCK):
+            head, end = max(0, begin - self.order), min(begin + BLOCK, len(low))
+            # Contexts are right from ``begin`` on: a start that clipping moves to ``head`` spoils only the bytes before.
+            bits = self._bits_of_bytes(low[head:end], np.clip(offsets, head, end) - head)[begin - head :]
+            out += sums_by_text(bits, np.clip(offsets, begin, end) - begin)
+        return out
+
+    def _bits_of_bytes(self, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        grams = _grams(low, offsets, self.order)
+        out = np.zeros((len(low), len(self.languages)), np.float32)
+        left = np.arange(len(low))
         for k in range(self.order, -1, -1):
             g = grams[k] if k == self.order else grams[k][left]
             row = self.grams[k].find(g)
@@ -98,7 +109,7 @@ class Model:
             out[left[known]] += self.escapes[k][context[known]]
         if len(left):
             out[left] += 8.0
-        return sums_by_text(out, offsets)
+        return out
 
 
 def _tables(nodes: pd.DataFrame, settings: Settings) -> Model:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import common
-from corpuslab.llm.words import HashIndex, range_hashes, words_of
+from corpuslab.llm.words import HashIndex, piecewise_hashes, words_of
 
 PREFIXES = (4, 5, 6)
 # Chains are walked in blocks of so many tokens, all blocks at once.
@@ -50,7 +50,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out[:, 0] = hashes
     for i, n in enumerate(PREFIXES):
         long = ends - starts >= n
-        out[long, i + 1] = range_hashes(low, starts[long], starts[long] + n, salt=n) if len(low) < 1 << 24 else 0
+        out[long, i + 1] = piecewise_hashes(low, starts[long], starts[long] + n, salt=n)
     return out, starts, ends, first
 
 

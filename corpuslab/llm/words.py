@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-# Longer texts are cut into pieces at a byte that belongs to no word, if there is one.
+# Words are hashed so many bytes at a time.
 PIECE = 1 << 22
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -76,22 +76,23 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: i
     return mixed((total[ends] - total[starts]) * _power("down", _INVERSE, n + 1)[starts])
 
 
+def piecewise_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """range_hashes of sorted ranges, a PIECE of the bytes at a time, which bounds the memory of very long texts."""
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+        hashes[at:to] = range_hashes(data[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base, salt)
+        at = to
+    return hashes
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, starts, ends, hashes, first word of each text and the number of words at the end)."""
     low = folded(data)
     is_word = _word_bytes(low)
     starts, ends = _ranges(is_word, offsets)
-    if len(data) <= PIECE:
-        hashes = range_hashes(low, starts, ends)
-    else:
-        hashes = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
-            base = starts[at]
-            hashes[at:to] = range_hashes(low[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base)
-            at = to
-    return low, starts, ends, hashes, np.searchsorted(starts, offsets)
+    return low, starts, ends, piecewise_hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 class HashIndex:

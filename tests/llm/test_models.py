@@ -28,7 +28,7 @@ def frame(spark, rows, schema):
 # Language
 
 
-def test_code_lengths_are_those_of_the_escape_recursion(spark):
+def test_code_lengths_are_those_of_the_escape_recursion(spark, monkeypatch):
     rng = random.Random(1)
     settings = language_id.Settings(order=2, least=1)
     rows = [(i, prose(rng, lang, 20), lang) for i, lang in enumerate(["aa", "zz"] * 6)]
@@ -51,12 +51,14 @@ def test_code_lengths_are_those_of_the_escape_recursion(spark):
         return -np.log2(q / (n + q)) + (bits(lang, context[1:], b) if context else 8.0)
 
     texts = ["babe xoxu qqq", prose(rng, "aa", 9), "", "é?"]
-    for _, _, data, offsets in common.arrow_slices(pa.array(texts)):
-        got = model.bits(data, offsets)
+    ((_, _, data_, offsets),) = common.arrow_slices(pa.array(texts))
+    got = model.bits(data_, offsets)
     for t, row in zip(texts, got, strict=True):
         data = b"\0\0" + t.encode()
         want = [sum(bits(lang, data[i - 2 : i], data[i]) for i in range(2, len(data))) for lang in model.languages]
         assert np.allclose(row, want, rtol=1e-4), t
+    monkeypatch.setattr(language_id, "BLOCK", 5)
+    assert np.allclose(model.bits(data_, offsets), got)
 
 
 def test_languages_of_odd_texts(spark):
