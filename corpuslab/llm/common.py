@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,14 @@ def arrow_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, i
         low = high
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a Python task: workers live on into stages of the JVM alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def maybe_in(ids: DataFrame, key: str = "doc_id"):
     """A column function that is true for every one of ``ids`` and for few other keys: a Bloom filter.
 

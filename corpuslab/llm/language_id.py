@@ -172,6 +172,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores.append(1 / np.exp2(-excess).sum(axis=1))
             names = pa.array(frozen.languages, pa.string()).take(pa.array(np.concatenate(preds)))
             yield pa.StructArray.from_arrays([names, pa.array(np.concatenate(scores))], ["pred", "score"])
+        common.give_back()
 
     guess = docs.withColumns({"_guess": scored(F.col("text")), "_lettered": lettered})
     return guess.withColumns({

@@ -146,20 +146,24 @@ def _sketched(settings: Settings):
             keys = np.concatenate(bands) if bands else np.zeros((0, settings.bands), np.uint64)
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * settings.bands, keys.view(np.int64).ravel())
             yield pa.StructArray.from_arrays([pa.array(wholes, pa.binary()), lists], ["whole", "bands"], mask=pa.array(empty))
+        common.give_back()
 
     return sketch
 
 
 def _worded():
-    @F.arrow_udf("array<bigint>")
+    """The words of a text in order, as 32 bits of their hashes: verification moves these twice for each pair."""
+
+    @F.arrow_udf("array<int>")
     def word_hashes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            parts, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            parts, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
             for _, _, data, offsets in common.arrow_slices(column):
                 _, _, _, hashes, first = words_of(data, offsets)
-                parts.append(hashes)
+                parts.append((hashes >> np.uint64(32)).astype(np.uint32))
                 ends.append(ends[-1][-1] + first[1:])
-            yield pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), np.concatenate(parts).view(np.int64))
+            yield pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), np.concatenate(parts).view(np.int32))
+        common.give_back()
 
     return word_hashes
 
@@ -197,7 +201,7 @@ def similar(x: np.ndarray, y: np.ndarray, settings: Settings) -> bool:
     """Whether two word sequences are near duplicates."""
     if not len(x) or not len(y):
         return False
-    kmers, first = shingles(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), settings.shingle)
+    kmers, first = shingles(np.concatenate([x, y]).astype(np.uint64), np.array([0, len(x), len(x) + len(y)]), settings.shingle)
     sizes = np.diff(first)
     if sizes.min() < settings.similarity * sizes.max():
         return False
@@ -213,9 +217,10 @@ def _verifier(settings: Settings):
     @F.arrow_udf("boolean")
     def verify(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in pairs:
-            sides = [(a.values.to_numpy(zero_copy_only=False).view(np.uint64), a.offsets.to_numpy()) for a in (left, right)]
+            sides = [(a.values.to_numpy(zero_copy_only=False).view(np.uint32), a.offsets.to_numpy()) for a in (left, right)]
             (x, i), (y, j) = sides
             yield pa.array([similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], settings) for k in range(len(left))], pa.bool_())
+        common.give_back()
 
     return verify
 

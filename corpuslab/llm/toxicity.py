@@ -246,5 +246,6 @@ def score(docs: DataFrame, model: Model | None, column: str = "_toxicity") -> Da
             spans = pa.StructArray.from_arrays([pa.array(cat(starts).astype(np.int32)), pa.array(cat(ends).astype(np.int32)), pa.array(cat(chances).astype(np.float32))], ["start", "end", "marginal"])
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32), spans)
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), lists], ["score", "spans"])
+        common.give_back()
 
     return docs.withColumn(column, scored(F.col("text")))
