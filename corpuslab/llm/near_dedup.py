@@ -4,7 +4,9 @@ A text's k-mers are its runs of five words, labelled with their occurrence numbe
 takes the ``minima`` k-mers of least hash and keeps them in the order in which the text has them: two texts agree on
 a sketch when they share these k-mers in the same order. ``rows`` sketches make a band; texts that agree on a band
 are candidates. In each band's bucket the members are compared with leaders of other classes, a few in a large bucket
-and all in a small one, so a bucket of thousands of copies costs a few comparisons each. A candidate pair is verified
+and all in a small one, so a bucket of thousands of copies costs a few comparisons each. What the leaders leave open
+is settled exactly: of the texts in large buckets that still hold several classes, every pair that shares one of its
+rarest k-mers, as two similar texts must, is a candidate too (prefix filter). A candidate pair is verified
 on the whole word sequences: the k-mers in common, repeats counted, over those in either must reach ``similarity``,
 and an alignment inside a band around the diagonal must keep the share ``aligned`` of the words in order.
 
@@ -29,9 +31,12 @@ from corpuslab.session import checkpointed
 
 _M = np.uint64(0x9FB21C651E98DF25)
 # Buckets of at most SMALL texts are compared completely; in larger ones members meet one leader in the first turn
-# and two in each later one, so comparisons grow with the members. A text has ``bands`` buckets.
+# and up to three in each later one. After TURNS turns _rest() compares what large buckets have left open.
 SMALL = 16
 TURNS = 3
+# K-mers are counted in so many slots (8 MB): collisions blur the order of the prefixes, which may be any order.
+SLOTS = 1 << 20
+LEVEL = 1.05
 
 
 @dataclass(frozen=True)
@@ -213,6 +218,59 @@ def similar(x: np.ndarray, y: np.ndarray, settings: Settings) -> bool:
     return 2 * common_in_band(x, y, half) >= settings.aligned * (len(x) + len(y))
 
 
+def _labelled(column: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(labelled k-mers, first of each text and the number at the end) of word hashes, as ``similar`` has them."""
+    words = column.values.to_numpy(zero_copy_only=False).view(np.uint32)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    kmers, first = shingles(words[offsets[0] : offsets[-1]].astype(np.uint64), offsets - offsets[0], settings.shingle)
+    return mixed(kmers + occurrences(kmers, first) * np.uint64(0xA24BAED4963EE407)), first
+
+
+def _slots(kmers: np.ndarray) -> np.ndarray:
+    return (kmers >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _frequencies(words: DataFrame, settings: Settings) -> np.ndarray:
+    """In how many of the texts the k-mers of each slot occur."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            seen += np.bincount(_slots(_labelled(batch.column(0), settings)[0]), minlength=SLOTS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["slot", "n"])
+        common.give_back()
+
+    got = words.select("words").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _prefixed(words: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, size, centrality, prefix): the number of k-mers, the mean logarithm of how many texts have each, and the
+    rarest ones: two texts of the similarity have one of these in common."""
+    shared = words.sparkSession.sparkContext.broadcast(_frequencies(words, settings))
+
+    @F.arrow_udf("struct<size long, centrality double, prefix array<bigint>>")
+    def prefixes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            kmers, first = _labelled(column, settings)
+            size = np.diff(first)
+            seen = shared.value[_slots(kmers)]
+            text = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((kmers, seen, text))
+            # Similar texts share at least ``similarity`` of either's k-mers.
+            most = size - np.ceil(settings.similarity * size - 1e-9).astype(np.int64) + (size > 0)
+            rare = order[np.arange(len(order)) - first[text] < most[text]]
+            centrality = np.bincount(text, np.log2(seen), minlength=len(size)) / np.maximum(size, 1)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(most)]).astype(np.int32), kmers[rare].view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(size), pa.array(centrality), lists], ["size", "centrality", "prefix"])
+        common.give_back()
+
+    return words.select("doc_id", prefixes(F.col("words")).alias("p")).select("doc_id", "p.*")
+
+
 def _verifier(settings: Settings):
     @F.arrow_udf("boolean")
     def verify(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -225,15 +283,65 @@ def _verifier(settings: Settings):
     return verify
 
 
-def _leaders(placed: DataFrame, turn: int) -> DataFrame:
+def _open(placed: DataFrame) -> DataFrame:
+    """(key, n, low) of the buckets that hold several classes."""
+    return placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("high")
+
+
+def _leaders(placed: DataFrame, turn: int, central: DataFrame | None) -> DataFrame:
     """(key, leader, leader_root): the smallest member of each bucket, and in later turns, of the buckets that still
-    hold several classes, two members drawn by a hash, or all of at most SMALL."""
+    hold several classes, all of at most SMALL members, or three of more: the most central one, the most central one
+    outside the class of the smallest root, and one of a drawn class."""
     if turn == 1:
         return placed.groupBy("key").agg(F.min("rep").alias("leader")).withColumn("leader_root", F.col("leader"))
-    drawn = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(2 * turn + i)), F.col("rep").alias("leader"), F.col("root").alias("leader_root"))) for i in (0, 1)]
-    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *[d.alias(f"d{i}") for i, d in enumerate(drawn)]).where("low <> high")
+    open_ = checkpointed(_open(placed))
     few = placed.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root"))
-    return open_.where(F.col("n") > SMALL).select("key", F.explode(F.array("d0", "d1")).alias("d")).select("key", "d.leader", "d.leader_root").unionByName(few)
+    if central is None:
+        return few
+    many = placed.join(open_.where(F.col("n") > SMALL).select("key", "low"), "key").join(central.select(F.col("doc_id").alias("rep"), "centrality"), "rep")
+    who = [F.col("rep").alias("leader"), F.col("root").alias("leader_root")]
+    best = F.struct(-F.col("centrality"), *who)
+    drawn = F.struct(F.xxhash64("root", "key", F.lit(turn)), F.xxhash64("rep", "key", F.lit(turn)), *who)
+    chosen = many.groupBy("key").agg(F.min(best).alias("a"), F.min(F.when(F.col("root") != F.col("low"), best)).alias("b"), F.min(drawn).alias("c"))
+    three = F.array(*[F.struct(F.col(f"{x}.leader"), F.col(f"{x}.leader_root")) for x in "abc"])
+    return chosen.select("key", F.explode(F.array_distinct(three)).alias("d")).select("key", "d.*").unionByName(few)
+
+
+def _rest(placed: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, a_root, b_root) of the pairs of different classes, among the texts of large open buckets, that a prefix
+    filter with places lets pass: no other pair among them can be similar.
+
+    Similar texts x, y share at least t / (1 + t) of both sizes added, for the similarity t. So at the first k-mer that
+    they share, in the order of the prefixes, as many must be left in each. x, the smaller, is held by its own size
+    alone; y once for each level of sizes of x, a ratio of LEVEL apart, by the level's lower end.
+    """
+    share = settings.similarity / (1 + settings.similarity)
+    open_ = _open(placed).where(F.col("n") > SMALL)
+    texts = placed.join(open_.select("key"), "key", "left_semi").select("rep", "root").distinct()
+    at = texts.join(prefixed.select(F.col("doc_id").alias("rep"), "size", F.posexplode("prefix").alias("place", "kmer")), "rep")
+    several = at.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("kmer")
+    at = checkpointed(at.join(several, "kmer", "left_semi"))
+    level = lambda size: F.floor(F.log(size.cast("double")) / float(np.log(LEVEL)))
+    left = F.col("size") - F.col("place") + 1e-6
+    x = at.where(left >= 2 * share * F.col("size")).withColumn("level", level(F.col("size")))
+    y = at.withColumn("level", F.explode(F.sequence(level(settings.similarity * F.col("size")) - 1, level(F.col("size")))))
+    # A level's lower end, taken a little lower for rounding, but no size is under the similarity times the larger one's.
+    least = F.greatest(F.pow(F.lit(LEVEL), F.col("level")) * (1 - 1e-9), settings.similarity * F.col("size"))
+    y = y.where(left >= share * (F.col("size") + least))
+    named = lambda side, n: side.select("kmer", "level", *[F.col(c).alias(f"{n}_{c}") for c in ("rep", "root", "size", "place")])
+    x, y = named(x, "x"), named(y, "y")
+    # Classes that meet in a k-mer first, then their members: pairs inside a large class are never made.
+    classes = [side.select("kmer", "level", f"{n}_root").distinct() for side, n in ((x, "x"), (y, "y"))]
+    met = classes[0].join(classes[1], ["kmer", "level"]).where("x_root <> y_root")
+    pairs = met.join(x, ["kmer", "level", "x_root"]).join(y, ["kmer", "level", "y_root"])
+    enough = share * (F.col("x_size") + F.col("y_size")) - 1e-6
+    pairs = pairs.where((F.col("x_size") <= F.col("y_size")) & (F.col("x_size") - F.col("x_place") >= enough) & (F.col("y_size") - F.col("y_place") >= enough))
+    first = F.col("x_rep") < F.col("y_rep")
+    return pairs.select(
+        F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"),
+        F.when(first, F.col("x_root")).otherwise(F.col("y_root")).alias("a_root"),
+        F.when(first, F.col("y_root")).otherwise(F.col("x_root")).alias("b_root"),
+    ).distinct()
 
 
 def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
@@ -248,27 +356,37 @@ def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
 def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFrame | None:
     """(node, root) of the distinct texts that have a near duplicate, or None.
 
-    Members are compared with leaders of other classes: first each bucket's smallest, then, for TURNS - 1 turns or
-    until no pair is new, others. A bucket of at most SMALL members is compared completely.
+    Members are compared with leaders of other classes: first each bucket's smallest, then, in TURNS - 1 turns, others;
+    a bucket of at most SMALL members is compared completely. A last turn compares what large buckets have left open.
     """
-    verify, roots, done = _verifier(settings), None, None
-    for turn in range(1, TURNS + 1):
+    verify, roots, done, central = _verifier(settings), None, None, None
+    for turn in range(1, TURNS + 2):
         if roots is None:
             placed = members.withColumn("root", F.col("rep"))
         else:
             placed = checkpointed(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
-        both = placed.join(_leaders(placed, turn), "key").where("root <> leader_root")
-        first = F.col("leader") < F.col("rep")
-        pairs = both.select(
-            F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"),
-            F.when(first, F.col("leader_root")).otherwise(F.col("root")).alias("a_root"),
-            F.when(first, F.col("root")).otherwise(F.col("leader_root")).alias("b_root"),
-        ).distinct()
+        if turn > 1:
+            large = placed.join(_open(placed).where(F.col("n") > SMALL).select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+            if central is None and not (large := checkpointed(large)).isEmpty():
+                # Open buckets only become fewer, so these texts hold all that later turns need.
+                central = checkpointed(_prefixed(words.join(large, "doc_id", "left_semi"), settings))
+        if turn <= TURNS:
+            both = placed.join(_leaders(placed, turn, central), "key").where("root <> leader_root")
+            first = F.col("leader") < F.col("rep")
+            pairs = both.select(
+                F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"),
+                F.when(first, F.col("leader_root")).otherwise(F.col("root")).alias("a_root"),
+                F.when(first, F.col("root")).otherwise(F.col("leader_root")).alias("b_root"),
+            ).distinct()
+        elif central is not None:
+            pairs = _rest(placed, central, settings)
+        else:
+            return roots
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         if pairs.isEmpty():
-            return roots
+            continue
         sides = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words")), "b").join(
             words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words")), "a"
         )

@@ -180,3 +180,49 @@ def test_repeated_lines_of_odd_tables(spark):
     assert line_dedup.remove_repeats(docs(spark, [])).collect() == []
     rows = line_dedup.remove_repeats(docs(spark, ["a\nb\nc", "a\nb\nc"], [None, 1])).collect()
     assert {r["doc_id"]: r["text"] for r in rows} == {1: "a\nb\nc", None: ""}
+
+
+def edited(rng, words, n, mark):
+    out = list(words)
+    for k, at in enumerate(rng.sample(range(5, len(words) - 5), n)):
+        out[at] = f"{mark}x{k}"
+    return out
+
+
+def test_near_copies_of_a_centre_that_is_not_the_smallest_id_are_one_class(spark):
+    rng = random.Random(21)
+    centre = sentence(rng, 200).split()
+    texts = [" ".join(edited(rng, centre, 4, f"w{i}")) for i in range(300)]
+    texts[150] = " ".join(centre)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.find_classes(docs(spark, texts).repartition(4)).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_pairs_among_texts_of_one_template_are_found_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    rng = random.Random(22)
+    template = sentence(rng, 200).split()
+    texts, want = [], {}
+    for i in range(60):
+        own = template[:150] + sentence(rng, 50).split()
+        for w in (own, edited(rng, own, 1, f"w{i}")):
+            want[len(texts)] = len(texts) // 2 * 2
+            texts.append(" ".join(w))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.find_classes(docs(spark, texts).repartition(4)).collect()}
+    assert got == want
+
+
+def test_the_rest_of_large_buckets_holds_every_similar_pair(spark):
+    rng = random.Random(23)
+    template, texts = sentence(rng, 150).split(), []
+    for i in range(25):
+        own = template[: rng.randint(90, 140)] + sentence(rng, rng.randint(5, 50)).split()
+        texts += [" ".join(own), " ".join(edited(rng, own, rng.randint(0, 5), f"w{i}") + sentence(rng, rng.randint(0, 9)).split())]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = rows.select("doc_id", near_dedup._worded()(rows["text"]).alias("words"))
+    settings = near_dedup.Settings()
+    placed = rows.selectExpr("1L AS key", "doc_id AS rep", "doc_id AS root")
+    got = {(r["a"], r["b"]) for r in near_dedup._rest(placed, near_dedup._prefixed(words, settings), settings).collect()}
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) >= 10 and want <= got and len(got) < 2 * len(want) + 100
