@@ -31,6 +31,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_of(key: Column, digest: Column) -> Column:
+    """A text that names a row by its id, which may be null, and the digest of its text."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-")), F.lit(":"), F.coalesce(digest, F.lit("")))
+
+
 def bounded_sample(rows: DataFrame, stratum: Column, key: str, size: Column, max_rows: int, max_bytes: int) -> DataFrame:
     """At most ``max_rows`` rows and ``max_bytes`` bytes of each stratum, in the order of a hash of the key.
 

@@ -139,6 +139,10 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies that another row makes redundant; columns and kept rows are unchanged."""
-    verdict = checkpointed(find_copies(docs))
-    return common.without(docs, verdict.where(~F.col("kept")).select("doc_id").distinct())
+    """``docs`` without the copies that another row makes redundant; columns and kept rows are unchanged.
+
+    A row goes by its id and its text: other texts of the same id, or of none, stay.
+    """
+    gone = checkpointed(find_copies(docs)).where(~F.col("kept")).select(common.row_of(F.col("doc_id"), F.col("text_sha256")).alias("_row"))
+    marked = docs.withColumn("_row", common.row_of(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
+    return common.without(marked, gone.distinct(), "_row").drop("_row")

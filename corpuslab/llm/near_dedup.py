@@ -12,7 +12,8 @@ and an alignment inside a band around the diagonal must keep the share ``aligned
 
 Results by definition: class_id is the smallest id of the class. Texts with the same words are one class; a text of
 fewer than five words has one k-mer, all its words. Null texts and texts without a word, and rows without an id, are
-alone (class_id is their id). Rows that share an id are in one class. An empty table gives an empty result.
+alone (class_id is their id). Rows that share an id and a text are in one class and all stay or all go; other texts of
+an id are judged each on its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import common
@@ -396,38 +397,57 @@ def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFram
     return roots
 
 
-def find_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) of every row of ``docs``: kept is true for the row that its class is named after."""
+def _row() -> Column:
+    """Rows are told apart by id and text; the smallest id comes first."""
+    return F.struct("doc_id", F.unhex(F.md5("text")).alias("digest"))
+
+
+def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(row, class_row, class_size) of every row of ``docs``; class_row is null where a row is alone by definition."""
     sketch = _sketched(settings)
-    sketched = checkpointed(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.whole", "s.bands"))
-    usable = sketched.where(F.col("whole").isNotNull() & F.col("doc_id").isNotNull())
-    texts = usable.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    sketched = checkpointed(docs.select(_row().alias("row"), sketch(F.col("text")).alias("s")).select("row", "s.whole", "s.bands"))
+    usable = sketched.where(F.col("whole").isNotNull() & F.col("row.doc_id").isNotNull())
+    texts = usable.groupBy("whole").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     texts = checkpointed(texts)
     keys = texts.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     total = texts.count() * settings.bands
     members = checkpointed(common.join_skewed(keys, shared, "key", "n", total).where(F.col("n").isNotNull()).select("key", "rep"))
-    words = common.only(docs.select("doc_id", "text"), members.select(F.col("rep").alias("doc_id")).distinct())
+    words = common.only(docs.select(_row().alias("doc_id"), "text"), members.select(F.col("rep").alias("doc_id")).distinct())
     words = checkpointed(words.dropDuplicates(["doc_id"]).select("doc_id", _worded()(F.col("text")).alias("words")))
     roots = _links(members, words, settings)
     if roots is None:
-        classes = texts.select("whole", "copies", F.col("rep").alias("class_id"))
+        classes = texts.select("whole", "copies", F.col("rep").alias("class_row"))
     else:
-        classes = texts.join(roots, texts["rep"] == roots["node"], "left").select("whole", "copies", F.coalesce("root", "rep").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
+        classes = texts.join(roots, texts["rep"] == roots["node"], "left").select("whole", "copies", F.coalesce("root", "rep").alias("class_row"))
+    sizes = classes.groupBy("class_row").agg(F.sum("copies").alias("class_size"))
     placed = common.join_skewed(
-        sketched.select("doc_id", "whole"), checkpointed(classes.join(sizes, "class_id")), "whole", "copies", sketched.count()
+        sketched.select("row", "whole"), checkpointed(classes.join(sizes, "class_row")), "whole", "copies", sketched.count()
     )
-    own = F.col("class_id").isNull() | F.col("doc_id").isNull()
-    return placed.select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    own = F.col("class_row").isNull() | F.col("row.doc_id").isNull()
+    return placed.select("row", F.when(~own, F.col("class_row")).alias("class_row"), "class_size")
+
+
+def _kept() -> Column:
+    return F.col("class_row").isNull() | (F.col("class_row") == F.col("row"))
+
+
+def find_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id, class_size, kept) of every row of ``docs``: kept is true for the row that its class is named after."""
+    own = F.col("class_row").isNull()
+    return _placed(docs, settings).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.when(own, F.col("row.doc_id")).otherwise(F.col("class_row.doc_id")).alias("class_id"),
         F.when(own, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        (own | (F.col("class_id") == F.col("doc_id"))).alias("kept"),
+        _kept().alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each class; columns and kept rows are unchanged."""
-    verdict = checkpointed(find_classes(docs, settings))
-    return common.without(docs, verdict.where(~F.col("kept")).select("doc_id").distinct())
+    """``docs`` with one document of each class; columns and kept rows are unchanged.
+
+    A row goes by its id and its text: other texts of the same id, or of none, stay.
+    """
+    gone = checkpointed(_placed(docs, settings)).where(~_kept()).select(common.row_of(F.col("row.doc_id"), F.hex("row.digest")).alias("_row"))
+    marked = docs.withColumn("_row", common.row_of(F.col("doc_id"), F.upper(F.md5("text"))))
+    return common.without(marked, gone.distinct(), "_row").drop("_row")

@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from corpuslab.llm import exact_dedup, line_dedup, near_dedup
+from corpuslab.llm import decontamination, exact_dedup, line_dedup, near_dedup
 
 DOC = "doc_id long, text string, kept string, n int"
 
@@ -226,3 +226,16 @@ def test_the_rest_of_large_buckets_holds_every_similar_pair(spark):
     sets = [shingles(t) for t in texts]
     want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) >= 10 and want <= got and len(got) < 2 * len(want) + 100
+
+
+def test_filters_drop_rows_by_id_and_text(spark):
+    rng = random.Random(24)
+    a, b, c, item = (sentence(rng, 60) for _ in range(4))
+    left = lambda rows: sorted((str(r["doc_id"]), r["text"]) for r in rows.collect())
+    table = docs(spark, [a, a, b, b.replace(" ", "  "), c, c], [1, None, None, 7, 7, 9])
+    assert left(exact_dedup.keep_first(table)) == sorted([("1", a), ("7", b.replace(" ", "  ")), ("7", c)])
+    near = docs(spark, [a, a + " more", b, c, b + " again", item], [1, 5, 5, None, 6, 5])
+    assert left(near_dedup.keep_one(near)) == sorted([("1", a), ("5", b), ("None", c), ("5", item)])
+    leaky = docs(spark, [f"{a} {item} {b}", c, f"{b} {item} {c}", a], [3, 3, None, None])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert left(decontamination.without_leaks(leaky, benchmark)) == sorted([("3", c), ("None", a)])
