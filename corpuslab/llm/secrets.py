@@ -90,7 +90,7 @@ class Automaton:
                     seen.append({})
                 at = children[at][c]
                 through[at] += 1
-            stops[at] += 1
+            stops[at] += len(w) <= settings.depth  # a cut is no end
         self._merge(children, through, stops, seen, settings.alpha)
 
     def _merge(self, children, through, stops, seen, alpha) -> None:
@@ -197,7 +197,7 @@ class Model:
 
 
 def _candidates(text: str, shortest: int) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % shortest, text) if re.search(r"[0-9]", m[0])]
+    return [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % shortest, text)]
 
 
 def train(texts: list[str], settings: Settings = Settings()) -> Model | None:

@@ -306,3 +306,17 @@ def test_urls_are_judged_by_rules_then_trees(spark):
     assert got[900]["host"] == "" and got[900]["verdict"] in ("block", "allow")
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
+
+
+def test_secrets_of_letters_alone_are_scored():
+    rng = random.Random(31)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
+    texts = [f"token = {key()} and then " + " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(8, 14))) for _ in range(20)) for _ in range(80)]
+    model = secrets.train(texts)
+    found = [s for s in (model.extra(f"see {key()} here", []) for _ in range(50)) if s == [(4, 28, "format")]]
+    assert len(found) >= 45
+    assert model.extra("see internationalisation here", []) == []
+
+
+def test_a_cut_value_does_not_end_where_it_is_cut():
+    assert secrets.Automaton([b"a" * 100] * 50, secrets.Settings()).stop.min() > 6.3
