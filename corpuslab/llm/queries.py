@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, secrets, toxicity, url_filter
+from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, lexical_search, line_dedup, mixing, near_dedup, periodic_runs, secrets, sequence_packing, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +122,61 @@ SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(lost.n, 0) AS n_removed,
        CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(kept.body, '') END AS text
 FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id LEFT JOIN lost ON l.doc_id = lost.doc_id
 """
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query
+def op11_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return sequence_packing.pack(common.table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
+
+
+SQL["op12_lexical_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL
+),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+norms AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM sizes, totals),
+wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL
+),
+asked AS (SELECT item_id, term, count(*) AS times FROM wanted GROUP BY item_id, term),
+weighted AS (
+  SELECT item_id, asked.term, times, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM asked JOIN dfs ON asked.term = dfs.term, totals
+),
+scored AS (
+  SELECT item_id, tfs.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM weighted JOIN tfs ON weighted.term = tfs.term JOIN norms ON tfs.doc_id = norms.doc_id GROUP BY item_id, tfs.doc_id
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text")))
+    facts = found.select("doc_id", "_runs.*").withColumn("best", periodic_runs.longest(F.col("runs")))
+    return facts.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
