@@ -17,11 +17,12 @@ besides ``doc_id`` are not carried. A slice of texts is tokenised at a time; mem
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import common, ranges
+from corpuslab.llm.words import HashIndex, folded
 from corpuslab.session import checkpointed
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -38,7 +40,18 @@ LONGEST_WORD, MOST_WORDS = 64, 400_000
 GAIN = 0.02
 # Partners for an exchange of one for two are looked for in so many of the emptiest bins.
 EMPTIEST = 8
+# Of the pieces of one length so many are tried as partners.
+SAME = 8
 _encoders: dict[int, Encoder] = {}
+# How the tokenizers that are read by words cut a text (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Plain bytes: visible ASCII but for the apostrophe, which may cut a word, and the sign that special tokens begin with.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x7F] = True
+_PLAIN[[0x27, 0x3C]] = False
+_KIND = np.full(256, 3, np.int8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
 
 
 @dataclass(frozen=True)
@@ -48,8 +61,85 @@ class Settings:
     group: int = 4096
 
 
+class Merges:
+    """The merges of a byte-level BPE with word ends, for many words at once.
+
+    Every turn merges, in each word that still has one, all places of the pair that comes first in the tokenizer's
+    order, from left to right. A merge makes only pairs that come later, so this is what merging one by one gives.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[list[str]], suffix: str):
+        bytes_ = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in bytes_]
+        letter = {b: chr(b) for b in bytes_} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.inner = np.array([vocabulary[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocabulary[letter[b] + suffix] for b in range(256)], np.int64)
+        left = np.array([vocabulary[a] for a, _ in merges], np.uint64)
+        right = np.array([vocabulary[b] for _, b in merges], np.uint64)
+        self.made = np.array([*(vocabulary[a + b] for a, b in merges), -1], np.int64)
+        self.index = HashIndex(left << np.uint64(32) | right)
+        self.none = len(merges)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.index.find(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
+        return np.where(found < 0, self.none, found).astype(np.int32)
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each one's ids)."""
+        size = ends - starts
+        symbols = self.inner[data[ranges.flat(starts, size)]]
+        close = np.cumsum(size) - 1
+        symbols[close] = self.last[data[ends - 1]]
+        rank = np.full(len(symbols), self.none, np.int32)
+        rank[:-1] = self._ranks(symbols[:-1], symbols[1:])
+        rank[close] = self.none
+        words, out, sizes = np.arange(len(size)), [], np.zeros(len(size), np.int64)
+        done = []
+        while len(words):
+            begin = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, begin)
+            more = best < self.none
+            if not more.all():
+                ready = np.repeat(~more, size)
+                out.append(symbols[ready])
+                done.append(words[~more])
+                sizes[words[~more]] = size[~more]
+                symbols, rank, words, size, best = symbols[~ready], rank[~ready], words[more], size[more], best[more]
+                if not len(words):
+                    break
+            chosen = np.flatnonzero(rank == np.repeat(best, size))
+            if len(chosen) > 1:
+                # In a row of places that overlap every other one is merged, from the first on.
+                new = np.concatenate([[True], chosen[1:] != chosen[:-1] + 1])
+                at = np.arange(len(chosen))
+                chosen = chosen[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]
+            symbols[chosen] = self.made[rank[chosen]]
+            ends_word = np.zeros(len(symbols), bool)
+            ends_word[np.cumsum(size) - 1] = True
+            ends_word[chosen] = ends_word[chosen + 1]
+            kept = np.ones(len(symbols), bool)
+            kept[chosen + 1] = False
+            size = np.add.reduceat(kept, np.cumsum(size) - size, dtype=np.int64)
+            symbols, rank, ends_word = symbols[kept], rank[kept], ends_word[kept]
+            at = chosen - np.arange(len(chosen))
+            at = np.concatenate([at, at[at > 0] - 1])
+            inner = ~ends_word[at]
+            rank[at[~inner]] = self.none
+            at = at[inner]
+            rank[at] = self._ranks(symbols[at], symbols[at + 1])
+        flat, sized = np.concatenate([np.zeros(0, np.int64), *out]), np.concatenate([np.zeros(0, np.int64), *done])
+        begin = np.empty(len(sizes), np.int64)
+        begin[sized] = np.cumsum(sizes[sized]) - sizes[sized]
+        return flat[ranges.flat(begin, sizes)], sizes
+
+
 class Encoder:
-    """A tokenizer that never joins what white space parts: distinct stretches between white space are encoded once."""
+    """A tokenizer over many texts at once.
+
+    Where the file is a lower-casing BPE that drops white space and cuts words as WORDS says, every distinct word of a
+    slice is encoded once: plain ones (ASCII and Latin-1 letters, digits and signs) by Merges, all others by the
+    tokenizer itself. Of any other file each text is encoded whole.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -57,13 +147,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, first id of each text and their number at the end)."""
-        starts, ends, first = ranges.cut(data, offsets, ~ranges.SPACES)
-        number, one = ranges.numbered(data, starts, ends)
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        parts = json.loads(tokenizer)
+        model, cuts = parts["model"], (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        by_words = (
+            [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORDS}
+            and model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout")
+            and not any(t["lstrip"] or t["rstrip"] or not t["content"].startswith("<") for t in parts["added_tokens"])
+        )
+        self.merges = None
+        if by_words:
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            self.merges = Merges(model["vocab"], pairs, model["end_of_word_suffix"])
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         lists = [self.known.get(w) for w in words]
@@ -73,13 +170,53 @@ class Encoder:
             if len(words[k]) <= LONGEST_WORD:
                 self.known[words[k]] = found.ids
         sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        own = sizes[number]
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(bytes with plain words in lower case, starts, ends, whether plain, first word of each text and their number)."""
+        starts, ends, _ = ranges.cut(data, offsets, ~ranges.SPACES)
+        follows = np.zeros(len(data), bool)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        follows[lead] = follows[lead + 1] = True
+        odd = ~(_PLAIN[data] | follows)
+        count = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(odd, out=count[1:])
+        plain = np.zeros(len(data) + 1, bool)
+        whole = count[ends] == count[starts]
+        plain[ranges.flat(starts[whole], (ends - starts)[whole])] = True
+        low = np.where(plain[:-1], folded(data), data)
+        # A plain stretch is cut where letters, digits and signs meet, and around every digit.
+        kind = np.where(follows, 1, _KIND[data])
+        cuts = np.flatnonzero(plain[1:-1] & plain[:-2] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))) + 1
+        cuts = cuts[~np.isin(cuts, starts)]
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        return low, starts, ends, plain[starts], np.searchsorted(starts, offsets)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their end token, first id of each text and their number at the end)."""
+        if self.merges is None:
+            raw = data.tobytes()
+            flat, own = self._encoded([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            first = np.arange(len(offsets))
+        else:
+            low, starts, ends, plain, first = self._words(data, offsets)
+            number, one = ranges.numbered(low, starts, ends)
+            easy = plain[one]
+            raw = low.tobytes()
+            hard = [raw[a:b] for a, b in zip(starts[one[~easy]].tolist(), ends[one[~easy]].tolist(), strict=True)]
+            found, counts = zip(self.merges.ids(low, starts[one[easy]], ends[one[easy]]), self._encoded(hard), strict=True)
+            sizes, begin = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+            sizes[easy], sizes[~easy] = counts
+            begin[easy] = np.cumsum(counts[0]) - counts[0]
+            begin[~easy] = np.cumsum(counts[1]) - counts[1] + len(found[0])
+            own = sizes[number]
+            flat = np.concatenate(found)[ranges.flat(begin[number], own)]
         before = np.concatenate([[0], np.cumsum(own)])[first] + np.arange(len(first))
         out = np.full(int(before[-1]), end_id, np.uint32)
         places = np.ones(len(out), bool)
         places[before[1:] - 1] = False
-        out[places] = flat[ranges.flat((np.cumsum(sizes) - sizes)[number], own)]
+        out[places] = flat
         return out, before
 
 
@@ -213,13 +350,17 @@ class Bins:
         given = [((), 0), *(((p,), lengths[p]) for p in {lengths[p]: p for p in own}.values())]
         given += [((p, q), lengths[p] + lengths[q]) for i, p in enumerate(own) for q in own[:i]] if len(own) <= 12 else []
         for out, size in given:
-            got = self._largest(min(self.capacity, size + room), size)
-            if got and got - size > best:
-                p = next(iter(self.at[got]))
-                if self.fill[k] + got - size > self.fill[self.of[p]]:
+            got = self._largest(size + room, size + best)
+            while got:
+                # Squared fill grows where the partner's bin has less than this one will have.
+                less = self.fill[k] + got - size
+                p = next((p for p in islice(self.at[got], SAME) if self.fill[self.of[p]] < less), None)
+                if p is not None:
                     best, give, take = got - size, out, (p,)
-                    if best == room:
-                        break
+                    break
+                got = self._largest(got - 1, size + best)
+            if best == room:
+                break
         if best < room:
             for b in self.emptiest:
                 if b == k or not 0 < self.fill[b] <= self.fill[k] or len(self.bins[b]) > 12:
