@@ -54,3 +54,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of checkpointed frames. For frames that nothing reads any more, not even to recompute a lost part."""
+    for df in frames:
+        rdd = df._jdf.queryExecution().toRdd()
+        context = df.sparkSession.sparkContext
+        for source in [rdd, *_parents(rdd)]:
+            file = source.getCheckpointFile()
+            if file.isDefined():
+                path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+                break
+
+
+def _parents(rdd) -> list:
+    found, dependencies = [], rdd.dependencies()
+    while dependencies.size():
+        rdd = dependencies.head().rdd()
+        found.append(rdd)
+        dependencies = rdd.dependencies()
+    return found
