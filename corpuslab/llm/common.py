@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.session import checkpointed
+from corpuslab.session import checkpointed, released
 
 # A filter of ids is never larger than this, whatever the number of ids (bits; 2 MB).
 FILTER_BITS = 1 << 24
@@ -37,10 +37,11 @@ def row_of(key: Column, digest: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, stratum: Column, key: str, size: Column, max_rows: int, max_bytes: int) -> DataFrame:
-    """At most ``max_rows`` rows and ``max_bytes`` bytes of each stratum, in the order of a hash of the key.
+    """At most ``max_rows`` rows and ``max_bytes`` bytes of each stratum, in the order of a hash of the key, one row of each key.
 
-    Only (stratum, hash, size) of the rows below a threshold that lets about twice ``max_rows`` pass is
-    ordered; the rows themselves are joined to the chosen keys. Null strata and null keys are left out.
+    Only (stratum, hash, size) of the keys below a threshold that lets about twice ``max_rows`` pass is ordered; a key
+    with many rows is one of these, of whose rows that of the least hash is taken, before any shuffle. Rows are joined
+    to the chosen keys. Null strata and null keys are left out.
     """
     facts = rows.select(stratum.alias("_stratum"), F.col(key).alias("_key"), size.alias("_size")).where(
         F.col("_stratum").isNotNull() & F.col("_key").isNotNull()
@@ -52,16 +53,21 @@ def bounded_sample(rows: DataFrame, stratum: Column, key: str, size: Column, max
     passing = F.lit(False)
     for value, n in counts.items():
         passing = passing | ((F.col("_stratum") == F.lit(value)) & (F.col("_draw") < F.lit(min(1.0, 2.0 * max_rows / n))))
-    drawn = facts.withColumn("_draw", draw).where(passing).select("_stratum", "_draw", "_key", "_size").collect()
+    drawn = facts.withColumn("_draw", draw).where(passing).groupBy("_stratum", "_draw", "_key").agg(F.max("_size").alias("_size")).collect()
     chosen, rows_of, bytes_of = [], {}, {}
     for r in sorted(drawn, key=lambda r: (str(r["_stratum"]), r["_draw"], str(r["_key"]))):
         k, n = r["_stratum"], r["_size"] or 0
         if rows_of.get(k, 0) < max_rows and (bytes_of.get(k, 0) + n <= max_bytes or not rows_of.get(k)):
             rows_of[k], bytes_of[k] = rows_of.get(k, 0) + 1, bytes_of.get(k, 0) + n
-            chosen.append(r["_key"])
-    return rows.where(F.col(key).isin(chosen)) if len(chosen) <= 200 else rows.join(
-        F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in chosen], f"{key} {dict(rows.dtypes)[key]}")), key, "left_semi"
-    )
+            chosen.append((k, r["_key"]))
+    of, at, one = fresh(rows, "_of", "_at", "_one")
+    kinds = {f.name: f.dataType.simpleString() for f in facts.schema.fields}
+    keys = rows.sparkSession.createDataFrame(chosen, f"{of} {kinds['_stratum']}, {at} {kinds['_key']}")
+    taken = rows.join(F.broadcast(keys), (stratum == F.col(of)) & (F.col(key) == F.col(at)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    hashed = [c for c, (_, kind) in zip(columns, rows.dtypes, strict=True) if "map<" not in kind and "variant" not in kind]
+    least = F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias(one)
+    return taken.groupBy(stratum.alias(of), F.col(key).alias(at)).agg(least).select(f"{one}.*")
 
 
 def arrow_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -138,22 +144,53 @@ def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total:
     return hot.unionByName(rest.join(keyed.where(F.col(weight) <= limit), key, "left"))
 
 
+def compact(rows: DataFrame, count: int, each: int = 50_000) -> DataFrame:
+    """``rows``, of which there are about ``count``, in no more partitions than ``each`` of them to a task ask for, but enough for all cores."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // each)))
+
+
+def fresh(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """``names``, with underscores in front as far as a column has the name already, whatever its case."""
+    columns = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for name in names:
+        while name.lower() in columns:
+            name = f"_{name}"
+        columns.add(name.lower())
+        out.append(name)
+    return out
+
+
+def wrapped(rows: DataFrame, *names: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with all their columns, but those named in ``without``, in one struct ``_user``, and ``names`` beside it.
+
+    Whatever columns are added then, none of the user's can clash with them; ``_user.*`` brings these back.
+    """
+    own = [F.col(f"`{c}`") for c in rows.columns if c not in without]
+    return rows.select(F.struct(*own).alias("_user"), *names)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of undirected ``edges`` (a, b): root is the smallest id of its component.
 
     Each round every node takes the smallest root among its neighbours' and then its root's root, until
     nothing changes. Minima are combined before each shuffle; a hub's rows are split by adaptive execution.
     """
-    there = edges.select("a", "b").where("a <> b")
-    both = checkpointed(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    there = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    count = there.count()
+    both = compact(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * count)
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root"))
+    roots = checkpointed(compact(roots, 2 * count))
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         taken = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = checkpointed(taken.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        jumped = taken.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
+        jumped = checkpointed(compact(jumped, 2 * count))
+        released(roots)
         roots = jumped.select("node", "root")
         if jumped.where("root <> old").isEmpty():
+            released(there)
             return roots
 
 

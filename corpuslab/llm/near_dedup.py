@@ -3,10 +3,11 @@
 A text's k-mers are its runs of five words, labelled with their occurrence number, so that repeats count. A sketch
 takes the ``minima`` k-mers of least hash and keeps them in the order in which the text has them: two texts agree on
 a sketch when they share these k-mers in the same order. ``rows`` sketches make a band; texts that agree on a band
-are candidates. In each band's bucket the members are compared with leaders of other classes, a few in a large bucket
-and all in a small one, so a bucket of thousands of copies costs a few comparisons each. What the leaders leave open
-is settled exactly: of the texts in large buckets that still hold several classes, every pair that shares one of its
-rarest k-mers, as two similar texts must, is a candidate too (prefix filter). A candidate pair is verified
+are candidates. In each band's bucket the members are first compared with leaders, the smallest member and, in a large
+bucket, the one whose k-mers are the most common ones, so a bucket of thousands of copies costs two comparisons each.
+What the leaders leave open is settled exactly: in small buckets every pair of different classes is a candidate; of the
+texts in large buckets that still hold several classes every pair that shares one of its rarest k-mers, as two similar
+texts must (prefix filter). A candidate pair is verified
 on the whole word sequences: the k-mers in common, repeats counted, over those in either must reach ``similarity``,
 and an alignment inside a band around the diagonal must keep the share ``aligned`` of the words in order.
 
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import common
 from corpuslab.llm.words import mixed, words_of
-from corpuslab.session import checkpointed
+from corpuslab.session import checkpointed, released
 
 _M = np.uint64(0x9FB21C651E98DF25)
-# Buckets of at most SMALL texts are compared completely; in larger ones members meet one leader in the first turn
-# and up to three in each later one. After TURNS turns _rest() compares what large buckets have left open.
+# What leaders leave open is compared completely in buckets of at most SMALL texts, by _rest() in larger ones.
 SMALL = 16
-TURNS = 3
+# Rows of words, and pairs, that one task handles.
+PAIRS = 5_000
 # K-mers are counted in so many slots (8 MB): collisions blur the order of the prefixes, which may be any order.
 SLOTS = 1 << 20
 LEVEL = 1.05
@@ -285,30 +286,40 @@ def _verifier(settings: Settings):
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """(key, n, low) of the buckets that hold several classes."""
-    return placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("high")
-
-
-def _leaders(placed: DataFrame, turn: int, central: DataFrame | None) -> DataFrame:
-    """(key, leader, leader_root): the smallest member of each bucket, and in later turns, of the buckets that still
-    hold several classes, all of at most SMALL members, or three of more: the most central one, the most central one
-    outside the class of the smallest root, and one of a drawn class."""
-    if turn == 1:
-        return placed.groupBy("key").agg(F.min("rep").alias("leader")).withColumn("leader_root", F.col("leader"))
-    open_ = checkpointed(_open(placed))
-    few = placed.join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root"))
-    if central is None:
-        return few
-    many = placed.join(open_.where(F.col("n") > SMALL).select("key", "low"), "key").join(central.select(F.col("doc_id").alias("rep"), "centrality"), "rep")
-    who = [F.col("rep").alias("leader"), F.col("root").alias("leader_root")]
-    best = F.struct(-F.col("centrality"), *who)
-    drawn = F.struct(F.xxhash64("root", "key", F.lit(turn)), F.xxhash64("rep", "key", F.lit(turn)), *who)
-    chosen = many.groupBy("key").agg(F.min(best).alias("a"), F.min(F.when(F.col("root") != F.col("low"), best)).alias("b"), F.min(drawn).alias("c"))
-    three = F.array(*[F.struct(F.col(f"{x}.leader"), F.col(f"{x}.leader_root")) for x in "abc"])
-    return chosen.select("key", F.explode(F.array_distinct(three)).alias("d")).select("key", "d.*").unionByName(few)
-
-
-def _rest(placed: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFrame:
+    """(key, n) of the buckets that hold several classes."""
+    found = placed.groupBy("key").agg(F.max("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return found.where("low <> high").select("key", "n")
+
+
+def _ordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """(a, b, a_root, b_root), a before b, from the columns ``left``, ``right`` and their ``_root``; each pair once."""
+    first = F.col(left) < F.col(right)
+    return pairs.select(
+        F.least(left, right).alias("a"), F.greatest(left, right).alias("b"),
+        F.when(first, F.col(f"{left}_root")).otherwise(F.col(f"{right}_root")).alias("a_root"),
+        F.when(first, F.col(f"{right}_root")).otherwise(F.col(f"{left}_root")).alias("b_root"),
+    ).distinct()
+
+
+def _led(members: DataFrame, central: DataFrame | None) -> DataFrame:
+    """Pairs of each member with its bucket's leaders: the smallest member and, of more than SMALL, the most central one."""
+    leaders = members.groupBy("key").agg(F.min("rep").alias("leader"))
+    if central is not None:
+        many = members.where(F.col("n") > SMALL).select("key", "rep").join(central.select(F.col("doc_id").alias("rep"), "centrality"), "rep")
+        best = many.groupBy("key").agg(F.min(F.struct(-F.col("centrality"), "rep")).alias("best")).select("key", F.col("best.rep").alias("leader"))
+        leaders = leaders.unionByName(best)
+    met = members.select("key", "rep").join(leaders, "key").where("rep <> leader")
+    return _ordered(met.select("rep", "leader", F.col("rep").alias("rep_root"), F.col("leader").alias("leader_root")), "rep", "leader")
+
+
+def _small(placed: DataFrame, open_: DataFrame) -> DataFrame:
+    """All pairs of different classes in the open buckets of at most SMALL members."""
+    few = placed.select("key", "rep", "root").join(open_.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+    x, y = (few.select("key", F.col("rep").alias(n), F.col("root").alias(f"{n}_root")) for n in ("x", "y"))
+    return _ordered(x.join(y, "key").where("x_root < y_root"), "x", "y")
+
+
+def _rest(placed: DataFrame, open_: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, a_root, b_root) of the pairs of different classes, among the texts of large open buckets, that a prefix
     filter with places lets pass: no other pair among them can be similar.
 
@@ -317,8 +328,7 @@ def _rest(placed: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFra
     alone; y once for each level of sizes of x, a ratio of LEVEL apart, by the level's lower end.
     """
     share = settings.similarity / (1 + settings.similarity)
-    open_ = _open(placed).where(F.col("n") > SMALL)
-    texts = placed.join(open_.select("key"), "key", "left_semi").select("rep", "root").distinct()
+    texts = placed.join(open_.where(F.col("n") > SMALL).select("key"), "key", "left_semi").select("rep", "root").distinct()
     at = texts.join(prefixed.select(F.col("doc_id").alias("rep"), "size", F.posexplode("prefix").alias("place", "kmer")), "rep")
     several = at.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("kmer")
     at = checkpointed(at.join(several, "kmer", "left_semi"))
@@ -337,63 +347,49 @@ def _rest(placed: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFra
     pairs = met.join(x, ["kmer", "level", "x_root"]).join(y, ["kmer", "level", "y_root"])
     enough = share * (F.col("x_size") + F.col("y_size")) - 1e-6
     pairs = pairs.where((F.col("x_size") <= F.col("y_size")) & (F.col("x_size") - F.col("x_place") >= enough) & (F.col("y_size") - F.col("y_place") >= enough))
-    first = F.col("x_rep") < F.col("y_rep")
-    return pairs.select(
-        F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"),
-        F.when(first, F.col("x_root")).otherwise(F.col("y_root")).alias("a_root"),
-        F.when(first, F.col("y_root")).otherwise(F.col("x_root")).alias("b_root"),
-    ).distinct()
+    return _ordered(pairs.withColumnsRenamed({"x_rep": "x", "y_rep": "y"}), "x", "y")
 
 
-def _merged(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
-    """``roots`` after the classes that ``joined`` (node, root) names by their roots have become one."""
-    if roots is None:
-        return joined
-    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
-    fresh = joined.join(roots, "node", "left_anti")
-    return checkpointed(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(fresh.select("node", "root")))
+def _found(pairs: DataFrame, words: DataFrame, count: int, settings: Settings) -> DataFrame:
+    """(a, b): the classes of the pairs that are near duplicates. The words of each side are moved once."""
+    sides = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words")), "b").join(
+        words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words")), "a"
+    )
+    found = sides.where(_verifier(settings)("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    return common.compact(found, count, PAIRS)
 
 
-def _links(members: DataFrame, words: DataFrame, settings: Settings) -> DataFrame | None:
+def _links(members: DataFrame, words: DataFrame, total: int, settings: Settings) -> DataFrame | None:
     """(node, root) of the distinct texts that have a near duplicate, or None.
 
-    Members are compared with leaders of other classes: first each bucket's smallest, then, in TURNS - 1 turns, others;
-    a bucket of at most SMALL members is compared completely. A last turn compares what large buckets have left open.
+    First the members (key, rep, n) of each bucket meet its leaders. Then every pair of different classes is compared
+    that a bucket still holds: all in a small one, those that the prefix filter lets pass in a large one.
     """
-    verify, roots, done, central = _verifier(settings), None, None, None
-    for turn in range(1, TURNS + 2):
-        if roots is None:
-            placed = members.withColumn("root", F.col("rep"))
-        else:
-            placed = checkpointed(members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
-        if turn > 1:
-            large = placed.join(_open(placed).where(F.col("n") > SMALL).select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-            if central is None and not (large := checkpointed(large)).isEmpty():
-                # Open buckets only become fewer, so these texts hold all that later turns need.
-                central = checkpointed(_prefixed(words.join(large, "doc_id", "left_semi"), settings))
-        if turn <= TURNS:
-            both = placed.join(_leaders(placed, turn, central), "key").where("root <> leader_root")
-            first = F.col("leader") < F.col("rep")
-            pairs = both.select(
-                F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"),
-                F.when(first, F.col("leader_root")).otherwise(F.col("root")).alias("a_root"),
-                F.when(first, F.col("root")).otherwise(F.col("leader_root")).alias("b_root"),
-            ).distinct()
-        elif central is not None:
-            pairs = _rest(placed, central, settings)
-        else:
-            return roots
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            continue
-        sides = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words")), "b").join(
-            words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words")), "a"
-        )
-        found = sides.where(verify("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        roots = _merged(roots, common.components(found))
-        done = pairs if done is None else done.unionByName(pairs)
+    large = members.where(F.col("n") > SMALL).select(F.col("rep").alias("doc_id")).distinct()
+    central = None
+    if not (large := checkpointed(common.compact(large, total))).isEmpty():
+        central = checkpointed(_prefixed(words.join(large, "doc_id", "left_semi"), settings))
+    led = checkpointed(common.compact(_led(members, central), total))
+    count = led.count()
+    if not count:
+        return None
+    roots = common.components(_found(led, words, count, settings))
+    placed = members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    placed = checkpointed(common.compact(placed, total))
+    open_ = checkpointed(common.compact(_open(placed), total))
+    left = _small(placed, open_)
+    if central is not None and not open_.where(F.col("n") > SMALL).isEmpty():
+        left = left.unionByName(_rest(placed, open_, central, settings)).distinct()
+    left = checkpointed(common.compact(left.join(led.select("a", "b"), ["a", "b"], "left_anti"), total))
+    count = left.count()
+    if count:
+        joined = common.components(_found(left, words, count, settings))
+        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+        alone = joined.join(roots, "node", "left_anti")
+        merged = checkpointed(common.compact(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(alone.select("node", "root")), total))
+        released(roots, joined)
+        roots = merged
+    released(large, led, placed, open_, left, *([] if central is None else [central]))
     return roots
 
 
@@ -406,23 +402,27 @@ def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
     """(row, class_row, class_size) of every row of ``docs``; class_row is null where a row is alone by definition."""
     sketch = _sketched(settings)
     sketched = checkpointed(docs.select(_row().alias("row"), sketch(F.col("text")).alias("s")).select("row", "s.whole", "s.bands"))
+    rows = sketched.count()
     usable = sketched.where(F.col("whole").isNotNull() & F.col("row.doc_id").isNotNull())
     texts = usable.groupBy("whole").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    texts = checkpointed(texts)
+    texts = checkpointed(common.compact(texts, rows))
     keys = texts.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     total = texts.count() * settings.bands
-    members = checkpointed(common.join_skewed(keys, shared, "key", "n", total).where(F.col("n").isNotNull()).select("key", "rep"))
+    members = checkpointed(common.compact(common.join_skewed(keys, checkpointed(common.compact(shared, total)), "key", "n", total).where(F.col("n").isNotNull()), total))
     words = common.only(docs.select(_row().alias("doc_id"), "text"), members.select(F.col("rep").alias("doc_id")).distinct())
-    words = checkpointed(words.dropDuplicates(["doc_id"]).select("doc_id", _worded()(F.col("text")).alias("words")))
-    roots = _links(members, words, settings)
+    words = words.dropDuplicates(["doc_id"]).select("doc_id", _worded()(F.col("text")).alias("words"))
+    words = checkpointed(common.compact(words, rows, PAIRS))
+    roots = _links(members.select("key", "rep", "n"), words, total, settings)
     if roots is None:
         classes = texts.select("whole", "copies", F.col("rep").alias("class_row"))
     else:
         classes = texts.join(roots, texts["rep"] == roots["node"], "left").select("whole", "copies", F.coalesce("root", "rep").alias("class_row"))
+    classes = checkpointed(common.compact(classes, rows))
+    released(members, words)
     sizes = classes.groupBy("class_row").agg(F.sum("copies").alias("class_size"))
     placed = common.join_skewed(
-        sketched.select("row", "whole"), checkpointed(classes.join(sizes, "class_row")), "whole", "copies", sketched.count()
+        sketched.select("row", "whole"), checkpointed(common.compact(classes.join(sizes, "class_row"), rows)), "whole", "copies", rows
     )
     own = F.col("class_row").isNull() | F.col("row.doc_id").isNull()
     return placed.select("row", F.when(~own, F.col("class_row")).alias("class_row"), "class_size")
@@ -449,5 +449,5 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A row goes by its id and its text: other texts of the same id, or of none, stay.
     """
     gone = checkpointed(_placed(docs, settings)).where(~_kept()).select(common.row_of(F.col("row.doc_id"), F.hex("row.digest")).alias("_row"))
-    marked = docs.withColumn("_row", common.row_of(F.col("doc_id"), F.upper(F.md5("text"))))
-    return common.without(marked, gone.distinct(), "_row").drop("_row")
+    marked = common.wrapped(docs, "doc_id", "text").withColumn("_row", common.row_of(F.col("doc_id"), F.upper(F.md5("text"))))
+    return common.without(marked, gone.distinct(), "_row").select("_user.*")

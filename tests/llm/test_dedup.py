@@ -221,8 +221,8 @@ def test_the_rest_of_large_buckets_holds_every_similar_pair(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = rows.select("doc_id", near_dedup._worded()(rows["text"]).alias("words"))
     settings = near_dedup.Settings()
-    placed = rows.selectExpr("1L AS key", "doc_id AS rep", "doc_id AS root")
-    got = {(r["a"], r["b"]) for r in near_dedup._rest(placed, near_dedup._prefixed(words, settings), settings).collect()}
+    placed = rows.selectExpr("1L AS key", "doc_id AS rep", "doc_id AS root", "50L AS n")
+    got = {(r["a"], r["b"]) for r in near_dedup._rest(placed, near_dedup._open(placed), near_dedup._prefixed(words, settings), settings).collect()}
     sets = [shingles(t) for t in texts]
     want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) >= 10 and want <= got and len(got) < 2 * len(want) + 100
