@@ -6,10 +6,12 @@ its text (share of separators, word length, distinct words and lines, length, wo
 tokens count for each domain in proportion to the posterior.
 
 Rates r >= 0 minimise the squared distance of the expected domain totals from the targets plus ``pull`` times the
-token-weighted squared distance of the rates from 1. Projected gradient steps start at rate 1; since every step moves
-a document along its posterior, rates are always max(0, 1 - posterior . m) for one vector m of domains, so a step is
-one aggregation of the narrow table and no rate is stored between steps. The step's metric is the second moment of
-the posteriors of documents with a rate above 0, summed in the same pass.
+token-weighted squared distance of the rates from 1. Projected gradient steps start at rate 1: the gradient of a row is
+posterior . residual + pull * (rate - 1), with the residual per token; rows that are free (rate above 0, or a gradient
+that points inward) step along it, in the metric of the free rows' second derivatives, and every new rate is projected
+to 0 or more. The narrow table holds the rates. A step takes two aggregations: sums of the free rows' posteriors, and
+the objective at a few step lengths, of which the longest that makes it less is taken. At the minimum a rate is
+max(0, 1 - posterior . residual / pull), which gives the rates of the wide rows without a join.
 
 Results by definition: every row is returned once, with tokens, posterior (in the order of ``domains``), rate and
 copies (the rate rounded up or down by a hash of the id). Null and empty texts have no tokens and the posterior of an
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslab.llm import common
-from corpuslab.session import checkpointed
+from corpuslab.session import checkpointed, released, scratch_path
 
+OUTPUT = ("tokens", "posterior", "rate", "copies")
+# Step lengths that are tried at once, and steps after which the narrow table is written anew.
+LENGTHS = (1.0, 0.5, 0.25, 0.0625)
+WRITTEN = 6
 FEATURES = ("_separators", "_word_length", "_distinct_words", "_distinct_lines", "_log_words")
 
 
@@ -111,61 +117,102 @@ def posteriors(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[
     return scored.withColumn("_p", vector_to_array("_prob")), domains
 
 
+def _dot(vector: np.ndarray) -> Column:
+    total = F.lit(0.0)
+    for k, v in enumerate(vector):
+        total = total + F.col("_p")[k] * F.lit(float(v))
+    return total
+
+
 def _rate(m: np.ndarray) -> Column:
-    moved = F.lit(0.0)
-    for k, v in enumerate(m):
-        moved = moved + F.col("_p")[k] * F.lit(float(v))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - moved)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - _dot(m))
 
 
-def solve(facts: DataFrame, domains: list[str], settings: Settings) -> np.ndarray:
-    """The vector m of the rates max(0, 1 - posterior . m), from sums over ``facts`` (``_tokens``, ``_p``)."""
-    k = len(domains)
-
-    def sums(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t, rate = F.col("_tokens").cast("double"), _rate(m)
-        active = F.when(rate > 0, t).otherwise(F.lit(0.0))
-        first = [F.sum(t * rate * F.col("_p")[i]) for i in range(k)]
-        second = [F.sum(active * F.col("_p")[i] * F.col("_p")[j]) for i in range(k) for j in range(i + 1)]
-        got = [float(x or 0.0) for x in facts.agg(*[c.alias(f"s{n}") for n, c in enumerate(first + second)]).first()]
-        gram = np.zeros((k, k))
-        gram[np.tril_indices(k)] = got[k:]
-        return np.array(got[:k]), gram + np.tril(gram, -1).T
+@dataclass
+class Fit:
+    """``m`` gives the rates, max(0, 1 - posterior . m); ``residual`` is what the totals of ``targets`` miss, both per token."""
+
+    m: np.ndarray
+    targets: np.ndarray
+    residual: np.ndarray
+    steps: int
+
+
+def fit(facts: DataFrame, domains: list[str], settings: Settings) -> Fit:
+    """Rates of ``facts`` (``_tokens``, ``_p``), from sums over its rows."""
+    k, pull = len(domains), settings.pull
+    t = F.col("_tokens").cast("double")
 
-    m = np.zeros(k)
-    totals, gram = sums(m)
+    def sums(rows: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([float(x or 0.0) for x in rows.agg(*[F.sum(c).alias(f"s{n}") for n, c in enumerate(columns)]).first()])
+
+    totals = sums(facts, [t * F.col("_p")[i] for i in range(k)])
     tokens = totals.sum()
-    if tokens <= 0:
-        return m
     weights = np.array([settings.targets.get(d, 0.0) if totals[i] > 0 else 0.0 for i, d in enumerate(domains)])
-    if not weights.sum():
-        return m
-    targets = weights / weights.sum() * tokens * settings.scale
-    step = 1.0
-    residual = totals - targets - settings.pull * tokens * m
-    for _ in range(settings.steps):
-        if np.abs(residual).max() <= settings.tolerance * tokens:
+    if tokens <= 0 or not weights.sum():
+        return Fit(np.zeros(k), np.zeros(k), np.zeros(k), 0)
+    targets = weights / weights.sum() * settings.scale
+    residual, value = totals / tokens - targets, None
+    rows, written = facts.withColumn("_r", F.lit(1.0)), None
+    for step in range(1, settings.steps + 1):
+        gradient = _dot(residual) + pull * (F.col("_r") - 1)
+        free = (F.col("_r") > 0) | (gradient < 0)
+        share = F.when(free, t / float(tokens)).otherwise(0.0)
+        second = [share * F.col("_p")[i] * F.col("_p")[j] for i in range(k) for j in range(i + 1)]
+        got = sums(rows, second + [share * gradient * F.col("_p")[i] for i in range(k)])
+        gram = np.zeros((k, k))
+        gram[np.tril_indices(k)] = got[: len(second)]
+        gram += np.tril(gram, -1).T
+        # The inverse of pull + p p' over the free rows, applied to the gradient.
+        held = np.linalg.solve(gram + pull * np.eye(k), got[len(second) :])
+        direction = F.when(free, (gradient - _dot(held)) / pull).otherwise(0.0)
+        tried = [F.greatest(F.lit(0.0), F.col("_r") - F.lit(a) * direction) for a in LENGTHS]
+        named = rows.withColumns({f"_r{n}": c for n, c in enumerate(tried)})
+        columns = [t * F.col(f"_r{n}") * F.col("_p")[i] for n in range(len(tried)) for i in range(k)]
+        got = sums(named, columns + [t * F.pow(F.col(f"_r{n}") - 1, 2) for n in range(len(tried))]) / tokens
+        residuals = got[: len(tried) * k].reshape(-1, k) - targets
+        values = (residuals**2).sum(axis=1) + pull * got[len(tried) * k :]
+        best = int(values.argmin()) if value is None or values.min() < value else None
+        if best is None:
+            break
+        moved = np.abs(residuals[best] - residual).max()
+        gained = np.inf if value is None else value - values[best]
+        residual, value = residuals[best], values[best]
+        rows = rows.withColumn("_r", tried[best])
+        if step % WRITTEN == 0:
+            rows = checkpointed(rows.select("_tokens", "_p", "_r"))
+            if written is not None:
+                released(written)
+            written = rows
+        if moved <= settings.tolerance and gained <= settings.tolerance**2:
             break
-        tried = m + step * np.linalg.solve(gram + settings.pull * tokens * np.eye(k), residual)
-        totals_at, gram_at = sums(tried)
-        residual_at = totals_at - targets - settings.pull * tokens * tried
-        if np.linalg.norm(residual_at) < np.linalg.norm(residual):
-            m, residual, gram, step = tried, residual_at, gram_at, min(1.0, 2 * step)
-        else:
-            step /= 2
-    return m
+    return Fit(residual / pull, targets, residual, step)
+
+
+def solve(facts: DataFrame, domains: list[str], settings: Settings) -> np.ndarray:
+    """The vector m of the rates max(0, 1 - posterior . m)."""
+    return fit(facts, domains, settings).m
 
 
-def mixed(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, list[str]]:
+def mixed(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), carry: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """``docs`` with tokens, posterior, rate and copies (columns of these names are replaced), and the domains.
 
-    The rates are fitted on a narrow checkpointed table and then follow from the texts' facts by columns alone,
-    so the texts are described twice and never joined or shuffled.
+    Texts are described once: the rows, or of each what ``carry`` names, are written with tokens and posteriors, and
+    the rates are fitted on these.
     """
-    scored, domains = posteriors(docs, labels, settings)
-    m = solve(checkpointed(scored.select("_tokens", "_p")), domains, settings)
+    spark = docs.sparkSession
+    own = docs if carry is None else docs.select(*dict.fromkeys([*carry, "doc_id", "text"]))
+    left_out = OUTPUT if carry is None else (*OUTPUT, *({"doc_id", "text"} - set(carry)))
+    scored, domains = posteriors(common.wrapped(own, "doc_id", "text", without=left_out), labels, settings)
+    path = scratch_path(spark, "mixing")
+    scored.select("_user", "doc_id", "_tokens", "_p").write.parquet(path)
+    described = spark.read.parquet(path)
+    facts = described.select("_tokens", "_p")
+    facts = checkpointed(common.compact(facts, facts.count(), 500_000))
+    m = solve(facts, domains, settings)
+    released(facts)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11).cast("double") / float(1 << 53)
-    whole = F.floor("rate")
-    kept = [c for c in docs.columns if c not in ("tokens", "posterior", "rate", "copies")]
-    found = scored.select(*kept, F.col("_tokens").alias("tokens"), F.col("_p").alias("posterior"), _rate(m).alias("rate"))
-    return found.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("int")).cast("int")), domains
+    whole = F.floor("_rate")
+    found = described.withColumn("_rate", _rate(m))
+    copies = (whole + (draw < F.col("_rate") - whole).cast("int")).cast("int")
+    return found.select("_user.*", F.col("_tokens").alias("tokens"), F.col("_p").alias("posterior"), F.col("_rate").alias("rate"), copies.alias("copies")), domains

@@ -56,7 +56,8 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    rows, domains = mixing.mixed(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    rows, domains = mixing.mixed(docs, labels, carry=["doc_id", "source"])
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
     return rows.select("doc_id", "source", "tokens", *shares, "rate", "copies")
 
