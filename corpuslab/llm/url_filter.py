@@ -8,7 +8,7 @@ the host's last label, and judge the rest.
 Results by definition: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A to Z in
 lower case; the path follows up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an empty host and
 path. Of fitting rules of one length, block wins. If the rules decide nothing, all else is allowed; if they decide
-all one way, all else is judged that way. Suffixes beyond the ``suffixes`` most frequent share one statistic.
+all one way, all else is judged that way. Every suffix of the table has its own statistics.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ class Settings:
     rows: int = 10_000
     trees: int = 15
     depth: int = 4
-    suffixes: int = 500
 
 
 def host_of(url: Column) -> Column:
@@ -100,30 +99,31 @@ def described(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], settings: Settings = Settings()) -> DataFrame:
     """``pages`` with host, path, rule, verdict and the trees' probability of block (columns of these names are replaced)."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
-    facts = described(pages.select(*kept))
+    facts = described(common.wrapped(pages, "url", without=("host", "path", "rule", "verdict", "p_block")))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     facts = facts.withColumns({"rule": rule, "_ruled": verdict})
-    # Statistics of suffixes over all urls; a few hundred rows, however many urls there are.
+    # Statistics of suffixes over all urls, counted on the map side first.
     counts = facts.groupBy("_suffix").agg(
-        F.count("*").alias("n"), F.sum((F.col("_ruled") == "block").cast("long")).alias("blocked"), F.count("_ruled").alias("ruled")
+        F.count("*").alias("n"), F.coalesce(F.sum((F.col("_ruled") == "block").cast("long")), F.lit(0)).alias("blocked"), F.count("_ruled").alias("ruled")
     )
-    table = counts.orderBy(F.desc("n"), "_suffix").limit(settings.suffixes).collect()
-    total = facts.agg(F.count("*").alias("n"), F.sum((F.col("_ruled") == "block").cast("long")).alias("blocked"), F.count("_ruled").alias("ruled")).first()
-    ruled_rows, blocked = total["ruled"] or 0, total["blocked"] or 0
+    counts = checkpointed(counts)
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "blocked", "ruled")]).first()
+    ruled_rows, blocked = total["ruled"], total["blocked"]
     if not 0 < blocked < ruled_rows:
         constant = "block" if blocked else "allow"
-        return facts.select(*kept, "host", "path", "rule", F.coalesce("_ruled", F.lit(constant)).alias("verdict"), F.lit(float(bool(blocked))).alias("p_block"))
+        return facts.select("_user.*", "host", "path", "rule", F.coalesce("_ruled", F.lit(constant)).alias("verdict"), F.lit(float(bool(blocked))).alias("p_block"))
     prior = blocked / ruled_rows
-    known = {r["_suffix"]: (((r["blocked"] or 0) + prior) / ((r["ruled"] or 0) + 1), r["n"] / total["n"]) for r in table}
-    stats = facts.sparkSession.createDataFrame([(k, *v) for k, v in known.items()], "_suffix string, _suffix_blocked double, _suffix_share double")
-    facts = facts.join(F.broadcast(stats), "_suffix", "left").fillna({"_suffix_blocked": prior, "_suffix_share": 0.0})
+    stats = counts.select(
+        "_suffix", F.col("n").alias("_n"),
+        ((F.col("blocked") + F.lit(prior)) / (F.col("ruled") + 1)).alias("_suffix_blocked"), (F.col("n") / F.lit(total["n"])).alias("_suffix_share"),
+    )
+    facts = common.join_skewed(facts, stats, "_suffix", "_n", total["n"])
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
-    labelled = facts.where(F.col("_ruled").isNotNull()).withColumn("_key", F.xxhash64("url"))
+    labelled = facts.where(F.col("_ruled").isNotNull()).withColumn("_key", F.xxhash64("url")).select("_key", "_ruled", *FEATURES)
     sample = common.bounded_sample(labelled, F.col("_ruled"), "_key", F.lit(1), settings.rows, settings.rows)
     train = checkpointed(assembler.transform(sample).select("_x", (F.col("_ruled") == "block").cast("double").alias("_y")).coalesce(PARTS))
     model = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_best", maxIter=settings.trees, maxDepth=settings.depth, seed=1)
     model = model.setProbabilityCol("_prob").setRawPredictionCol("_raw").fit(train)
     scored = model.transform(assembler.transform(facts)).withColumn("p_block", vector_to_array("_prob")[1])
     judged = F.coalesce("_ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
-    return scored.select(*kept, "host", "path", "rule", judged.alias("verdict"), "p_block")
+    return scored.select("_user.*", "host", "path", "rule", judged.alias("verdict"), "p_block")
