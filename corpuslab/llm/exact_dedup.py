@@ -144,5 +144,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     A row goes by its id and its text: other texts of the same id, or of none, stay.
     """
     gone = checkpointed(find_copies(docs)).where(~F.col("kept")).select(common.row_of(F.col("doc_id"), F.col("text_sha256")).alias("_row"))
-    marked = docs.withColumn("_row", common.row_of(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
-    return common.without(marked, gone.distinct(), "_row").drop("_row")
+    marked = common.wrapped(docs, "doc_id", "text").withColumn("_row", common.row_of(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
+    return common.without(marked, gone.distinct(), "_row").select("_user.*")

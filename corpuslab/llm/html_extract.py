@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,7 @@ RAW = frozenset("script style noscript template textarea select svg math iframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = frozenset("li dt dd tr td th option thead tbody tfoot".split())
+LISTS = frozenset("ul ol dl table".split())
 REGIONS = frozenset("html body div section".split())
 TAGS = (
     "article main section div p h1 h2 h3 h4 blockquote pre ul ol li table td th figure figcaption nav header footer aside form button dialog menu dl a b html body address details"
@@ -73,7 +75,13 @@ class Page:
         self.attributes: list[str] = [""]
         self.parents: list[int] = [-1]
         self.pieces: list[tuple[int, str]] = []
+        self.blocks: list[int] = [0]
+        # Open elements; of these how many there are of each name, and where those stand that end a search for others.
         self._stack = [0]
+        self._open: Counter[str] = Counter()
+        self._solid: list[int] = []
+        self._listed: list[int] = []
+        self._endless: set[str] = set()
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -96,8 +104,12 @@ class Page:
                 if name == "hr":
                     self._break_paragraph()
                 continue
+            if name in RAW and name in self._endless:
+                continue
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at) if name != "head" else re.compile(r"</head\s*>|<body\b", re.IGNORECASE).search(source, at)
+                if not end:
+                    self._endless.add(name)
                 if end or name in ("script", "style"):
                     at = (end.end() if end[0][1] == "/" else end.start()) if end else len(source)
                 continue
@@ -105,44 +117,54 @@ class Page:
                 self._break_paragraph()
             if name in SAME_CLOSES:
                 self._close_same(name)
-            self.parents.append(stack[-1])
-            self.tags.append(name)
-            self.attributes.append(m[3] or m[6] or "")
-            stack.append(len(self.tags) - 1)
+            self._push(name, m[3] or m[6] or "")
         if at < len(source):
             self._text(source[at:])
 
     def _text(self, raw: str) -> None:
         self.pieces.append((self._stack[-1], raw))
 
+    def _push(self, name: str, attributes: str) -> None:
+        node, parent = len(self.tags), self._stack[-1]
+        self.parents.append(parent)
+        self.tags.append(name)
+        self.attributes.append(attributes)
+        self.blocks.append(self.blocks[parent] if name in INLINE else node)
+        if name not in INLINE:
+            self._solid.append(len(self._stack))
+        if name in SAME_CLOSES or name in LISTS:
+            self._listed.append(len(self._stack))
+        self._open[name] += 1
+        self._stack.append(node)
+
+    def _close_from(self, place: int) -> None:
+        for node in self._stack[place:]:
+            self._open[self.tags[node]] -= 1
+        del self._stack[place:]
+        for places in (self._solid, self._listed):
+            while places and places[-1] >= place:
+                places.pop()
+
     def _break_paragraph(self) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[k]]
-            if tag == "p":
-                del self._stack[k:]
-                return
-            if tag not in INLINE:
-                return
+        if self._solid and self.tags[self._stack[self._solid[-1]]] == "p":
+            self._close_from(self._solid[-1])
 
     def _close_same(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[k]]
+        for place in reversed(self._listed):
+            tag = self.tags[self._stack[place]]
             if tag == name or name in ("dt", "dd") and tag in ("dt", "dd") or name in ("td", "th") and tag in ("td", "th"):
-                del self._stack[k:]
+                self._close_from(place)
                 return
-            if tag in ("ul", "ol", "dl", "table", "tr") and not (tag == "tr" and name == "tr"):
+            if tag in LISTS or tag == "tr":
                 return
 
     def _close(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self.tags[self._stack[k]] == name:
-                del self._stack[k:]
-                return
+        if self._open[name]:
+            place = next(k for k in range(len(self._stack) - 1, 0, -1) if self.tags[self._stack[k]] == name)
+            self._close_from(place)
 
     def block_of(self, node: int) -> int:
-        while self.tags[node] in INLINE:
-            node = self.parents[node]
-        return node
+        return self.blocks[node]
 
 
 def features(page: Page) -> np.ndarray:
@@ -218,7 +240,7 @@ def marginals(pages: list[Page], model: Model) -> list[np.ndarray]:
     unary = np.stack([np.zeros(len(odds)), odds], axis=1)
     logsum = np.logaddexp
     bonds = np.log(model.bonds)  # [kind, parent state, child state]
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
     up, inward = np.zeros_like(unary), unary.copy()
     for at in reversed(levels[1:]):
         b = bonds[kind[at]]

@@ -154,7 +154,7 @@ def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_lang_score``; every other column is carried unchanged."""
+    """``docs`` with ``_lang_pred`` and ``_lang_score`` (columns of these names are replaced); every other column is carried unchanged."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.withColumns({"_lang_pred": F.lit(UNDETERMINED), "_lang_score": F.lit(0.0)})
@@ -174,8 +174,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.StructArray.from_arrays([names, pa.array(np.concatenate(scores))], ["pred", "score"])
         common.give_back()
 
-    guess = docs.withColumns({"_guess": scored(F.col("text")), "_lettered": lettered})
+    made, has = common.fresh([*docs.columns, "_lang_pred", "_lang_score"], "_guess", "_lettered")
+    guess = docs.withColumns({made: scored(F.col("text")), has: lettered})
     return guess.withColumns({
-        "_lang_pred": F.when(F.col("_lettered"), F.col("_guess.pred")).otherwise(F.lit(UNDETERMINED)),
-        "_lang_score": F.when(F.col("_lettered"), F.col("_guess.score")).otherwise(F.lit(0.0)),
-    }).drop("_guess", "_lettered")
+        "_lang_pred": F.when(F.col(has), F.col(f"{made}.pred")).otherwise(F.lit(UNDETERMINED)),
+        "_lang_score": F.when(F.col(has), F.col(f"{made}.score")).otherwise(F.lit(0.0)),
+    }).drop(made, has)

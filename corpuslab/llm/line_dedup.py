@@ -47,7 +47,8 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines gone from ``text``, and n_lines and n_removed (columns of these names are replaced)."""
-    docs = docs.drop("n_lines", "n_removed")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = common.wrapped(docs, "doc_id", "text", without=("n_lines", "n_removed", "text"))
     starts = checkpointed(covered(docs))
     near = common.maybe_in(starts, "doc_id")
     hit = docs.where(near(F.col("doc_id"))).join(starts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
@@ -59,4 +60,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.when(F.col("text").isNull() | F.col("_starts").isNull(), 0).otherwise(F.size(gone)).cast("long"),
         "text": F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
-    }).drop("_starts")
+    }).select(*[F.col("text") if c == "text" else F.col(f"_user.`{c}`") for c in columns], "n_lines", "n_removed")
