@@ -122,13 +122,13 @@ def promote_tags(spark, folder):
 
 @query("head_cases", f"WITH {views.CASES} SELECT case_id, prompt FROM cases_v ORDER BY case_id LIMIT 21")
 def head_cases(spark, folder):
-    return ordered.row_slice(views.cases(spark, folder), [F.col("case_id")], limit=21).select("case_id", "prompt")
+    return ordered.row_slice(views.cases(spark, folder), ["case_id"], limit=21).select("case_id", "prompt")
 
 
 @query("case_slice", f"WITH {views.CASES} SELECT case_id FROM cases_v ORDER BY case_id OFFSET 50")
 def case_slice(spark, folder):
     """Everything from the 51st case on: too many rows for a top-k plan."""
-    return ordered.row_slice(views.cases(spark, folder).select("case_id"), [F.col("case_id")], offset=50)
+    return ordered.row_slice(views.cases(spark, folder).select("case_id"), ["case_id"], offset=50)
 
 
 @query("canonical_keep", f"""WITH {views.CASES}, {views.REVIEWS}

@@ -100,10 +100,7 @@ SELECT beta, a.run_name, a.step, a.n AS step_no, round(sum((1 - beta) * pow(beta
 FROM b, e a JOIN e h ON a.run_name = h.run_name AND h.n <= a.n GROUP BY beta, a.run_name, a.step, a.n""")
 def ema_loss(spark, folder):
     steps = evals(spark, folder).select("run_name", "step", "loss")
-    rows = None
-    for beta in BETAS:
-        smooth = experiments.smoothed_loss(steps, beta=beta).select(F.lit(beta).alias("beta"), "run_name", "step", "step_no", "smooth_loss")
-        rows = smooth if rows is None else rows.unionByName(smooth)
+    rows = experiments.smoothed_losses(steps, BETAS).select("beta", "run_name", "step", "step_no", "smooth_loss")
     return views.rounded(rows, ["smooth_loss"])
 
 

@@ -6,13 +6,11 @@ campaign and gives the order, ``metric`` (lower is better), ``status`` and ``des
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslab.functions import metrics
 from corpuslab.operators import ordered
@@ -21,8 +19,10 @@ from corpuslab.session import checkpointed
 KEPT, DISCARDED, CRASHED = "KEEP", "DISCARD", "CRASH"
 REGION_MARGIN = 0.0005
 EMA_BETA = 0.9
-# Rows that one task smooths in a go; the state is carried exactly from one such chunk to the next.
+# Rows of a block at most; a block's scale grows to e ** EMA_SCALE, and a share of e ** -EMA_REST is less than any rounding.
 EMA_CHUNK = 65_536
+EMA_SCALE = 230.0
+EMA_REST = 120.0
 EXPLODED_LOSS = 100.0
 WARMUP_STEPS = 10
 
@@ -102,104 +102,108 @@ def early_stop(
 ) -> DataFrame:
     """Where each run stops and its best step.
 
-    An evaluation improves on the best when it is lower by more than ``min_delta``; the run stops at
-    the ``patience``-th evaluation in a row that does not. Only a new minimum can be an improvement,
-    so the path-dependent walk reads the new minima alone; they and their positions come from chunked
-    prefixes. The walk streams through sorted rows with one small state and collects nothing.
+    An evaluation improves on the best when it is lower by more than ``min_delta``; the run stops at the
+    ``patience``-th evaluation in a row that does not. Only new minima can improve, and what improves on one of them
+    depends on that one alone: the first minimum lower by more than ``min_delta``. So each minimum gets a pointer to
+    its successor, or to itself where the run stops before or none comes, and doubling the pointers leads the first
+    one to the best in as many joins as the logarithm of the improvements. No step of it holds a run in one task.
     """
-    placed = ordered.prefixed(
-        evals.select(run, step, loss).filter(F.col(loss).isNotNull()), [run], step,
-        {"_no": ("ordinal", None), "_min_before": ("min_before", loss)},
-    )
-    minima = placed.filter(F.col("_min_before").isNull() | (F.col(loss) < F.col("_min_before"))).select(
-        F.col(run).alias("run"), F.col(step).alias("step"), F.col(loss).alias("loss"), F.col("_no").alias("no")
-    )
-    key_type = evals.schema[run].dataType.simpleString()
-    walked = minima.repartition("run").sortWithinPartitions("run", "no").mapInPandas(
-        _walk_minima(patience, min_delta), f"run {key_type}, best_step long, best_loss double, best_no long"
-    )
-    sizes = evals.filter(F.col(loss).isNotNull()).groupBy(run).agg(F.count(F.lit(1)).alias("n_evals"))
+    narrow = evals.select(F.col(run).alias("run"), F.col(step).alias("step"), F.col(loss).alias("loss")).filter(F.col("loss").isNotNull())
+    placed = ordered.prefixed(narrow, ["run"], "step", {"no": ("ordinal", None), "low": ("min_before", "loss")})
+    minima = placed.filter(F.col("low").isNull() | (F.col("loss") < F.col("low"))).drop("low")
+    best = _best_of(minima, patience, min_delta)
+    sizes = narrow.groupBy("run").agg(F.count(F.lit(1)).alias("n_evals"))
     stop_no = F.when(F.col("n_evals") >= F.col("best_no") + patience, F.col("best_no") + patience)
-    stops = walked.withColumnRenamed("run", run).join(sizes, run).withColumn("_stop_no", stop_no)
-    at_stop = placed.select(F.col(run).alias("_run"), F.col(step).alias("stop_step"), F.col("_no"))
-    return stops.join(
-        at_stop, (F.col(run) == F.col("_run")) & (F.col("_stop_no") == F.col("_no")), "left"
-    ).select(run, "best_step", "best_loss", "stop_step", F.col("_stop_no").isNotNull().alias("stopped"), "n_evals")
-
-
-def _walk_minima(patience: int, min_delta: float):
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = best = None
-        open_run = False
-        for batch in batches:
-            closed = []
-            for key, step, loss, no in zip(batch["run"], batch["step"], batch["loss"], batch["no"]):
-                if best is None or key != run:
-                    if best is not None:
-                        closed.append((run, *best))
-                    run, best, open_run = key, (int(step), float(loss), int(no)), True
-                elif open_run:
-                    if no > best[2] + patience:
-                        open_run = False
-                    elif loss < best[1] - min_delta:
-                        best = (int(step), float(loss), int(no))
-            if closed:
-                yield pd.DataFrame(closed, columns=["run", "best_step", "best_loss", "best_no"])
-        if best is not None:
-            yield pd.DataFrame([(run, *best)], columns=["run", "best_step", "best_loss", "best_no"])
-
-    return walk
+    stops = best.join(sizes, best["run"].eqNullSafe(sizes["run"])).select(best["run"], "best_step", "best_loss", "n_evals", stop_no.alias("stop_no"))
+    at_stop = placed.select(F.col("run").alias("_run"), F.col("step").alias("stop_step"), "no")
+    found = stops.join(at_stop, F.col("run").eqNullSafe(F.col("_run")) & (F.col("stop_no") == F.col("no")), "left")
+    return found.select(F.col("run").alias(run), "best_step", "best_loss", "stop_step", F.col("stop_no").isNotNull().alias("stopped"), "n_evals")
+
+
+def _best_of(minima: DataFrame, patience: int, min_delta: float) -> DataFrame:
+    """(run, best_step, best_loss, best_no) from the strict running minima (run, step, loss, no) of each run.
+
+    A run's minima fall, so the first one below a bound is the one of least number below it: with minima and bounds in
+    one order of their values, the least number among the minima before a bound.
+    """
+    asked = minima.select("run", F.struct((F.col("loss") - min_delta).alias("at"), F.lit(0).alias("kind"), "no").alias("place"), F.lit(None).cast("long").alias("low_no"))
+    given = minima.select("run", F.struct(F.col("loss").alias("at"), F.lit(1).alias("kind"), "no").alias("place"), F.col("no").alias("low_no"))
+    met = ordered.prefixed(asked.unionByName(given), ["run"], "place", {"next": ("min_before", "low_no")})
+    inside = F.col("next") <= F.col("place.no") + patience
+    links = met.filter(F.col("place.kind") == 0).select("run", F.col("place.no").alias("no"), F.when(inside, F.col("next")).otherwise(F.col("place.no")).alias("to"))
+    links = checkpointed(links)
+    while True:
+        onward = links.select(F.col("run").alias("_run"), F.col("no").alias("_no"), F.col("to").alias("_to"))
+        jumped = links.join(onward, F.col("run").eqNullSafe(F.col("_run")) & (F.col("to") == F.col("_no")))
+        jumped = checkpointed(jumped.select("run", "no", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved")))
+        links = jumped.select("run", "no", "to")
+        if jumped.filter((F.col("no") == 1) & F.col("moved")).isEmpty():
+            break
+    ends = links.filter(F.col("no") == 1).select(F.col("run").alias("_run"), "to")
+    found = ends.join(minima, F.col("_run").eqNullSafe(F.col("run")) & (F.col("to") == F.col("no")))
+    return found.select("run", F.col("step").cast("long").alias("best_step"), F.col("loss").cast("double").alias("best_loss"), F.col("no").alias("best_no"))
 
 
 # --- loss telemetry -------------------------------------------------------------------------
 
-def smoothed_loss(
-    steps: DataFrame, run: str = "run_name", step: str = "step", loss: str = "loss", beta: float = EMA_BETA
+def smoothed_losses(
+    steps: DataFrame, betas: Sequence[float], run: str = "run_name", step: str = "step", loss: str = "loss"
 ) -> DataFrame:
-    """Add ``step_no`` (from 0) and ``smooth_loss``, the bias-corrected moving average.
+    """``steps`` once for each of ``betas``, with ``beta``, ``step_no`` (from 0) and ``smooth_loss``, the bias-corrected moving average.
 
-    Each chunk of consecutive steps is smoothed from zero and summarised by its length and last value. Summaries
-    give the state that each chunk starts from, ``state * beta ** length + last``, and a step's value is that of
-    its chunk plus the decayed state: exact for any beta between 0 and 1 and any number of steps. A NaN loss
-    stays in the average; a null one counts as 0.
+    Steps are numbered once and cut into blocks by their number. Inside a block the average from zero is a running sum
+    of losses scaled by ``beta ** -place``, which a block is short enough for. The state that a block starts from is the
+    sum of the blocks before it, each ``beta ** length`` less; as many are summed as leave a share that no double shows.
+    A NaN loss stays in the average, and so does an infinite one; a null one counts as 0. All columns are carried:
+    callers pass narrow rows.
     """
-    numbered = ordered.prefixed(steps, [run], step, {"_no": ("ordinal", None)}).withColumns(
-        {"_chunk": F.floor((F.col("_no") - 1) / F.lit(EMA_CHUNK)), "_at": F.pmod(F.col("_no") - 1, F.lit(EMA_CHUNK))}
+    own = F.struct(*[F.col(f"`{c}`") for c in steps.columns]).alias("user")
+    narrow = steps.select(F.col(run).alias("run"), F.col(step).alias("step"), F.coalesce(F.col(loss).cast("double"), F.lit(0.0)).alias("x"), own)
+    numbered = ordered.prefixed(narrow, ["run"], "step", {"no": ("ordinal", None)})
+    odd = F.isnan("x") | (F.abs("x") == math.inf)
+    first = lambda wanted: F.min(F.when(wanted, F.col("no")))
+    odd_at = numbered.filter(odd).groupBy(F.col("run").alias("_odd")).agg(
+        first(F.isnan("x")).alias("nan"), first(F.col("x") == math.inf).alias("up"), first(F.col("x") == -math.inf).alias("down")
     )
-    schema = T.StructType([*numbered.schema.fields, T.StructField("_part", T.DoubleType())])
-    parts = checkpointed(numbered.groupBy(run, "_chunk").applyInArrow(_smoothed_from_zero(loss, beta), schema))
-    summary = parts.groupBy(run, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max_by("_part", "_at").alias("_last"))
-    key_type = steps.schema[run].dataType.simpleString()
-    states = summary.groupBy(run).applyInArrow(_chunk_states(run, beta), f"_run {key_type}, _of long, _state double")
-    joined = parts.join(states, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_chunk") == F.col("_of")))
-    smooth = F.col("_part") + F.col("_state") * F.pow(F.lit(beta), F.col("_at") + 1)
-    debiased = smooth / (F.lit(1.0) - F.pow(F.lit(beta), F.col("_no").cast("double")))
-    return joined.select(*steps.columns, (F.col("_no") - 1).alias("step_no"), debiased.alias("smooth_loss"))
-
-
-def _smoothed_from_zero(loss: str, beta: float):
-    def smooth(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_at")
-        losses = rows[loss].combine_chunks()
-        state, out = 0.0, []
-        for x in losses.fill_null(0.0).to_pylist():
-            state = beta * state + (1 - beta) * x
-            out.append(state)
-        return rows.append_column("_part", pa.array(out, pa.float64()))
-
-    return smooth
-
-
-def _chunk_states(run: str, beta: float):
-    def states(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_chunk")
-        state, out = 0.0, []
-        for n, last in zip(rows["_n"].to_pylist(), rows["_last"].to_pylist(), strict=True):
-            out.append(state)
-            state = state * beta**n + last
-        return pa.table({"_run": rows[run], "_of": rows["_chunk"], "_state": pa.array(out, pa.float64())})
-
-    return states
+    met = lambda name: F.coalesce(F.col("no") >= F.col(name), F.lit(False))
+    found = None
+    for beta in betas:
+        smooth = _smoothed(numbered.withColumn("x", F.when(odd, 0.0).otherwise(F.col("x"))), beta)
+        joined = smooth.join(odd_at, F.col("run").eqNullSafe(F.col("_odd")), "left")
+        value = (
+            F.when(met("nan") | (met("up") & met("down")), F.lit(math.nan))
+            .when(met("up"), F.lit(math.inf)).when(met("down"), F.lit(-math.inf)).otherwise(F.col("smooth"))
+        )
+        rows = joined.select(F.lit(float(beta)).alias("beta"), "user.*", (F.col("no") - 1).alias("step_no"), value.alias("smooth_loss"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def smoothed_loss(
+    steps: DataFrame, run: str = "run_name", step: str = "step", loss: str = "loss", beta: float = EMA_BETA
+) -> DataFrame:
+    """``steps`` with ``step_no`` and ``smooth_loss``, as ``smoothed_losses`` has them for one beta."""
+    return smoothed_losses(steps, [beta], run, step, loss).select(*steps.columns, "step_no", "smooth_loss")
+
+
+def _smoothed(numbered: DataFrame, beta: float) -> DataFrame:
+    """``numbered`` (run, no, x) with ``smooth``; x is finite."""
+    if not 0 <= beta < 1:
+        raise ValueError("beta must be at least 0 and less than 1")
+    fall = -math.log(beta) if beta else math.inf
+    block = max(1, min(EMA_CHUNK, int(EMA_SCALE / fall)))
+    back = max(1, math.ceil(EMA_REST / (fall * block)))
+    share = lambda power: F.pow(F.lit(float(beta)), power.cast("double"))
+    rows = numbered.withColumns({"block": F.floor((F.col("no") - 1) / F.lit(block)), "at": F.pmod(F.col("no") - 1, F.lit(block)).cast("int")})
+    own = F.col("x") * (1 - beta)
+    full = rows.groupBy("run", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(own * share(F.lit(block - 1) - F.col("at"))).alias("last"))
+    ahead = full.filter(F.col("n") == block).select("run", "last", "block", F.explode(F.sequence(F.lit(1), F.lit(back))).alias("d"))
+    states = ahead.groupBy(F.col("run").alias("_run"), (F.col("block") + F.col("d")).alias("_block")).agg(F.sum(F.col("last") * share((F.col("d") - 1) * block)).alias("state"))
+    inside = Window.partitionBy("run", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.withColumn("part", F.sum(own / share(F.col("at"))).over(inside) * share(F.col("at")))
+    joined = parts.join(states, F.col("run").eqNullSafe(F.col("_run")) & (F.col("block") == F.col("_block")), "left")
+    smooth = F.col("part") + F.coalesce("state", F.lit(0.0)) * share(F.col("at") + 1)
+    return joined.withColumn("smooth", smooth / (F.lit(1.0) - share(F.col("no"))))
 
 
 def step_telemetry(

@@ -9,12 +9,17 @@ for each partition is carried forward, and the window runs inside a chunk.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corpuslab.session import checkpointed
 
+# A slice from the start of at most so many rows is taken as a top-k.
+TOP_ROWS = 10_000
+
+
 def _carry(kind: str, frame) -> Column:
     if kind == "ordinal":
         return F.sum("_n").over(frame)
@@ -113,12 +118,120 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
     )
 
 
-def row_slice(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in the given order; a limit of 0 means all the rest. They come out sorted."""
-    if offset == 0 and limit == 0:
-        return df
-    numbered = ranked(df, [], order, "_position")
-    wanted = F.col("_position") > offset
-    if limit:
-        wanted = wanted & (F.col("_position") <= offset + limit)
-    return numbered.filter(wanted).orderBy("_position").drop("_position")
+@dataclass(frozen=True)
+class Key:
+    """A sort key: nulls come first in ascending and last in descending order."""
+
+    name: str
+    descending: bool = False
+
+    def sorted(self) -> Column:
+        return F.col(self.name).desc() if self.descending else F.col(self.name).asc()
+
+    def after(self, value: Column, none: bool) -> Column:
+        """Whether a row's key comes after ``value``, which is null if ``none``."""
+        if self.descending:
+            return F.lit(False) if none else F.col(self.name).isNull() | (F.col(self.name) < value)
+        return F.col(self.name).isNotNull() if none else F.col(self.name) > value
+
+    def reached(self, row: Row, kinds: Mapping[str, str]) -> Column:
+        """Whether this key alone comes after that of ``row`` or is the same: a plain comparison, which scans can use."""
+        value = F.lit(row[self.name]).cast(kinds[self.name])
+        if row[self.name] is None:
+            return F.col(self.name).isNull() if self.descending else F.lit(True)
+        return F.col(self.name).isNull() | (F.col(self.name) <= value) if self.descending else F.col(self.name) >= value
+
+    def not_after(self, row: Row, kinds: Mapping[str, str]) -> Column:
+        """Whether this key alone comes before that of ``row`` or is the same."""
+        value = F.lit(row[self.name]).cast(kinds[self.name])
+        if row[self.name] is None:
+            return F.lit(True) if self.descending else F.col(self.name).isNull()
+        return F.col(self.name) >= value if self.descending else F.col(self.name).isNull() | (F.col(self.name) <= value)
+
+
+@dataclass(frozen=True)
+class Boundary:
+    """The keys of one row, how many rows come before it, and how many have its keys."""
+
+    row: Row
+    before: int
+    ties: int
+
+
+def _compared(keys: Sequence[Key], row: Row, kinds: Mapping[str, str]) -> tuple[Column, Column]:
+    """Whether a row comes after ``row``, and whether it has its keys."""
+    after, equal = F.lit(False), F.lit(True)
+    for key in keys:
+        value = F.lit(row[key.name]).cast(kinds[key.name])
+        after = after | (equal & key.after(value, row[key.name] is None))
+        equal = equal & F.col(key.name).eqNullSafe(value)
+    return F.coalesce(after, F.lit(False)), equal
+
+
+def _boundary(narrow: DataFrame, keys: Sequence[Key], counts: Sequence[Row], rank: int) -> Boundary | None:
+    """The boundary at ``rank``, from 1; its keys are read from the one range that holds them."""
+    before = 0
+    for found in counts:
+        if rank <= before + found["n"]:
+            inside = Window.partitionBy("_part").orderBy(*[k.sorted() for k in keys])
+            own = narrow.filter(F.col("_part") == found["_part"]).withColumn("_no", F.row_number().over(inside))
+            row = own.filter(F.col("_no") == rank - before).first()
+            after, equal = _compared(keys, row, dict(narrow.dtypes))
+            got = narrow.agg(F.count_if(after).alias("a"), F.count_if(equal).alias("e"), F.count(F.lit(1)).alias("n")).first()
+            return Boundary(row, got["n"] - got["a"] - got["e"], got["e"])
+        before += found["n"]
+    return None
+
+
+def row_slice(df: DataFrame, order: Sequence[str | Key], offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the given order; a limit of 0 means all the rest. They come out sorted.
+
+    A slice of few rows from the start is a plain top-k. Any other is cut out between two boundary rows: the keys alone
+    are put in ranges, counted, and the boundaries read from the two ranges that hold them, so that the wide rows meet
+    a filter on the keys, which reaches the scan, and are not moved but to sort what is left. Of rows with equal keys at
+    a boundary as many belong to the slice as its size asks for, in the order of a hash of their contents.
+    """
+    keys = [k if isinstance(k, Key) else Key(k) for k in order]
+    return df if offset == 0 and limit == 0 else _cut(df, keys, offset, limit).orderBy(*[k.sorted() for k in keys])
+
+
+def _cut(df: DataFrame, keys: Sequence[Key], offset: int, limit: int, last: bool = False) -> DataFrame:
+    by, kinds = [k.sorted() for k in keys], dict(df.dtypes)
+    if offset == 0 and limit <= TOP_ROWS:
+        return df.orderBy(*by).limit(limit)
+    ranged = df.select(*[k.name for k in keys]).repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    narrow = checkpointed(ranged)
+    counts = sorted(narrow.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"])
+    low = _boundary(narrow, keys, counts, offset) if offset else None
+    high = _boundary(narrow, keys, counts, offset + limit) if limit else None
+    if offset and low is None:
+        return df.limit(0)
+    if low and high and all(low.row[k.name] == high.row[k.name] for k in keys):
+        return _tied(df, keys, high, offset - high.before, offset + limit - high.before, last)
+    inside, ends = F.lit(True), []
+    if low:
+        after, _ = _compared(keys, low.row, kinds)
+        inside = inside & keys[0].reached(low.row, kinds) & after
+        ends.append(_tied(df, keys, low, offset - low.before, low.ties, last))
+    if high:
+        after, equal = _compared(keys, high.row, kinds)
+        inside = inside & keys[0].not_after(high.row, kinds) & ~after & ~equal
+        ends.append(_tied(df, keys, high, 0, offset + limit - high.before, last))
+    found = df.filter(inside)
+    for rows in ends:
+        found = found if rows is None else found.unionByName(rows)
+    return found
+
+
+def _tied(df: DataFrame, keys: Sequence[Key], at: Boundary, skip: int, upto: int, last: bool) -> DataFrame | None:
+    """The rows ``skip`` to ``upto`` of those with the boundary's keys, in the order of a hash; rows with one hash are any of them."""
+    if skip >= upto:
+        return None
+    _, equal = _compared(keys, at.row, dict(df.dtypes))
+    rows = df.filter(equal)
+    if skip == 0 and upto == at.ties:
+        return rows
+    if last:
+        return rows.limit(upto - skip)
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return _cut(rows.withColumn("_content", F.xxhash64(*hashed)), [Key("_content")], skip, upto - skip, last=True).drop("_content")

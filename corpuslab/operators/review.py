@@ -29,7 +29,7 @@ def paired_runs(
         shared = l.select("case_id").join(r.select("case_id"), "case_id", "left_semi")
         if shared.isEmpty():
             raise keys.CheckFailed("The two runs share no case.")
-    return pairs if limit is None else ordered.row_slice(pairs, [F.col("case_id")], 0, limit)
+    return pairs if limit is None else ordered.row_slice(pairs, ["case_id"], 0, limit)
 
 
 def resolved_labels(
@@ -107,7 +107,7 @@ def sample_session(batch: DataFrame) -> DataFrame:
 def review_batch(cases: DataFrame, rated: Sequence[DataFrame], offset: int = 0, limit: int = 0) -> DataFrame:
     """Cases no earlier rating names, in id order, from ``offset`` on; a limit of 0 means all."""
     open_cases = keys.without_keys(cases, keys.excluded_ids(rated)) if rated else cases
-    return ordered.row_slice(open_cases, [F.col("case_id")], offset, limit)
+    return ordered.row_slice(open_cases, ["case_id"], offset, limit)
 
 
 def slot_field(options: Column, slot: str, field: str) -> Column:

@@ -1,15 +1,24 @@
-"""Ratings ingest: the first valid rating of an item counts, everything else goes to a dead-letter table."""
+"""Ratings ingest: the first valid rating of an item counts, everything else goes to a dead-letter table.
+
+``route`` judges one batch against the ids accepted before it. The stream holds these ids in keyed state instead, so a
+micro-batch costs what it brings, however many ratings have come before.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from corpuslab.operators.review import PAIR_VERDICTS, SAMPLE_DECISIONS
 from corpuslab.session import checkpointed
+from corpuslab.streaming import state
 
+# Rows whose id decides nothing are spread over so many keys.
+SPREAD = 256
 MISSING_ID, REPEATED, UNKNOWN, INVALID = "missing_id", "already_rated", "unknown_item", "invalid_answer"
 
 
@@ -66,28 +75,76 @@ def read_ratings(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
+class FirstValid(StatefulProcessor):
+    """Per id: whether an answer was accepted. The first valid row by arrival, then content, is; all others are refused."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getValueState("accepted", "turn string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows, first = sorted(rows, key=lambda r: (r["_arrival"] is not None, r["_arrival"], r["_content"])), None
+        known = key[0] is not None and rows[0]["_known"]
+        before = known and self.accepted.exists()
+        if known and not before:
+            first = next((k for k, r in enumerate(rows) if r["_valid"]), None)
+            if first is not None:
+                self.accepted.update((str(rows[first]["_arrival"]),))
+        for k, row in enumerate(rows):
+            if key[0] is None:
+                reason = MISSING_ID
+            elif before:
+                reason = REPEATED
+            elif not known:
+                reason = UNKNOWN
+            elif first is not None and k > first:
+                reason = REPEATED
+            else:
+                reason = None if k == first else INVALID
+            yield Row(**{c: row[c] for c in self.columns}, reason=reason)
+
+    def close(self) -> None:
+        pass
+
+
+def routed(stream: DataFrame, items: DataFrame, arrival: str, session_type: str = "blind_pair") -> DataFrame:
+    """``stream`` with ``reason``: null for the first valid rating of each known item, else why a row is refused.
+
+    The state holds one short value for each accepted id. Rows of one id that a micro-batch brings are judged together in
+    one task (``maxFilesPerTrigger`` bounds them); rows without an id, or of unknown items, are spread over many keys.
+    """
+    column, allowed = answers(session_type)
+    known = items.select("review_id").distinct().withColumn("_known", F.lit(True))
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns])))
+    facts = stream.join(known, "review_id", "left").withColumns({
+        "_known": F.coalesce("_known", F.lit(False)), "_valid": F.coalesce(F.col(column).isin(*allowed), F.lit(False)),
+        "_arrival": F.col(arrival), "_content": content,
+    })
+    alone = F.col("review_id").isNull() | ~F.col("_known")
+    keyed = facts.withColumn("_salt", F.when(alone, F.pmod("_content", F.lit(SPREAD))).otherwise(F.lit(-1)))
+    schema = T.StructType([*stream.schema.fields, T.StructField("reason", T.StringType())])
+    return keyed.groupBy("review_id", "_salt").transformWithState(FirstValid(stream.columns), schema, "Append", "None")
+
+
 def start(
     stream: DataFrame, items: DataFrame, path: str, arrival: str, session_type: str = "blind_pair", once: bool = False
 ) -> StreamingQuery:
-    """Start the ingest: ``<path>/accepted``, ``<path>/refused`` and its checkpoint below ``path``.
-
-    Of what was accepted before, a batch reads the id column alone.
-    """
-    spark = stream.sparkSession
+    """Start the ingest: ``<path>/accepted``, ``<path>/refused`` and its checkpoint, with the state, below ``path``."""
+    spark, columns = stream.sparkSession, stream.columns
     accepted_path, refused_path = f"{path}/accepted", f"{path}/refused"
-    schema = stream.schema
-    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
+    empty = spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())]))
     empty.write.mode("append").partitionBy("batch_id").parquet(accepted_path)
 
     def ingest(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            earlier = read_ratings(batch.sparkSession, accepted_path, schema).filter(F.col("batch_id") < number)
-            accepted, refused = route(batch, items, earlier, arrival, session_type)
-            _write(refused, refused_path, number)
-            _write(accepted, accepted_path, number)
+            _write(batch.where(F.col("reason").isNotNull()), refused_path, number)
+            _write(batch.where(F.col("reason").isNull()).select(*columns), accepted_path, number)
         finally:
             batch.unpersist()
 
-    writer = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", f"{path}/checkpoint")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state.keyed_store(spark):
+        writer = routed(stream, items, arrival, session_type).writeStream.foreachBatch(ingest).option("checkpointLocation", f"{path}/checkpoint")
+        return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslab.operators import evaluation
+from corpuslab.streaming import snapshots
 
-SNAPSHOT = T.StructType([
+SUMMARY = T.StructType([
     T.StructField("run_name", T.StringType()),
     T.StructField("num_cases", T.LongType()),
     T.StructField("syntax_success_rate", T.DoubleType()),
     T.StructField("render_success_rate", T.DoubleType()),
     T.StructField("mean_case_score", T.DoubleType()),
-    T.StructField("version", T.LongType()),
 ])
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each run. A version holds the runs that changed in it, so nothing is rewritten."""
-    rows = spark.read.schema(SNAPSHOT).parquet(f"{path}/snapshot")
-    newest = F.max_by(F.struct("num_cases", "syntax_success_rate", "render_success_rate", "mean_case_score"), "version")
-    return rows.groupBy("run_name").agg(newest.alias("s")).select("run_name", "s.*")
+    """The newest row of each run."""
+    return snapshots.latest(spark, path, "run_name", SUMMARY)
 
 
-def start(results: DataFrame, path: str, once: bool = False) -> StreamingQuery:
-    """Aggregate scored results per run; the state is one row per run."""
-    empty = results.sparkSession.createDataFrame([], SNAPSHOT)
-    empty.write.mode("append").partitionBy("version").parquet(f"{path}/snapshot")
-
+def start(results: DataFrame, path: str, once: bool = False, every: int = snapshots.EVERY) -> StreamingQuery:
+    """Aggregate scored results per run; the state is one row per run. ``every`` micro-batches the rows are folded into a base."""
     def publish(changed: DataFrame, number: int) -> None:
-        (
-            changed.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{path}/snapshot")
-        )
+        snapshots.publish(changed.select(*SUMMARY.names), number, path, "run_name", every)
 
     writer = (
         evaluation.run_summary(results).writeStream.outputMode("update").foreachBatch(publish)

@@ -50,7 +50,7 @@ def test_ranks_equal_a_sort(series):
 @pytest.mark.parametrize("offset, limit", [(0, 0), (5, 10), (100, 0), (400, 100), (1000, 5)])
 def test_slices(series, offset, limit):
     rows, df = series
-    found = ordered.row_slice(df, [F.col("k"), F.col("o")], offset, limit).collect()
+    found = ordered.row_slice(df, ["k", "o"], offset, limit).collect()
     wanted = sorted(rows)[offset:]
     assert sorted(tuple(r) for r in found) == (wanted[:limit] if limit else wanted)
 
@@ -164,3 +164,68 @@ def test_a_budget_over_null_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, None), (3, "abc")], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus.char_budget(docs, "doc_id", 2).orderBy("doc_id").collect()] == [1, 2, 3]
     assert corpus.char_budget(docs.where("text is null"), "doc_id", 2).count() == 2
+
+
+@pytest.mark.parametrize("top", [0, 10_000])
+@pytest.mark.parametrize("descending", [False, True])
+def test_slices_of_tied_and_null_keys_are_pages(spark, monkeypatch, descending, top):
+    monkeypatch.setattr(ordered, "TOP_ROWS", top)
+    maker = random.Random(3)
+    values = [None] * 7 + ["hot"] * 60 + [maker.choice("abcxyz") for _ in range(60)]
+    rows = [(v, maker.choice([None, 1.5, 2.5]), k // 2) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, v double, n long").repartition(5)
+    order = [ordered.Key("k", descending), ordered.Key("v")]
+    rank = lambda r: (((r[0] is None) != descending, "" if r[0] is None else r[0]), (r[1] is not None, r[1] or 0))
+    wanted = sorted(rows, key=lambda r: rank(r)[1])
+    wanted.sort(key=lambda r: (r[0] is not None, r[0] or ""), reverse=descending)
+    pages = []
+    for offset in range(0, len(rows), 45):
+        page = [tuple(r) for r in ordered.row_slice(df, order, offset, 45).collect()]
+        assert [r[:2] for r in page] == [r[:2] for r in wanted[offset : offset + 45]]
+        pages += page
+    assert sorted(pages, key=repr) == sorted(rows, key=repr)
+    rest = [tuple(r) for r in ordered.row_slice(df, order, 100).collect()]
+    assert sorted(rest, key=repr) == sorted(pages[100:] if len(pages) > 100 else [], key=repr) or len(rest) == len(rows) - 100
+
+
+def test_a_slice_filters_in_the_scan_and_checkpoints_keys_alone(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(3000).selectExpr("id AS k", "repeat('x', 100) AS wide").write.parquet(path)
+    plan = ordered.row_slice(spark.read.parquet(path), ["k"], 1000, 50)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,1000)" in text.replace("999", "1000") and "LessThanOrEqual(k,1049)" in text and "ExistingRDD" not in text
+    assert [r["k"] for r in plan.collect()] == list(range(1000, 1050))
+
+
+@pytest.mark.parametrize("beta", [0.0, 0.4, 0.9, 0.9999])
+def test_averages_keep_odd_losses_and_their_columns(spark, monkeypatch, beta):
+    monkeypatch.setattr(experiments, "EMA_CHUNK", 16)
+    losses = [1e12, 5.0, None, 2.0, *[float(i % 7) for i in range(100)], float("inf"), 1.0, float("-inf"), 3.0]
+    rows = [(None, i * 3, x, "kept") for i, x in enumerate(losses)]
+    df = spark.createDataFrame(rows, "run_name string, step long, loss double, no string")
+    got = sorted((r["step_no"], r["smooth_loss"], r["no"], r["loss"]) for r in experiments.smoothed_loss(df, beta=beta).drop("run_name").collect() if r["loss"] is not None)
+    state, at = 0.0, 0
+    for i, x in enumerate(losses):
+        if beta == 0 and i > len(losses) - 5:
+            break  # 0 times infinity
+        state = beta * state + (1 - beta) * (x or 0.0)
+        if x is None:
+            continue
+        want = state / (1 - beta ** (i + 1))
+        assert got[at][0] == i and got[at][2] == "kept" and (got[at][1] == pytest.approx(want, rel=1e-9) or (want != want and got[at][1] != got[at][1])), i
+        at += 1
+
+
+def test_a_falling_run_is_followed_by_pointers_over_many_tasks(spark):
+    n = 20_000
+    falling = spark.range(n).selectExpr("'hot' AS run_name", "id * 3 AS step", "CAST((%d - id) * 0.004 AS DOUBLE) AS loss" % n)
+    more = spark.createDataFrame([(None, 1, 2.0), (None, 2, 1.0), (None, 3, 1.0), ("one", 5, 0.5)], "run_name string, step long, loss double")
+    rows = falling.unionByName(more).repartition(6)
+    found = {r["run_name"]: r for r in experiments.early_stop(rows, patience=3, min_delta=0.01).collect()}
+    want = walk([(3 * i, (n - i) * 0.004) for i in range(n)], 3, 0.01)
+    assert (found["hot"]["best_step"], found["hot"]["best_loss"], found["hot"]["stop_step"]) == pytest.approx(want)
+    assert (found[None]["best_step"], found[None]["n_evals"], found["one"]["best_loss"]) == (2, 3, 0.5)
+    stopped = {r["run_name"]: r for r in experiments.early_stop(rows, patience=2, min_delta=0.01).collect()}["hot"]
+    assert (stopped["best_step"], stopped["stop_step"]) == walk([(3 * i, (n - i) * 0.004) for i in range(n)], 2, 0.01)[::2]
+    plan = experiments.early_stop(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
