@@ -161,6 +161,14 @@ def fresh(taken: DataFrame | list[str], *names: str) -> list[str]:
     return out
 
 
+def settled(rows: DataFrame, count: int, each: int = 50_000) -> DataFrame:
+    """A checkpoint of ``rows``, of which there are about ``count``, that is read in few partitions.
+
+    The rows are made in all partitions that they come in: a task that made many of these would hold all their sorters.
+    """
+    return compact(checkpointed(rows), count, each)
+
+
 def wrapped(rows: DataFrame, *names: str, without: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with all their columns, but those named in ``without``, in one struct ``_user``, and ``names`` beside it.
 
@@ -178,15 +186,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     there = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     count = there.count()
-    both = compact(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * count)
+    there = compact(there, count)
+    both = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root"))
-    roots = checkpointed(compact(roots, 2 * count))
+    roots = settled(roots, 2 * count)
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         taken = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = taken.join(above, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
-        jumped = checkpointed(compact(jumped, 2 * count))
+        jumped = settled(jumped, 2 * count)
         released(roots)
         roots = jumped.select("node", "root")
         if jumped.where("root <> old").isEmpty():

@@ -34,8 +34,8 @@ from corpuslab.session import checkpointed, released
 _M = np.uint64(0x9FB21C651E98DF25)
 # What leaders leave open is compared completely in buckets of at most SMALL texts, by _rest() in larger ones.
 SMALL = 16
-# Rows of words, and pairs, that one task handles.
-PAIRS = 5_000
+# Texts' words that one task reads.
+TEXTS = 5_000
 # K-mers are counted in so many slots (8 MB): collisions blur the order of the prefixes, which may be any order.
 SLOTS = 1 << 20
 LEVEL = 1.05
@@ -350,13 +350,12 @@ def _rest(placed: DataFrame, open_: DataFrame, prefixed: DataFrame, settings: Se
     return _ordered(pairs.withColumnsRenamed({"x_rep": "x", "y_rep": "y"}), "x", "y")
 
 
-def _found(pairs: DataFrame, words: DataFrame, count: int, settings: Settings) -> DataFrame:
+def _found(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): the classes of the pairs that are near duplicates. The words of each side are moved once."""
     sides = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words")), "b").join(
         words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words")), "a"
     )
-    found = sides.where(_verifier(settings)("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    return common.compact(found, count, PAIRS)
+    return sides.where(_verifier(settings)("a_words", "b_words")).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
 
 
 def _links(members: DataFrame, words: DataFrame, total: int, settings: Settings) -> DataFrame | None:
@@ -367,26 +366,26 @@ def _links(members: DataFrame, words: DataFrame, total: int, settings: Settings)
     """
     large = members.where(F.col("n") > SMALL).select(F.col("rep").alias("doc_id")).distinct()
     central = None
-    if not (large := checkpointed(common.compact(large, total))).isEmpty():
+    if not (large := common.settled(large, total)).isEmpty():
         central = checkpointed(_prefixed(words.join(large, "doc_id", "left_semi"), settings))
-    led = checkpointed(common.compact(_led(members, central), total))
+    led = common.settled(_led(members, central), total)
     count = led.count()
     if not count:
         return None
-    roots = common.components(_found(led, words, count, settings))
+    roots = common.components(_found(led, words, settings))
     placed = members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    placed = checkpointed(common.compact(placed, total))
-    open_ = checkpointed(common.compact(_open(placed), total))
+    placed = common.settled(placed, total)
+    open_ = common.settled(_open(placed), total)
     left = _small(placed, open_)
     if central is not None and not open_.where(F.col("n") > SMALL).isEmpty():
         left = left.unionByName(_rest(placed, open_, central, settings)).distinct()
-    left = checkpointed(common.compact(left.join(led.select("a", "b"), ["a", "b"], "left_anti"), total))
+    left = common.settled(left.join(led.select("a", "b"), ["a", "b"], "left_anti"), total)
     count = left.count()
     if count:
-        joined = common.components(_found(left, words, count, settings))
+        joined = common.components(_found(left, words, settings))
         moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
         alone = joined.join(roots, "node", "left_anti")
-        merged = checkpointed(common.compact(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(alone.select("node", "root")), total))
+        merged = common.settled(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(alone.select("node", "root")), total)
         released(roots, joined)
         roots = merged
     released(large, led, placed, open_, left, *([] if central is None else [central]))
@@ -405,24 +404,24 @@ def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
     rows = sketched.count()
     usable = sketched.where(F.col("whole").isNotNull() & F.col("row.doc_id").isNotNull())
     texts = usable.groupBy("whole").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    texts = checkpointed(common.compact(texts, rows))
+    texts = common.settled(texts, rows)
     keys = texts.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     total = texts.count() * settings.bands
-    members = checkpointed(common.compact(common.join_skewed(keys, checkpointed(common.compact(shared, total)), "key", "n", total).where(F.col("n").isNotNull()), total))
+    members = common.settled(common.join_skewed(keys, checkpointed(common.compact(shared, total)), "key", "n", total).where(F.col("n").isNotNull()), total)
     words = common.only(docs.select(_row().alias("doc_id"), "text"), members.select(F.col("rep").alias("doc_id")).distinct())
     words = words.dropDuplicates(["doc_id"]).select("doc_id", _worded()(F.col("text")).alias("words"))
-    words = checkpointed(common.compact(words, rows, PAIRS))
+    words = common.settled(words, rows, TEXTS)
     roots = _links(members.select("key", "rep", "n"), words, total, settings)
     if roots is None:
         classes = texts.select("whole", "copies", F.col("rep").alias("class_row"))
     else:
         classes = texts.join(roots, texts["rep"] == roots["node"], "left").select("whole", "copies", F.coalesce("root", "rep").alias("class_row"))
-    classes = checkpointed(common.compact(classes, rows))
+    classes = common.settled(classes, rows)
     released(members, words)
     sizes = classes.groupBy("class_row").agg(F.sum("copies").alias("class_size"))
     placed = common.join_skewed(
-        sketched.select("row", "whole"), checkpointed(common.compact(classes.join(sizes, "class_row"), rows)), "whole", "copies", rows
+        sketched.select("row", "whole"), common.settled(classes.join(sizes, "class_row"), rows), "whole", "copies", rows
     )
     own = F.col("class_row").isNull() | F.col("row.doc_id").isNull()
     return placed.select("row", F.when(~own, F.col("class_row")).alias("class_row"), "class_size")
