@@ -93,6 +93,76 @@ def rewrite_rules(spark, folder):
     return found.select("case_id", "normal_code", F.array_join("notes", "|").alias("notes"))
 
 
+# One text for each rule, what it becomes, and the notes: 7 rules on lines, then 15 on the text, then texts that fire none or several.
+RULED = (
+    ("NumberLine(x_range=[0, 1], x_length=4)", "NumberLine(x_range=[0, 1], length=4)", "replace NumberLine x_length with length"),
+    ("axes = Axes(z_range=[0, 1])", "axes = ThreeDAxes(z_range=[0, 1])", "upgrade 3d Axes to ThreeDAxes"),
+    ("a = 1\n  img.add_caption(t, 2)\nb = 2", "a = 1\nb = 2", "remove unsupported add_caption calls"),
+    ("line.add_labels()", "line.add_numbers()", "replace bare add_labels() with add_numbers()"),
+    ("self.wait(1, run_time=2)", "self.wait(1)", "strip non-play run_time kwargs"),
+    ("self.play(dot.become(other))", "self.play(dot.animate.become(other))", "animate become calls inside self.play"),
+    ("self.play(c.set_points_smoothly(p))", "self.play(c.animate.set_points_smoothly(p))", "animate set_points_smoothly calls inside self.play"),
+    ("color=ORANGE_C, ORANGE_F", "color=ORANGE, ORANGE_F", "replace unsupported ORANGE shade aliases"),
+    ("dot.move_by(UP)", "dot.shift(UP)", "replace unsupported move_by with shift"),
+    ("Pipe(a, b)", "Line(a, b)", "replace unsupported Pipe with Line"),
+    ("Graph(v, e, layout = GraphLayout(circular))", "Graph(v, e, layout=circular)", "replace GraphLayout wrapper with layout string"),
+    ("ax.plot_polar(f)", "ax.plot_polar_graph(f)", "replace plot_polar with plot_polar_graph"),
+    ("ax.get_axis_range()", "ax.x_range", "replace get_axis_range() with x_range"),
+    ("p = ax.get_origin()", "p = ORIGIN", "replace get_origin() with ORIGIN"),
+    ("ax.axis_range", "ax.x_range", "replace axis_range with x_range"),
+    ("f = VectorField(g)", "f = ArrowVectorField(g)", "replace VectorField with ArrowVectorField"),
+    ("Sphere(r, texture = ImageTexture(f))", "Sphere(r)", "remove unsupported ImageTexture usage"),
+    ("VGroup(a, **{'radius': 2})", "VGroup(a)", "remove misplaced VGroup radius kwargs"),
+    ("MoveToTarget(dot, target=UP, k=2)", "dot.animate.move_to(UP)", "replace unsupported MoveToTarget(target=...) usage"),
+    ("SurroundingRectangle(axes.c2p(1, 2), 3, 0.5, color=RED, fill_opacity=0.2)", "Rectangle(width=3, height=0.5, color=RED, fill_opacity=0.2).move_to(axes.c2p(1, 2))", "replace SurroundingRectangle point usage with Rectangle.move_to"),
+    ("caption_text.scale(2)", "phase_caption.scale(2)", "replace undefined caption_text reference with phase_caption"),
+    ("t = ['a', \"b\"]", "t = ('a', \"b\")", "replace string pair lists with tuples"),
+    ("x = 1\r\ny = [1, 2]", "x = 1\r\ny = [1, 2]", ""),
+    ("self.play(a.become(b), run_time=2)\nPipe(c, d).move_by(UP)", "self.play(a.animate.become(b), run_time=2)\nLine(c, d).shift(UP)",
+     "animate become calls inside self.play|replace unsupported move_by with shift|replace unsupported Pipe with Line"),
+)
+REPAIRED = (
+    ("self.add(a.become(b))", "TypeError: Unexpected argument Mob passed to Scene.play()", "self.add(a.animate.become(b))", "animate become calls after Scene.play failure"),
+    ("x(c.set_points_smoothly(p))", "unexpected argument c passed to scene.play().", "x(c.animate.set_points_smoothly(p))", "animate set_points_smoothly calls after Scene.play failure"),
+    ("self.add(a.become(b))", "no such file", "self.add(a.become(b))", ""),
+    ("a.become(c.set_points_smoothly(p))", "Unexpected argument x passed to Scene.play()", "a.animate.become(c.animate.set_points_smoothly(p))",
+     "animate become calls after Scene.play failure|animate set_points_smoothly calls after Scene.play failure"),
+    ("a.shift(b)", "Unexpected argument x passed to Scene.play()", "a.shift(b)", ""),
+)
+
+
+def _values(rows):
+    """Rows as SQL values, numbered from 0."""
+    quoted = lambda v: "'" + v.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+    return ", ".join(f"({k}, {', '.join(map(quoted, r))})" for k, r in enumerate(rows))
+
+
+def _drawn(spark, folder, rows):
+    """Every document with one of the rows, by its id; the document's text stands before the row's, as a comment."""
+    docs = views.table(spark, folder, "documents")
+    chosen = F.get(F.array(*[F.array(*map(F.lit, r)) for r in rows]), F.pmod("doc_id", F.lit(len(rows))).cast("int"))
+    comment = F.concat(F.lit("# "), F.regexp_replace(F.translate("text", "[.=('\"", "      "), "[\r\n\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]+", " "), F.lit("\n"))
+    return docs.select("doc_id", comment.alias("comment"), chosen.alias("r"))
+
+
+_COMMENT = "'# ' || regexp_replace(translate(text, '[.=(''\"', '      '), '[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]+', ' ', 'g') || chr(10)"
+
+
+@query("rewrite_each_rule", f"""WITH r(k, code, after, notes) AS (VALUES {_values(RULED)})
+SELECT doc_id, {_COMMENT} || after AS normal_code, notes FROM documents JOIN r ON doc_id % {len(RULED)} = k""")
+def rewrite_each_rule(spark, folder):
+    """Every rewrite rule fires on some documents."""
+    rows = _drawn(spark, folder, RULED).select("doc_id", F.concat("comment", F.get("r", F.lit(0))).alias("code"))
+    return rewrite.normalise_code(rows, "code").select("doc_id", "normal_code", F.array_join("notes", "|").alias("notes"))
+
+
+@query("repair_each_rule", f"""WITH r(k, code, log, after, notes) AS (VALUES {_values(REPAIRED)})
+SELECT doc_id, {_COMMENT} || after AS repaired_code, notes AS repair_notes FROM documents JOIN r ON doc_id % {len(REPAIRED)} = k""")
+def repair_each_rule(spark, folder):
+    rows = _drawn(spark, folder, REPAIRED).select("doc_id", F.concat("comment", F.get("r", F.lit(0))).alias("code"), F.get("r", F.lit(1)).alias("log"))
+    return rewrite.repair_code(rows, "code", "log").select("doc_id", "repaired_code", F.array_join("repair_notes", "|").alias("repair_notes"))
+
+
 @query("repair_rules", f"""WITH {MODULES}
 SELECT case_id, CASE WHEN source IN ('src1', 'src2') THEN code || 'self.play(a.animate.become(b))' ELSE code || 'self.play(a.become(b))' END AS repaired_code,
   CASE WHEN source IN ('src1', 'src2') THEN 'animate become calls after Scene.play failure' ELSE '' END AS repair_notes FROM modules_v""")

@@ -9,6 +9,7 @@ from checks.registry import query
 from corpuslab.functions import tags
 from corpuslab.operators import audit, corpus, packing
 from corpuslab.sources import shards
+from corpuslab.session import checkpointed
 
 # The pre-token pattern for an engine without look-ahead: a mark set before the last space of a run
 # stands for the look-ahead, and no class matches the mark.
@@ -81,12 +82,26 @@ def _token_rows(spark, folder):
     return docs.select("doc_id", corpus.hashed_token_ids(F.col("text"), 8192).alias("token_ids"))
 
 
-@query("pack_sequences")
+@query("pack_sequences", f"""WITH {PRETOKENS}, t AS (SELECT doc_id, count(*) AS n, sum(length(pretoken)) AS total FROM tokens_v GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_tokens, CAST(coalesce(total, 0) AS BIGINT) AS id_total, TRUE AS gapless, TRUE AS rows_right
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def pack_sequences(spark, folder):
-    packed = packing.pack_sequences(_token_rows(spark, folder), "doc_id", "token_ids", 2048, 8188)
-    return packed.select(
-        "part", "row_no", F.size("tokens").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first_token"), "n_docs", "n_cropped", "complete"
+    """Every token of every document stands in one place of one row: read back from the rows by their places.
+
+    A pre-token's length is its id here, so a document's ids add up to the length of its text.
+    """
+    docs = views.table(spark, folder, "documents").select("doc_id", F.transform(corpus.pretokens(F.col("text")), lambda t: F.char_length(t)).alias("token_ids"))
+    placements = checkpointed(packing.place_sequences(docs, "doc_id", "token_ids", 2048))
+    rows = packing.placed_rows(placements, docs, "doc_id", "token_ids", -1)
+    own = F.slice("tokens", F.col("at") + 2, (F.col("end") - F.col("begin")).cast("int"))
+    read = placements.join(rows, ["part", "row_no"]).select(
+        F.col("doc_key").alias("doc_id"), "begin", "end", F.size(own).alias("n"), F.aggregate(own, F.lit(0).cast("bigint"), lambda total, x: total + x).alias("total"),
+        ((F.get("tokens", F.col("at")) == -1) & (F.get("tokens", F.lit(0)) == -1) & (F.size("tokens") <= 2049)).alias("right"),
     )
+    pieces = F.array_sort(F.collect_list(F.struct("begin", "end")))
+    found = read.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("total").alias("id_total"), pieces.alias("pieces"), F.every("right").alias("rows_right"))
+    follows = F.forall(F.sequence(F.lit(0), F.size("pieces") - 1), lambda k: F.get("pieces", k)["begin"] == F.when(k == 0, 0).otherwise(F.get("pieces", k - 1)["end"]))
+    return found.select("doc_id", "n_tokens", "id_total", follows.alias("gapless"), "rows_right")
 
 
 @query("packing_balance", f"""WITH {PRETOKENS}

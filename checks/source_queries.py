@@ -10,6 +10,7 @@ from checks.case_queries import SPEC, SPLIT
 from checks.registry import query
 from corpuslab import schemas
 from corpuslab.operators import evaluation
+from corpuslab.plans import curation as curation_plans
 from corpuslab.plans import datasets
 from corpuslab.plans import evaluation as evaluation_plans
 from corpuslab.session import scratch_path
@@ -143,3 +144,62 @@ def field_types(spark, folder):
     path = scratch_path(spark, "raw-records")
     views.table(spark, folder, "events").select(line.alias("value")).write.text(path)
     return records.type_violations(spark, path)
+
+
+def mirrored(spark, folder):
+    """The cases as a mirror of a hub: for each language a config, as lines for en and as Parquet for the others."""
+    root = scratch_path(spark, "mirror")
+    rows = views.cases(spark, folder).withColumn("license", F.coalesce("license", F.lit("MIT")))
+    named = lambda lang: f"{root}/team/cases/v2/{lang}/train"
+    has = lambda lang: F.array_contains("tags", f"lang:{lang}")
+    records.write_records(rows.filter(has("en")), named("en"))
+    rows.filter(~has("en")).write.parquet(named("others"))
+    return root
+
+
+@query("hub_source", f"""WITH {views.CASES}
+SELECT case_id, prompt, completion, coalesce(license, 'MIT') AS license, array_to_string(tags, '|') AS tags, target_duration_seconds,
+  'hf://team/cases@v2/' || CASE WHEN list_contains(tags, 'lang:en') THEN 'en' ELSE 'others' END || ':train' AS label FROM cases_v""")
+def hub_source(spark, folder):
+    """Two configs of a hub dataset, read through the data source, with the labels that a manifest shows."""
+    mirror, found = mirrored(spark, folder), None
+    for config in ("en", "others"):
+        rows, label = SourceSpec("hf", repo_id="team/cases", config_name=config, revision="v2").load(spark, mirror=mirror)
+        part = rows.select("case_id", "prompt", "completion", "license", F.array_join("tags", "|").alias("tags"), "target_duration_seconds", F.lit(label).alias("label"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query("open_fields", f"""WITH {views.CASES}, {views.REVIEWS}
+SELECT c.case_id, d.source AS origin, d.n_chars AS size, CASE WHEN d.lang = 'en' THEN d.lang END AS only_en
+FROM cases_v c JOIN documents d ON c.case_id = 'doc_' || d.doc_id
+WHERE c.case_id NOT IN (SELECT case_id FROM reviews_v WHERE decision = 'reject')""")
+def open_fields(spark, folder):
+    """Fields that the case schema does not know come through a rebuild from files."""
+    docs = views.table(spark, folder, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("case_id"), F.col("source").alias("origin"),
+        F.struct(F.col("n_chars").alias("size"), F.when(F.col("lang") == "en", F.col("lang")).alias("only_en")).alias("facts"),
+    )
+    rows = views.cases(spark, folder).withColumn("license", F.coalesce("license", F.lit("MIT"))).join(docs, "case_id")
+    shards, path = [], scratch_path(spark, "canonical")
+    for lang in ("en", "de", None):
+        shard, has = scratch_path(spark, "shard"), F.array_contains("tags", f"lang:{lang or 'en'}")
+        records.write_records(rows.filter(has if lang else ~has & ~F.array_contains("tags", "lang:de")), shard)
+        shards.append((shard, ("tier:gold",)))
+    rejected = views.reviews(spark, folder).filter(F.col("decision") == "reject")
+    curation_plans.rebuild_canonical(spark, shards, path, rejected)
+    facts = T.StructType([T.StructField("size", T.LongType()), T.StructField("only_en", T.StringType())])
+    schema = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("origin", T.StringType()), T.StructField("facts", facts)])
+    return records.read_cases(spark, path, schema).select("case_id", "origin", "facts.size", "facts.only_en")
+
+
+@query("review_twice", f"""WITH {views.CASES}, {views.REVIEWS}
+SELECT 'log' AS part, case_id FROM reviews_v WHERE decision IN ('promote', 'reject') UNION ALL SELECT 'archive', case_id FROM reviews_v WHERE decision = 'reject'
+UNION ALL SELECT 'dataset', case_id FROM cases_v WHERE case_id NOT IN (SELECT case_id FROM reviews_v WHERE decision = 'reject')""")
+def review_twice(spark, folder):
+    """A review that is applied again, as after a failure, appends its rows once."""
+    dataset, new, log, archive = written_cases(spark, folder), *(scratch_path(spark, n) for n in ("reviewed", "log", "archive"))
+    for _ in range(2):
+        curation_plans.apply_review(spark, dataset, views.reviews(spark, folder), new, log, archive)
+    ids = lambda part, path: records.appended_ids(spark, path).select(F.lit(part).alias("part"), "case_id")
+    return ids("log", log).unionByName(ids("archive", archive)).unionByName(ids("dataset", new))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,35 +31,43 @@ def category_label(c: Column) -> Column:
     return label
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_even(value: Column, places: int) -> Column:
     """``value`` as text with ``places`` decimals, its exact binary value rounded half to even.
 
-    A double below 2**53 / 10**places is split exactly: whole part, then the fraction times 10**places as a product
-    and its rounding error (found with Dekker's split of the factors). Where the product lies on a half, the error
-    says on which side the exact value is. Larger values hold no such fraction or go through a decimal; those
-    beyond the decimal are shown as doubles.
+    A double below 2**53 / 10**places is split exactly: whole part, then the fraction times 10**places as a product.
+    Where the product lies on a half, its rounding error (found with Dekker's split of the factors) says on which side
+    the exact value is. Larger values hold no such fraction or go through a decimal; those beyond the decimal are shown
+    as doubles.
     """
-    scale = float(10**places)
-    size = F.abs(value)
-    whole = F.floor(size).cast("double")
-    fraction = size - whole
-    product = fraction * F.lit(scale)
-    high = (fraction * F.lit(134217729.0)) - ((fraction * F.lit(134217729.0)) - fraction)
-    low = fraction - high
-    error = (high * F.lit(scale) - product) + low * F.lit(scale)
-    base = F.floor(product).cast("double")
-    rest = product - base
-    odd = (base % 2) == 1
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    # A product that rounded up to a whole number belongs just below it, where the half is far away.
-    digits = base + F.when(up, 1.0).otherwise(0.0)
-    total = whole.cast("decimal(20,0)") * F.lit(10**places).cast("decimal(10,0)") + digits.cast("decimal(20,0)")
-    text = F.lpad(total.cast("decimal(38,0)").cast("string"), F.greatest(F.length(total.cast("decimal(38,0)").cast("string")), F.lit(places + 1)), "0")
-    shown = F.concat(F.left(text, F.length(text) - places), F.lit("."), F.right(text, F.lit(places)))
-    negative = (value < 0) | (F.signum(value) < 0) | (value.cast("string") == "-0.0")
-    signed = F.when(negative, F.concat(F.lit("-"), shown)).otherwise(shown)
+    scale, one = 10**places, F.lit(10**places).cast("bigint")
+
+    def error(fraction: Column, product: Column) -> Column:
+        wide = fraction * F.lit(134217729.0)
+        high = wide - (wide - fraction)
+        return (high * F.lit(float(scale)) - product) + (fraction - high) * F.lit(float(scale))
+
+    def digits(fraction: Column, product: Column) -> Column:
+        # A product that rounded up to a whole number belongs just below it, where the half is far away.
+        base = F.floor(product)
+        side = _bound(error(fraction, product), lambda e: (e > 0) | ((e == 0) & (base % 2 == 1)))
+        rest = product - base
+        return base + F.when(rest > 0.5, 1).when(rest < 0.5, 0).when(side, 1).otherwise(0)
+
+    def text(total: Column) -> Column:
+        return F.concat(F.call_function("div", total, one).cast("string"), F.lit("."), F.lpad((total % one).cast("string"), places, "0"))
+
+    def shown(size: Column) -> Column:
+        total = _bound(size - F.floor(size), lambda f: _bound(f * F.lit(float(scale)), lambda p: F.floor(size) * one + digits(f, p)))
+        return _bound(total, text)
+
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
     large = F.coalesce(value.try_cast(f"decimal(38,{places})").cast("string"), value.cast("string"))
-    return F.when(size < F.lit(2.0**53 / scale), signed).otherwise(large)
+    return F.when(F.abs(value) < F.lit(2.0**53 / scale), F.concat(sign, _bound(F.abs(value), shown))).otherwise(large)
 
 
 def metric_text(value: Column) -> Column:

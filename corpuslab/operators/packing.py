@@ -1,4 +1,8 @@
-"""Best-fit packing of token sequences into rows of one length."""
+"""Best-fit packing of token sequences into rows of one length.
+
+``place_sequences`` says where every token of every document goes: what does not fit into a row's last room goes on in a
+later row. ``pack_sequences`` is the cropping form, in which that rest is lost.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 BUFFER_DOCS = 1_000
 REFILL_DOCS = 128
 ROWS_PER_BATCH = 256
+# Documents that are placed together; a group is as large on any cluster.
+GROUP_DOCS = 20_000
 PACKED_SCHEMA = "part int, row_no long, tokens array<int>, n_docs int, n_cropped long, complete boolean"
 
 
@@ -25,11 +31,12 @@ class _Buffer:
         self.waiting: dict[int, deque] = {}
         self.size = 0
 
-    def add(self, doc: np.ndarray) -> None:
-        queue = self.waiting.get(len(doc))
+    def add(self, doc: np.ndarray | tuple[int, int], size: int | None = None) -> None:
+        size = len(doc) if size is None else size
+        queue = self.waiting.get(size)
         if queue is None:
-            queue = self.waiting[len(doc)] = deque()
-            insort(self.lengths, len(doc))
+            queue = self.waiting[size] = deque()
+            insort(self.lengths, size)
         queue.append(doc)
         self.size += 1
 
@@ -121,6 +128,73 @@ def pack_sequences(
     return placed.mapInArrow(pack, PACKED_SCHEMA)
 
 
+def place_documents(
+    lengths: Iterator[int], capacity: int, crop: bool = False, buffer_docs: int = BUFFER_DOCS, refill: int = REFILL_DOCS
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """Yield (document, begin, end, row, place) of each piece; a piece takes one place more than it has tokens, for a start token.
+
+    The longest waiting document that fits goes next; when none fits, the shortest fills the row, and its rest waits
+    like a document, unless ``crop`` drops it.
+    """
+    buffer, docs, more, row, used = _Buffer(), enumerate(lengths), True, 0, 0
+    while True:
+        while more and buffer.size < buffer_docs:
+            for _ in range(refill):
+                doc = next(docs, None)
+                if doc is None:
+                    more = False
+                    break
+                buffer.add((doc[0], 0, doc[1]), doc[1] + 1)
+        if not buffer.size:
+            return
+        room = capacity - used
+        doc, begin, end = buffer.longest_within(room) or buffer.shortest()
+        stop = min(end, begin + room - 1)
+        yield doc, begin, stop, row, used
+        used += stop - begin + 1
+        if stop < end and not crop:
+            buffer.add((doc, stop, end), end - stop + 1)
+        if used == capacity:
+            row, used = row + 1, 0
+
+
+def place_sequences(
+    docs: DataFrame, key: str, tokens: str, sequence_length: int, crop: bool = False, group_docs: int = GROUP_DOCS, buffer_docs: int = BUFFER_DOCS
+) -> DataFrame:
+    """(doc_key, begin, end, part, row_no, at): tokens ``begin`` to ``end`` of a document stand behind a start token at place ``at`` of a row.
+
+    Rows have ``sequence_length + 1`` places and all begin with a start token; the last of a part may be short. Keys are
+    unique. Parts are cut by a hash of the key, as many as the number of documents asks for, so the result is the same
+    for any cluster and any layout. Lengths alone are moved; with ``crop`` what a row has no room for is in no piece.
+    """
+    capacity = sequence_length + 1
+    narrow = docs.select(F.col(key).alias("doc_key"), F.coalesce(F.size(tokens), F.lit(0)).alias("n"))
+    narrow = narrow.withColumn("n", F.greatest("n", F.lit(0)).cast("long"))
+    parts = max(1, -(-narrow.count() // group_docs))
+    dealt = narrow.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int"))
+    kind = dict(narrow.dtypes)["doc_key"]
+
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_key")
+        placed = list(place_documents(iter(rows["n"].to_pylist()), capacity, crop, buffer_docs))
+        doc, begin, end, row, at = (np.array(c, np.int64) for c in zip(*placed))
+        return pa.table({
+            "doc_key": rows["doc_key"].take(pa.array(doc)), "begin": begin, "end": end,
+            "part": pa.array(np.full(len(doc), rows["part"][0].as_py()), pa.int32()), "row_no": row, "at": pa.array(at, pa.int32()),
+        })
+
+    return dealt.groupBy("part").applyInArrow(place, f"doc_key {kind}, begin long, end long, part int, row_no long, at int")
+
+
+def placed_rows(placements: DataFrame, docs: DataFrame, key: str, tokens: str, bos_id: int) -> DataFrame:
+    """(part, row_no, tokens): the rows that ``placements`` describe. A row's pieces are at most as many as its places."""
+    texts = docs.select(F.col(key).alias("doc_key"), F.col(tokens).alias("_tokens"))
+    piece = F.concat(F.array(F.lit(bos_id)), F.slice(F.coalesce("_tokens", F.array().cast("array<int>")), F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int")))
+    rows = placements.join(texts, placements["doc_key"].eqNullSafe(texts["doc_key"])).select("part", "row_no", F.struct("at", piece.alias("tokens")).alias("p"))
+    made = rows.groupBy("part", "row_no").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return made.select("part", "row_no", F.flatten("p.tokens").alias("tokens"))
+
+
 def _token_lists(column: pa.ListArray, bos_id: int) -> Iterator[np.ndarray]:
     """Each document's tokens behind the start token, cut from the batch's own buffer."""
     values = column.values.to_numpy(zero_copy_only=False)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +22,11 @@ SILVER_REPO = ("tier:silver", "source:repo")
 def rebuild_canonical(
     spark: SparkSession, shards: Sequence[tuple[str, Sequence[str]]], path: str, rejected: DataFrame | None = None
 ) -> DataFrame:
-    """Read the shard files in order, rebuild and write the canonical dataset; returns what was written."""
-    read = [(records.read_cases(spark, shard), tags) for shard, tags in shards]
+    """Read the shard files in order, rebuild and write the canonical dataset; returns what was written.
+
+    Fields of the shards that the schema does not know stay in the written records.
+    """
+    read = [(records.read_open_cases(spark, shard), tags) for shard, tags in shards]
     records.write_records(canonical.rebuild(read, rejected), path)
     return records.read_cases(spark, path)
 
@@ -34,14 +37,9 @@ def audit_shard(candidates: DataFrame, known: DataFrame | None = None, min_tags:
     return audit.audit(profiled, known, min_tags, profiled=True)
 
 
-def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ids of the records below a path, or None where nothing was written yet."""
-    try:
-        return spark.read.schema("case_id string").json(path)
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _batch(path: str) -> str:
+    """The name of the batch that a plan appends: that of the new version it writes, so a plan that runs again has the same one."""
+    return hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
 
 
 def apply_review(
@@ -54,14 +52,16 @@ def apply_review(
     What was applied and archived before is read from those two, where they exist, unless tables are given.
 
     The archive and the log are written before the new dataset version, so a job that dies half way
-    leaves the old version in place and nothing lost.
+    leaves the old version in place and nothing lost. Both appends are the batch of ``new_path``: run again, the
+    plan does not see its own batch as applied before, and replaces it.
     """
-    dataset = records.read_cases(spark, dataset_path)
-    log = _written(spark, log_path) if log is None else log
-    archive = _written(spark, archive_path) if archive is None else archive
+    batch = _batch(new_path)
+    dataset = records.read_open_cases(spark, dataset_path)
+    log = records.appended_ids(spark, log_path, but=batch) if log is None else log
+    archive = records.appended_ids(spark, archive_path, but=batch) if archive is None else archive
     applied = curation.apply_decisions(dataset, ratings, log, archive, review_path)
-    records.write_records(applied.archived, archive_path, mode="append")
-    records.write_records(applied.log_entries, log_path, mode="append")
+    records.append_once(applied.archived, archive_path, batch)
+    records.append_once(applied.log_entries, log_path, batch)
     records.write_records(applied.dataset, new_path)
     summary = curation.review_summary(ratings, dataset).first().asDict()
     return {"input_path": dataset_path, "review_path": review_path, "output_path": new_path, **summary}
@@ -73,12 +73,14 @@ def promote_candidates(
 ) -> dict[str, Any]:
     """Append approved candidates to the promoted set and write what is left of the shard.
 
-    Ids that the promoted set holds already are refused; it is read from its path unless a table is given.
+    Ids that the promoted set holds already are refused; it is read from its path unless a table is given. What is
+    appended is the batch of ``remaining_path``, which a plan that runs again replaces.
     """
-    candidates = records.read_cases(spark, candidates_path)
-    promoted = _written(spark, promoted_path) if promoted is None else promoted
+    batch = _batch(remaining_path)
+    candidates = records.read_open_cases(spark, candidates_path)
+    promoted = records.appended_ids(spark, promoted_path, but=batch) if promoted is None else promoted
     result = curation.promote(candidates, ratings, promoted)
-    records.write_records(result.promoted, promoted_path, mode="append")
+    records.append_once(result.promoted, promoted_path, batch)
     records.write_records(result.remaining, remaining_path)
     counts = candidates.join(
         curation.approved_ids(ratings).withColumn("_approved", F.lit(True)), "case_id", "left"

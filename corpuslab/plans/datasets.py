@@ -15,10 +15,10 @@ from corpuslab.sources.resolver import SourceSpec
 
 def build_dataset(
     spark: SparkSession, source: SourceSpec, path: str, spec: SplitSpec = SplitSpec(),
-    include: Sequence[str] = (), exclude: Sequence[str] = (),
+    include: Sequence[str] = (), exclude: Sequence[str] = (), mirror: str | None = None,
 ) -> dict[str, Any]:
-    """Read, prepare, split exactly and write; returns the manifest."""
-    rows, label = source.load(spark)
+    """Read, prepare, split exactly and write; returns the manifest. Hub sources are read from ``mirror``."""
+    rows, label = source.load(spark, mirror=mirror)
     prepared = cases.prepare(rows, include, exclude, label=label)
     described = {name: getattr(source, name) for name in source.__dataclass_fields__}
     return packages.write_dataset(prepared, path, label, spec, include, exclude, described)
@@ -26,10 +26,10 @@ def build_dataset(
 
 def export_dataset(
     spark: SparkSession, source: SourceSpec, path: str, spec: SplitSpec = SplitSpec(),
-    include: Sequence[str] = (), exclude: Sequence[str] = (), **card: Any,
+    include: Sequence[str] = (), exclude: Sequence[str] = (), mirror: str | None = None, **card: Any,
 ) -> dict[str, Any]:
     """As ``build_dataset`` for a package to publish: every row must carry a licence."""
-    rows, label = source.load(spark)
+    rows, label = source.load(spark, mirror=mirror)
     prepared = cases.prepare(rows, include, exclude, label=label)
     keys.require_empty(cases.license_gaps(prepared), f"Missing row-level license metadata in {label}")
     return packages.write_export(prepared, path, source.describe(), spec, include, exclude, **card)

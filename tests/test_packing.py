@@ -69,3 +69,37 @@ def test_bytes(spark):
     assert abs(corpus.bits_per_byte(losses).first()["bits_per_byte"] - 3.0 / (np.log(2) * 3)) < 1e-12
     nothing = spark.createDataFrame([(9.0, 0)], "nats double, n_bytes int")
     assert corpus.bits_per_byte(nothing).first()["bits_per_byte"] is None
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.integers(0, 40), max_size=60), st.integers(2, 24), st.integers(1, 12), st.integers(1, 5), st.booleans())
+def test_every_token_has_one_place(lengths, capacity, buffer_docs, refill, crop):
+    placed = list(packing.place_documents(iter(lengths), capacity, crop, buffer_docs, refill))
+    used, ends = {}, {}
+    for doc, begin, end, row, at in placed:
+        assert at == used.get(row, 0) and begin == ends.get(doc, 0) <= end
+        used[row], ends[doc] = at + end - begin + 1, end
+    assert sorted(used) == list(range(len(used))) and all(used[r] == capacity for r in list(used)[:-1])
+    assert set(ends) == set(range(len(lengths)))
+    if crop:
+        # The cropping form places what the packer of token rows places.
+        docs = [np.full(n + 1, i, np.int32) for i, n in enumerate(lengths)]
+        rows = [ids.tolist() for ids, _, _ in packing.pack_documents(iter(docs), capacity, buffer_docs, refill)]
+        assert rows == [[d for d, b, e, r, _ in placed if r == row for _ in range(e - b + 1)] for row in range(len(rows))]
+    else:
+        assert all(ends[i] == n for i, n in enumerate(lengths))
+
+
+def test_places_do_not_depend_on_the_layout(spark):
+    docs = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.transform(F.sequence(F.lit(1), F.col("id") % 37 + 1), lambda i: i.cast("int")).alias("ids"))
+    docs = docs.unionByName(spark.createDataFrame([("big", list(range(100))), ("null", None), ("empty", [])], "key string, ids array<int>"))
+    made = [sorted(map(tuple, packing.place_sequences(docs.repartition(n), "key", "ids", 15, group_docs=70).collect())) for n in (1, 5)]
+    assert made[0] == made[1] and len({r[3] for r in made[0]}) == 5
+    placements = packing.place_sequences(docs, "key", "ids", 15, group_docs=70)
+    rows = packing.placed_rows(placements, docs, "key", "ids", -1).collect()
+    ids = {r["key"]: r["ids"] or [] for r in docs.collect()}
+    tokens = {(r["part"], r["row_no"]): r["tokens"] for r in rows}
+    assert all(t[0] == -1 and len(t) <= 16 for t in tokens.values()) and sum(len(t) < 16 for t in tokens.values()) <= 5
+    for key, begin, end, part, row, at in made[0]:
+        assert tokens[part, row][at : at + end - begin + 1] == [-1, *ids[key][begin:end]]
+    assert packing.place_sequences(docs.limit(0), "key", "ids", 15).count() == 0

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
 from corpuslab import schemas
 from corpuslab.operators import curation, evaluation, experiments, keys, review
 from corpuslab.plans import curation as curation_plans
-from corpuslab.streaming import early_stop, ratings, run_summaries
+from corpuslab.streaming import early_stop, ratings, run_summaries, snapshots, state
 
 
 def sides(spark, *rows):
@@ -195,3 +196,127 @@ def test_one_of_several_ratings_with_equal_arrival_wins(spark):
     assert sorted(r["review_id"] for r in accepted.collect()) == ["i1", "i2"] and refused.count() == 5
     winners = {accepted.where("review_id = 'i1'").first()["verdict"] for accepted, _ in [ratings.route(batch.repartition(n), items, batch.limit(0), "arrival") for n in (1, 4)]}
     assert len(winners) == 1
+
+
+def test_snapshots_stay_bounded_over_many_micro_batches(spark, tmp_path):
+    path, newest = str(tmp_path / "s"), {}
+    schema = spark.createDataFrame([], "k string, x double, n long").schema
+    for version in range(50):
+        rows = [(f"k{version % 7}", version / 2, version), ("each", 1.0, version)]
+        newest |= {r[0]: r for r in rows}
+        snapshots.publish(spark.createDataFrame(rows, schema), version, path, "k", every=8)
+        if version in (7, 8, 30, 49):
+            assert {tuple(r) for r in snapshots.latest(spark, path, "k", schema).collect()} == set(newest.values())
+    assert snapshots.versions(spark, f"{path}/base") == [39, 47] and snapshots.versions(spark, f"{path}/delta") == list(range(40, 50))
+    # The last fold runs again after a failure, with what it needs still there.
+    snapshots.publish(spark.createDataFrame([("k5", 23.5, 47), ("each", 1.0, 47)], schema), 47, path, "k", every=8)
+    assert {tuple(r) for r in snapshots.latest(spark, path, "k", schema).collect()} == set(newest.values())
+    # A base whose writer has not committed is not read.
+    (tmp_path / "s/base/version=90").mkdir()
+    assert snapshots.latest(spark, path, "k", schema).count() == len(newest)
+    assert snapshots.latest(spark, str(tmp_path / "none"), "k", schema).count() == 0
+
+
+def arrive(spark, tmp_path, schema, batches, begin):
+    for part, rows in enumerate(batches):
+        write_lines(tmp_path / "in", f"{part}.json", rows)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        begin(arriving).awaitTermination()
+
+
+def test_early_stop_stream_orders_steps_across_micro_batches(spark, tmp_path):
+    maker, rows = random.Random(4), []
+    for run in ("a", "b", "c", None):
+        level = 3.0
+        for step in range(60):
+            level = max(0.0, level + maker.uniform(-0.15, 0.1))
+            rows.append({"run_name": run, "step": step, "loss": round(level, 3) if step % 13 else None})
+    rows.sort(key=lambda r: r["step"] + maker.uniform(0, 12))
+    batches = [rows[k : k + 48] for k in range(0, len(rows), 48)]
+    schema, path = "run_name string, step long, loss double", str(tmp_path / "out")
+    arrive(spark, tmp_path, schema, batches, lambda s: early_stop.start(s, path, once=True, every=2, slack=12, patience=8))
+    live = {r["run_name"]: tuple(r)[1:] for r in early_stop.progress(spark, path).collect()}
+    batch = experiments.early_stop(spark.createDataFrame([tuple(r.values()) for r in rows], schema), patience=8).collect()
+    assert live == {r["run_name"]: (r["best_step"], r["best_loss"], r["stop_step"], r["stopped"], 0) for r in batch}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != state.ROCKSDB
+
+
+class Held:
+    """State variables in memory, for a processor without a stream."""
+
+    def __init__(self):
+        self.values, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return HeldValue(self.values, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class HeldValue:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def update(self, value):
+        self.values[self.name] = value
+
+    put = update
+
+    def clear(self):
+        del self.values[self.name]
+
+
+class Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_waiting_steps_are_bounded_late_ones_counted_and_timers_take_the_rest():
+    held, walk = Held(), early_stop.Walk(patience=3, min_delta=0.0, slack=1000, most=5, idle=50)
+    walk.init(held)
+    give = lambda steps: next(walk.handleInputRows(("r",), iter([{"step": s, "loss": 100.0 - s} for s in steps]), Clock()))
+    row = give(range(20))
+    assert len(held.values["pending"]) == 5 and row["best_step"] == 19 and held.timers == {1050}
+    row = give([3, 14, 16, 16])
+    assert row["n_late"] == 2 and len(held.values["pending"]) == 5 and row["best_step"] == 19
+    give(range(20, 3000))
+    assert len(held.values["pending"]) == 5
+    row = next(walk.handleExpiredTimer(("r",), Clock(), None))
+    assert "pending" not in held.values and row["best_step"] == 2999 and not row["stopped"]
+    row = next(walk.handleInputRows(("r",), iter([{"step": 3000 + k, "loss": 9e9} for k in range(2000)]), Clock()))
+    assert row["stop_step"] == 3002 and row["stopped"]
+
+
+def test_ratings_stream_remembers_ids_and_breaks_ties(spark, tmp_path):
+    schema, path = "review_id string, decision string, arrival long, more array<long>", str(tmp_path / "out")
+    items = spark.createDataFrame([(f"i{k}",) for k in range(5)], "review_id string")
+    maker = random.Random(9)
+    batches = [
+        [{"review_id": maker.choice([None, "i0", "i1", "i2", "i3", "zz"]), "decision": maker.choice(["promote", "reject", "?", None]), "arrival": maker.choice([None, 1, 2, 3]), "more": [2**60 + k]} for k in range(25)]
+        for _ in range(4)
+    ]
+    arrive(spark, tmp_path, schema, batches, lambda s: ratings.start(s, items, path, "arrival", "sample_review", once=True))
+    kind = spark.createDataFrame([], schema).schema
+    accepted, refused, earlier = [], [], spark.createDataFrame([], kind)
+    for rows in batches:
+        batch = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+        good, bad = ratings.route(batch, items, earlier, "arrival", "sample_review")
+        accepted, refused = accepted + good.collect(), refused + bad.collect()
+        earlier = spark.createDataFrame([tuple(r) for r in accepted], kind)
+    columns = kind.names
+    assert sorted(map(repr, spark.read.parquet(f"{path}/accepted").select(columns).collect())) == sorted(map(repr, accepted))
+    assert sorted(map(repr, spark.read.parquet(f"{path}/refused").select(*columns, "reason").collect())) == sorted(map(repr, refused))
+    ids = [r["review_id"] for r in accepted]
+    assert len(set(ids)) == len(ids) >= 3

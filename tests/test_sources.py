@@ -11,7 +11,7 @@ from corpuslab.operators.splitting import SplitSpec
 from corpuslab.plans import curation as curation_plans
 from corpuslab.plans import datasets
 from corpuslab.plans import evaluation as evaluation_plans
-from corpuslab.sources import logs, packages, payloads, records, shards, source_tree
+from corpuslab.sources import hub, logs, packages, payloads, records, shards, source_tree
 from corpuslab.sources.resolver import SourceSpec
 
 CASES = [{"case_id": f"c{i}", "prompt": f"p{i}", "completion": "x", "license": "MIT", "tags": ["even"] if i % 2 == 0 else ["odd"], "extra": i} for i in range(12)]
@@ -169,3 +169,90 @@ def test_payloads_are_found_by_their_plain_paths(spark, tmp_path):
     entries = spark.createDataFrame([(n, "api", p) for n, p in listed], "name string, category string, path string")
     got = {r["name"]: (r["num_cases"], r["error"]) for r in payloads.report_entries(entries, table, str(tmp_path)).collect()}
     assert got == {"x": (3, None), "uri": (3, None), "relative": (3, None), "y": (None, payloads.NO_SUMMARY), "gone": (None, payloads.MISSING)}
+
+
+OPEN = [
+    {"case_id": "a", "prompt": "p", "completion": "x", "license": "MIT", "tags": ["t"], "messages": [{"role": "user", "content": "q"}], "verified": True, "odd name": {"k": [1, "é", None, 2.5]}, "n": None},
+    {"case_id": "b", "prompt": "p", "completion": "y", "license": "MIT", "target_duration_seconds": 7, "verified": "yes", "big": 2**62},
+    {"case_id": "c", "prompt": "p", "completion": "z", "license": "MIT"},
+]
+
+
+def test_unknown_fields_survive_a_rebuild_from_files(spark, tmp_path):
+    (tmp_path / "one.jsonl").write_text("\n".join(json.dumps(c) for c in OPEN[:1]) + "\n\n")
+    (tmp_path / "two.json").write_text(json.dumps(OPEN[1:], indent=2))
+    both = [str(tmp_path / "one.jsonl"), str(tmp_path / "two.json")]
+    rows = records.read_open_cases(spark, both)
+    assert rows.columns == [*schemas.CASE.names, records.REST] and rows.drop(records.REST).schema == schemas.CASE
+    known = sorted(map(repr, rows.drop(records.REST).collect()))
+    assert known == sorted(map(repr, records.read_cases(spark, both).collect()))
+    path = str(tmp_path / "canonical")
+    curation_plans.rebuild_canonical(spark, [(both[0], ["tier:gold"]), (both[1], ["tier:silver"])], path)
+    written = {r["case_id"]: r for f in (tmp_path / "canonical").glob("part-*") for r in map(json.loads, f.read_text().splitlines())}
+    for case in OPEN:
+        for name, value in case.items():
+            if name != "tags":
+                assert written[case["case_id"]][name] == value
+    assert written["a"]["tags"] == ["t", "tier:gold"] and "verified" not in written["c"] and written["c"]["entry_scene"] is None
+    again = records.read_open_cases(spark, path)
+    records.write_records(again, str(tmp_path / "third"), partition_by=["license"])
+    third = {r["case_id"]: r for f in (tmp_path / "third/license=MIT").glob("part-*") for r in map(json.loads, f.read_text().splitlines())}
+    assert third == {k: {n: v for n, v in r.items() if n != "license"} for k, r in written.items()}
+    (tmp_path / "bad.jsonl").write_text('{"case_id": "a"}\n{"case_id": \n')
+    with pytest.raises(Exception):
+        records.read_open_cases(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_a_plan_that_runs_again_appends_once(spark, tmp_path):
+    source, log, archive = (str(tmp_path / n) for n in ("v1", "log", "archive"))
+    (tmp_path / "cases.jsonl").write_text("\n".join(json.dumps(c) for c in OPEN))
+    records.write_records(records.read_open_cases(spark, str(tmp_path / "cases.jsonl")), source)
+    decide = lambda **given: spark.createDataFrame(list(given.items()), "case_id string, decision string")
+    for _ in range(3):
+        summary = curation_plans.apply_review(spark, source, decide(a="reject", b="promote"), str(tmp_path / "v2"), log, archive)
+        assert (summary["num_promoted"], summary["num_rejected"]) == (1, 1)
+    ids = lambda path: sorted(r["case_id"] for r in records.appended_ids(spark, path).collect())
+    assert ids(log) == ["a", "b"] and ids(archive) == ["a"]
+    archived = [json.loads(x) for f in (tmp_path / "archive").rglob("part-*") for x in f.read_text().splitlines()]
+    assert archived[0]["odd name"] == OPEN[0]["odd name"]
+    # Another plan sees the first one's batch.
+    from corpuslab.operators import keys
+
+    with pytest.raises(keys.CheckFailed, match="already applied.*: b"):
+        curation_plans.apply_review(spark, str(tmp_path / "v2"), decide(b="reject"), str(tmp_path / "v3"), log, archive)
+    curation_plans.apply_review(spark, str(tmp_path / "v2"), decide(c="reject"), str(tmp_path / "v3"), log, archive)
+    assert ids(log) == ["a", "b", "c"] and ids(archive) == ["a", "c"]
+    for _ in range(2):
+        made = curation_plans.promote_candidates(spark, str(tmp_path / "v3"), decide(b="keep"), str(tmp_path / "promoted"), str(tmp_path / "rest"))
+        assert made == {"num_promoted": 1, "num_remaining_candidates": 0}
+    assert ids(str(tmp_path / "promoted")) == ["b"]
+
+
+@pytest.mark.parametrize("range_bytes", [1, 40, 10_000])
+def test_hub_lines_are_read_once_by_ranges(spark, tmp_path, range_bytes):
+    folder = tmp_path / "org/set/main/default/train"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_text("\n".join(json.dumps(c) for c in CASES[:7]) + "\n\n")
+    (folder / "b.json").write_text("\n" + "\n".join(json.dumps(c | {"prompt": "é" * 50}, ensure_ascii=False) for c in CASES[7:]))
+    (folder / "_SUCCESS").write_text("")
+    (folder / "empty.jsonl").write_text("")
+    reader = hub.HubReader({"path": "org/set", "mirror": f"file://{tmp_path}", "range_bytes": str(range_bytes)}, schemas.CASE)
+    parts = reader.partitions()
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted(r["case_id"] for r in rows) == sorted(c["case_id"] for c in CASES) and (range_bytes > 40 or len(parts) > 20)
+    assert all(r["prompt"] == "é" * 50 for r in rows if r["case_id"] in {c["case_id"] for c in CASES[7:]})
+
+
+def test_hub_sources_in_plans(spark, tmp_path):
+    mirror = str(tmp_path / "mirror")
+    spark.createDataFrame([(c["case_id"], c["prompt"], c["completion"], c["license"], c["tags"], 5) for c in CASES], "case_id string, prompt string, completion string, license string, tags array<string>, other int").coalesce(1).write.parquet(f"{mirror}/org/set/r1/c/dev")
+    source = SourceSpec("hf", repo_id="org/set", config_name="c", split="dev", revision="r1")
+    rows, label = source.load(spark, mirror=mirror)
+    assert label == "hf://org/set@r1/c:dev" and rows.schema == schemas.CASE and rows.count() == 12
+    manifest = datasets.build_dataset(spark, source, str(tmp_path / "built"), SplitSpec(0.75, 0.125, 42), mirror=mirror)
+    assert sum(manifest["counts"].values()) == 12
+    assert datasets.export_dataset(spark, source, str(tmp_path / "package"), mirror=mirror)["counts"]["chat"]["train"] >= 9
+    with pytest.raises(ValueError, match="mirror"):
+        source.load(spark)
+    with pytest.raises(Exception, match="the mirror holds no org/set/main/c/dev"):
+        SourceSpec("hf", repo_id="org/set", config_name="c", split="dev").load(spark, mirror=mirror)[0].count()
