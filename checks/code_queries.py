@@ -145,7 +145,7 @@ def _drawn(spark, folder, rows):
     return docs.select("doc_id", comment.alias("comment"), chosen.alias("r"))
 
 
-_COMMENT = "'# ' || regexp_replace(translate(text, '[.=(''\"', '      '), '[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]+', ' ', 'g') || chr(10)"
+_COMMENT = r"""'# ' || regexp_replace(translate(text, '[.=(''"', '      '), '[\r\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]+', ' ', 'g') || chr(10)"""
 
 
 @query("rewrite_each_rule", f"""WITH r(k, code, after, notes) AS (VALUES {_values(RULED)})
