@@ -19,7 +19,6 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +63,16 @@ def _send(owner_bits: int):
     shift = np.uint64(FINGERPRINT_BITS - owner_bits)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b["fp"].to_numpy().astype(np.uint64) for b in batches]
+        held, part = [], 0
+        for b in batches:
+            if len(b):
+                held.append(b["fp"].to_numpy().astype(np.uint64))
+                part = int(b["part"].iloc[0])
         if not held:
             return
         prints, times = np.unique(np.concatenate(held), return_counts=True)
         owner = (prints >> shift).astype(np.int64)
-        rows, part = [], TaskContext.get().partitionId()
+        rows = []
         for o in np.unique(owner):
             own = owner == o
             low = prints[own] & np.uint64((1 << int(shift)) - 1)
@@ -105,12 +108,13 @@ def _suspects(facts: DataFrame, total: int) -> DataFrame:
     """(key, digest) of the rows whose fingerprint another row has too."""
     parts = ceil(sqrt(total / MESSAGE)) or 1
     owner_bits = (parts - 1).bit_length()
-    fixed = facts.withColumn("fp", F.xxhash64("digest").bitwiseAND(F.lit((1 << FINGERPRINT_BITS) - 1))).coalesce(parts)
-    sent = fixed.select("fp").mapInPandas(_send(owner_bits), _MESSAGES)
+    # A checkpoint fixes which rows are of which part: were a part made again with others, its bitmaps would not fit.
+    printed = facts.withColumn("fp", F.xxhash64("digest").bitwiseAND(F.lit((1 << FINGERPRINT_BITS) - 1))).coalesce(parts)
+    fixed = checkpointed(printed.withColumn("part", F.spark_partition_id()))
+    sent = fixed.select("fp", "part").mapInPandas(_send(owner_bits), _MESSAGES)
     answers = sent.groupBy("owner").applyInPandas(_answer, "owner int, part int, bitmap binary").withColumn("owner_bits", F.lit(owner_bits))
-    mine = fixed.withColumn("part", F.spark_partition_id())
     kind = dict(facts.dtypes)["key"]
-    return mine.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_receive, f"key {kind}, digest binary")
+    return fixed.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_receive, f"key {kind}, digest binary")
 
 
 def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

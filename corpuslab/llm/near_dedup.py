@@ -408,7 +408,7 @@ def _placed(docs: DataFrame, settings: Settings) -> DataFrame:
     keys = texts.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     total = texts.count() * settings.bands
-    members = common.settled(common.join_skewed(keys, checkpointed(common.compact(shared, total)), "key", "n", total).where(F.col("n").isNotNull()), total)
+    members = common.settled(common.join_skewed(keys, common.settled(shared, total), "key", "n", total).where(F.col("n").isNotNull()), total)
     words = common.only(docs.select(_row().alias("doc_id"), "text"), members.select(F.col("rep").alias("doc_id")).distinct())
     words = words.dropDuplicates(["doc_id"]).select("doc_id", _worded()(F.col("text")).alias("words"))
     words = common.settled(words, rows, TEXTS)

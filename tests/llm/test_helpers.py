@@ -105,3 +105,27 @@ def test_held_out_is_crc32_of_the_id_as_text(spark):
 
     rows = spark.range(50).select("id", common.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_a_sample_takes_one_row_of_a_hot_key(spark):
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS id", "id % 2 = 0 AS k", "CAST(id AS string) AS t", "map(id, id) AS _of", "id AS _at")
+    for size in (10, 1000, 5000):
+        got = common.bounded_sample(rows.repartition(5), F.col("k"), "id", F.length("t"), size, 10**6)
+        found = got.collect()
+        assert got.columns == rows.columns and len(found) == len({(r["id"], r["k"]) for r in found})
+        assert max(sum(r["k"] == k for r in found) for k in (True, False)) <= size
+        again = common.bounded_sample(rows.repartition(3), F.col("k"), "id", F.length("t"), size, 10**6).collect()
+        assert sorted(r["t"] for r in found) == sorted(r["t"] for r in again)
+
+
+def test_fresh_names_and_wrapped_rows(spark):
+    assert common.fresh(["_a", "__A", "b"], "_a", "b", "c", "c") == ["___a", "_b", "c", "_c"]
+    rows = spark.createDataFrame([(1, "x", 2)], "doc_id long, _user string, `a.b` int")
+    made = common.wrapped(rows, "doc_id", without=("a.b",)).withColumn("more", F.lit(1))
+    assert made.select("_user.*", "more").collect() == [(1, "x", 1)]
+
+
+def test_compact_keeps_the_rows(spark):
+    rows = spark.range(1000).repartition(50)
+    made = common.compact(rows, 1000, 100)
+    assert made.rdd.getNumPartitions() == 10 and made.count() == 1000

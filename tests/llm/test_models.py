@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.llm import common, decontamination, html_extract, language_id, mixing, queries, secrets, toxicity, url_filter
+from corpuslab.llm import common, decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, queries, secrets, toxicity, url_filter
 
 SYLLABLES = {"aa": "ba be bi bo da de di do".split(), "zz": "xo xu zy zu vri vro kla klo".split()}
 
@@ -320,3 +320,70 @@ def test_secrets_of_letters_alone_are_scored():
 
 def test_a_cut_value_does_not_end_where_it_is_cut():
     assert secrets.Automaton([b"a" * 100] * 50, secrets.Settings()).stop.min() > 6.3
+
+
+def test_rates_equal_a_brute_force_least_squares(spark):
+    rng = np.random.default_rng(17)
+    for targets, seed in (({"a": 0.7, "b": 0.25, "c": 0.05}, 1), ({"a": 0.999, "b": 0.0005, "c": 0.0005}, 2), ({"a": 3.0, "b": 1.0}, 3)):
+        p, tokens = rng.dirichlet([0.5, 0.3, 0.1 * seed], 120), rng.integers(0, 300, 120).astype(float)
+        facts = frame(spark, [(int(t), [float(x) for x in row]) for t, row in zip(tokens, p, strict=True)], "_tokens long, _p array<double>").repartition(3)
+        settings = mixing.Settings(targets=targets, pull=0.01, scale=1.0 if seed < 3 else 2.5)
+        found = mixing.fit(facts, ["a", "b", "c"], settings)
+        total = tokens.sum()
+        wanted = np.array([targets.get(d, 0.0) for d in "abc"])
+        wanted = wanted / wanted.sum() * settings.scale
+        rate = np.ones(len(tokens))
+        for _ in range(60_000):
+            rate = np.maximum(0, rate - 0.9 * (p @ ((tokens * rate) @ p / total - wanted) + settings.pull * (rate - 1)))
+        assert np.abs(np.maximum(0, 1 - p @ found.m) - rate)[tokens > 0].max() < 1e-4
+        assert np.abs(found.residual - ((tokens * rate) @ p / total - wanted)).max() < 1e-6 and found.steps <= settings.steps
+        assert np.allclose(found.targets, wanted)
+
+
+CLASH = "_user _x _words _prob _length _guess _lettered _row _starts _of _at _one _tokens _p _rate _suffix _ruled host verdict n_lines".split()
+
+
+def test_columns_with_an_operators_own_names_are_carried(spark, tables):
+    made = {n: F.lit(-5.0 - k) for k, n in enumerate(CLASH)}
+    docs = common.table(spark, tables, "documents").limit(60).select("doc_id", "text", "lang", "source").withColumns(made)
+    labels = common.table(spark, tables, "labels")
+    pages = common.table(spark, tables, "pages").select("page_id", "url").withColumns(made)
+    kept = lambda rows, but=(): all(rows.where(F.col(n) != -5.0 - k).isEmpty() for k, n in enumerate(CLASH) if n not in but)
+    assert kept(mixing.mixed(docs, labels)[0]) and kept(language_id.identify(docs, language_id.learn(docs)))
+    assert kept(url_filter.judge(pages, queries.URL_RULES), ("host", "verdict"))
+    benchmark = common.table(spark, tables, "benchmark")
+    for rows in (exact_dedup.keep_first(docs), near_dedup.keep_one(docs), decontamination.without_leaks(docs, benchmark)):
+        assert rows.columns == docs.columns and kept(rows) and rows.count() > 0
+    lines = line_dedup.remove_repeats(docs)
+    assert lines.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"] and kept(lines, ("n_lines",))
+
+
+@pytest.mark.parametrize("pattern", ["<i>{n}</b>{n}", "<i>{n}<li>{n}", "<p><div><i>{n}<hr>{n}", "<i>{n}x</i>{n}", "<ul>{n}<li>a</td>{n}", "<b>x{n}", "<template>{n}", "<td>{n}</tr>{n}"])
+def test_stray_and_deep_markup_takes_linear_time(pattern):
+    import time
+
+    head, _, tail = pattern.partition("{n}")
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        page = html_extract.Page(head * n + tail.replace("{n}", "") * n)
+        html_extract.main_text(page, np.ones(len(page.tags)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_stray_tags_close_nothing_else():
+    page = html_extract.Page("<div><b>a</i></b></section><li>one<ul><li>two<li>three</ul><li>four<p>x<table><tr><td>y<td>z<tr><td>w</table><p>v<i>u<hr>t")
+    parent = [page.tags[p] if p >= 0 else None for p in page.parents]
+    assert list(zip(page.tags, parent, strict=True))[1:] == [
+        ("div", "#root"), ("b", "div"), ("li", "div"), ("ul", "li"), ("li", "ul"), ("li", "ul"), ("li", "div"), ("p", "li"), ("table", "li"),
+        ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr"), ("p", "li"), ("i", "p"),
+    ]
+
+
+def test_rare_suffixes_have_their_own_statistics(spark):
+    rows = [(i, f"http://any.s{i % 600}/") for i in range(1800)]
+    rows += [(5000 + i, f"http://{'abc' if i % 2 else 'bca'}.r{10 + i}/") for i in range(12)] + [(6000 + i, f"http://cab.r{10 + i}/") for i in range(12)]
+    rules = [("block" if i % 2 else "allow", f"{'abc' if i % 2 else 'bca'}.r{10 + i}/") for i in range(12)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame(spark, rows, "page_id long, url string"), rules).collect()}
+    assert len(got) == len(rows) and sum(got[6000 + i] == ("block" if i % 2 else "allow") for i in range(12)) >= 11
