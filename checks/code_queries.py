@@ -10,6 +10,8 @@ from corpuslab.functions import rewrite, text
 from corpuslab.operators import audit, code, curation, evaluation, pages
 from corpuslab.plans import curation as curation_plans
 from corpuslab.plans import evaluation as evaluation_plans
+from corpuslab.session import scratch_path
+from corpuslab.sources import hub, source_tree
 
 # What the made sources hold, by language, as SQL over documents.
 SCENES = "CASE lang WHEN 'en' THEN ['Doc' || doc_id] WHEN 'de' THEN ['First' || doc_id, 'Second' || doc_id] ELSE [] END"
@@ -61,6 +63,37 @@ def repository_cases(spark, folder):
     )
 
 
+def checked_out(spark, folder):
+    """The made sources as files of a checkout, each with a test beside it."""
+    root = scratch_path(spark, "checkout")
+    rows = views.modules(spark, folder).select("source", "lang", "case_id", "code")
+
+    def write(batches):
+        system, base = hub.opened(root)
+        for batch in batches:
+            for source, lang, case_id, code_text in zip(batch["source"], batch["lang"], batch["case_id"], batch["code"]):
+                system.create_dir(f"{base}/{source}/{lang}", recursive=True)
+                for name in (f"{case_id}.py", f"test_{case_id}.py"):
+                    with system.open_output_stream(f"{base}/{source}/{lang}/{name}") as file:
+                        file.write(code_text.encode())
+            yield batch[["case_id"]]
+
+    rows.mapInPandas(write, "case_id string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("source_tree", f"""WITH {MODULES}
+SELECT source || '/' || lang || '/' || case_id || '.py' AS path, sha256(code) AS code_sha256, CASE source WHEN 'src1' THEN 'One' ELSE 'Others' END AS name FROM modules_v""")
+def source_tree_files(spark, folder):
+    """Sources read back from a checkout, as two repositories: one folder, and all others."""
+    root = checked_out(spark, folder)
+    sources = [r["source"] for r in views.table(spark, folder, "documents").select("source").distinct().orderBy("source").collect()]
+    entry = lambda name, paths: {"name": name, "repo_url": "u", "license": "MIT", "domain": "ml", "include_paths": paths}
+    one = source_tree.read_repository(spark, root, entry("One", ["src1", "not-there"]))
+    others = source_tree.read_repository(spark, root, entry("Others", [s for s in sources if s != "src1"]))
+    return one.unionByName(others).select("path", F.sha2("code", 256).alias("code_sha256"), "name")
+
+
 @query("derived_prompts", """
 SELECT DISTINCT 'Create a Manim scene for a ' || CASE lang WHEN 'en' THEN 'machine learning' ELSE lang END || ' concept inspired by the `Fade In '
   || upper(lang[1]) || lang[2] || '` example from the `' || source || '` repository. Return runnable Python code with one main scene class.' AS prompt FROM documents""")

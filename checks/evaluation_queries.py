@@ -8,6 +8,7 @@ from checks import views
 from checks.registry import query
 from corpuslab.functions import metrics, scoring
 from corpuslab.operators import evaluation
+from corpuslab.session import checkpointed
 from corpuslab.sources import logs
 
 TARGETS = [
@@ -26,8 +27,8 @@ pairs_v AS (
 
 
 def pairs(spark, folder):
-    """Each run against the next one, the last against the first."""
-    summary = views.summary(spark, folder)
+    """Each run against the next one, the last against the first. The summary, a row for each run, is rolled up once."""
+    summary = checkpointed(views.summary(spark, folder))
     number = F.substring("run_name", 5, 9).cast("int")
     return evaluation.summary_pairs(
         summary.withColumn("pair_no", number % 7 + 1), summary.withColumn("pair_no", number), "pair_no",
@@ -103,6 +104,35 @@ def all_rendered_cases(spark, folder):
     return found.select("case_id", "complete", F.array_join(F.transform("rows", lambda r: r["name"]), ",").alias("models"))
 
 
+@query("rendered_examples", f"""WITH {views.RESULTS},
+wanted AS (SELECT 'o' || o_orderkey AS case_id, unnest(models) AS run_name, unnest(range(len(models))) AS place, o_orderstatus AS title FROM (
+  SELECT *, CASE o_orderstatus WHEN 'F' THEN ['line2', 'line1'] WHEN 'O' THEN ['line1'] ELSE ['line3', 'line9'] END AS models FROM orders)),
+met AS (SELECT w.*, r.case_id IS NOT NULL AS there, coalesce(r.render_ok, FALSE) AS ok FROM wanted w
+  LEFT JOIN results_v r ON w.case_id = r.case_id AND w.run_name = r.run_name)
+SELECT case_id, any_value(title) AS title, string_agg(run_name, ',' ORDER BY place) AS models,
+  coalesce(string_agg(CASE WHEN ok THEN NULL WHEN there THEN run_name || ': not rendered' ELSE run_name || ': no result' END, ',' ORDER BY place), '') AS problems
+FROM met GROUP BY case_id""")
+def rendered_examples(spark, folder):
+    """Every order asks for an example of its own models; many have no result, or none that rendered."""
+    names = {"F": ("line2", "line1"), "O": ("line1",)}
+    models = F.when(F.col("o_orderstatus") == "F", views.strings(*names["F"])).when(F.col("o_orderstatus") == "O", views.strings(*names["O"])).otherwise(views.strings("line3", "line9"))
+    spec = views.table(spark, folder, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("case_id"), F.col("o_orderstatus").alias("title"), F.lit("").alias("summary"), models.alias("models")
+    )
+    results = views.results(spark, folder).withColumn("prompt", F.lit(None).cast("string"))
+    found = evaluation.rendered_examples(results, spec, strict=False)
+    return found.select("case_id", "title", F.array_join(F.col("rows.name"), ",").alias("models"), F.array_join("problems", ",").alias("problems"))
+
+
+@query("required_metrics", f"""WITH {views.SUMMARY}
+SELECT run_name, 'not_reported' AS metric FROM summary_v UNION ALL SELECT run_name, 'render_success_rate' FROM summary_v WHERE render_success_rate IS NULL
+UNION ALL SELECT run_name, 'test_loss' FROM summary_v WHERE NOT test_loss > 0.09""")
+def required_metrics(spark, folder):
+    """What each run does not report of the metrics that are asked for; a loss of at most 0.09 counts as not finite here."""
+    summary = checkpointed(views.summary(spark, folder).withColumn("test_loss", F.when(F.col("test_loss") > 0.09, F.col("test_loss")).otherwise(float("nan"))))
+    return evaluation.missing_metrics(evaluation.finite_metrics(summary), summary.select("run_name"), ["test_loss", "render_success_rate", "not_reported"])
+
+
 @query("ab_deltas", f"""WITH {PAIRS}
 SELECT baseline_run, candidate_run, round(cl - bl, 6) AS test_loss_delta, round(cr - br, 6) AS render_success_rate_delta,
   round(cm - bm, 6) AS mean_case_score_delta FROM pairs_v""")

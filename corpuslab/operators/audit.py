@@ -82,10 +82,6 @@ def record_findings(df: DataFrame, min_tags: int = 5, profiled: bool = False) ->
     return df.select("case_id", F.explode(F.flatten(F.array(*groups))).alias("f")).select("case_id", "f.severity", "f.rule", "f.detail")
 
 
-def _fixed(df: DataFrame, severity: str, rule: str) -> DataFrame:
-    return df.select("case_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.lit("").alias("detail"))
-
-
 def duplicate_prompt_hashes(df: DataFrame) -> DataFrame:
     """Hash of the normal form of each prompt that occurs more than once.
 
@@ -101,20 +97,33 @@ def duplicate_prompt_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("prompt_hash", F.sha2(normal_form(F.col("prompt")), 256)).join(repeated, "prompt_hash", "left_semi")
 
 
+def _repeated(df: DataFrame, canonical: DataFrame | None) -> DataFrame:
+    """The findings that look at other rows: ids and prompts that repeat in the shard, and ids that are canonical.
+
+    All three are one count of narrow keys, combined before the shuffle, and one join of the keys with what was found.
+    """
+    prompt = normal_form(F.col("prompt"))
+    kinds = F.array_compact(F.array(
+        F.struct(F.lit("id").alias("kind"), F.col("case_id").alias("key")),
+        F.when(prompt != "", F.struct(F.lit("prompt").alias("kind"), F.sha2(prompt, 256).alias("key"))),
+    ))
+    entries = df.select("case_id", F.explode(kinds).alias("e")).select("case_id", "e.kind", "e.key")
+    held = entries.select("kind", "key", F.lit(False).alias("known"))
+    if canonical is not None:
+        held = held.unionByName(canonical.select(F.lit("id").alias("kind"), F.col("case_id").alias("key"), F.lit(True).alias("known")))
+    counted = held.groupBy("kind", "key").agg(F.count_if(~F.col("known")).alias("n"), F.bool_or("known").alias("known"))
+    met = entries.join(counted.filter((F.col("n") > 1) | F.col("known")), ["kind", "key"])
+    rule = lambda severity, name: F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("rule"))
+    rules = F.array_compact(F.array(
+        F.when((F.col("kind") == "id") & (F.col("n") > 1), rule("error", "duplicate_id")), F.when(F.col("known"), rule("error", "already_canonical")),
+        F.when(F.col("kind") == "prompt", rule("warning", "duplicate_prompt")),
+    ))
+    return met.select("case_id", F.explode(rules).alias("r")).select("case_id", "r.severity", "r.rule", F.lit("").alias("detail"))
+
+
 def audit(df: DataFrame, canonical: DataFrame | None = None, min_tags: int = 5, profiled: bool = False) -> DataFrame:
     """All findings: the record rules, ids repeated in the shard or already canonical, and repeated prompts."""
-    narrow = df.select("case_id")
-    repeated_ids = narrow.join(keys.duplicate_keys(df, "case_id").select("case_id"), "case_id", "left_semi")
-    repeated_prompts = duplicate_prompt_rows(df.select("case_id", "prompt")).select("case_id")
-    findings = (
-        record_findings(df, min_tags, profiled)
-        .unionByName(_fixed(repeated_ids, "error", "duplicate_id"))
-        .unionByName(_fixed(repeated_prompts, "warning", "duplicate_prompt"))
-    )
-    if canonical is not None:
-        known = narrow.join(canonical.select("case_id").distinct(), "case_id", "left_semi")
-        findings = findings.unionByName(_fixed(known, "error", "already_canonical"))
-    return findings
+    return record_findings(df, min_tags, profiled).unionByName(_repeated(df, canonical))
 
 
 # Wording of each finding behind its case id, with the detail in place of {} (fixed values).

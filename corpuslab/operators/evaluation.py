@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import metrics, scoring
-from corpuslab.operators import ordered
+from corpuslab.functions.text import first_truthy
+from corpuslab.operators import keys, ordered
 
 # Metrics of a run summary that reports look at (fixed values, fixed order).
 SUMMARY_METRICS = (
@@ -166,5 +167,35 @@ def all_rendered(results: DataFrame, models: Sequence[str], case_ids: DataFrame
     )
 
 
+def rendered_examples(results: DataFrame, spec: DataFrame, strict: bool = True) -> DataFrame:
+    """The listed examples, each with a row for every model that it lists, in list order.
+
+    ``spec`` has ``case_id``, ``title``, ``summary`` and ``models``. A model that has no row for the case, or did not
+    render it, makes the example incomplete and stands in ``problems``; with ``strict`` such an example is an error. An
+    example without any row is still returned. The prompt is the first that is not empty, in list order.
+    """
+    listed = spec.select("case_id", "title", "summary", F.posexplode_outer("models").alias("position", "run_name"))
+    one_each = results.groupBy("case_id", "run_name").agg(
+        F.every(F.coalesce("render_ok", F.lit(False))).alias("render_ok"), F.every(F.coalesce("syntax_ok", F.lit(False))).alias("syntax_ok"),
+        F.min("weighted_score").alias("score"), F.max("prompt").alias("prompt"),
+    )
+    joined = listed.join(one_each, ["case_id", "run_name"], "left")
+    problem = F.when(F.col("run_name").isNull(), F.lit("no models")).when(F.col("render_ok").isNull(), F.concat("run_name", F.lit(": no result"))).when(
+        ~F.col("render_ok"), F.concat("run_name", F.lit(": not rendered"))
+    )
+    entry = F.struct(
+        "position", F.col("run_name").alias("name"), F.when(F.col("render_ok"), F.lit("Rendered")).alias("status"), "score", "render_ok", "syntax_ok",
+        first_truthy(F.col("prompt")).alias("prompt"), problem.alias("problem"),
+    )
+    found = joined.groupBy("case_id").agg(F.any_value("title").alias("title"), F.any_value("summary").alias("summary"), F.sort_array(F.collect_list(entry)).alias("rows"))
+    made = found.select(
+        "case_id", "title", "summary", F.coalesce(F.get(F.array_compact(F.col("rows.prompt")), F.lit(0)), F.lit("")).alias("prompt"),
+        F.transform("rows", lambda r: r.dropFields("prompt", "problem")).alias("rows"), F.array_compact(F.col("rows.problem")).alias("problems"),
+    )
+    if strict:
+        keys.require_empty(made.filter(F.size("problems") > 0).select("case_id"), "Not valid all-rendered examples")
+    return made
+
+
 def case_status(results: DataFrame) -> DataFrame:
     return results.withColumn("status", scoring.case_status(F.col("render_ok"), F.col("syntax_ok"), F.col("scene_name")))

@@ -50,27 +50,36 @@ def _kept(log: DataFrame) -> DataFrame:
     return log.filter(F.col("status") == KEPT)
 
 
+def _with(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """The kept rows with what was found for them by narrow rows: wide ones are moved once and never checkpointed."""
+    made = found.select(F.col("campaign").alias("_campaign"), F.col("idx").alias("_idx"), *[c for c in found.columns if c not in ("campaign", "idx", "metric")])
+    return kept.join(made, F.col("campaign").eqNullSafe(F.col("_campaign")) & (F.col("idx") == F.col("_idx"))).drop("_campaign", "_idx")
+
+
 def running_best(log: DataFrame) -> DataFrame:
     """Kept experiments with the best metric so far."""
     kept = _kept(log).filter(F.col("metric").isNotNull())
-    return ordered.prefixed(kept, ["campaign"], "idx", {"best_so_far": ("min", "metric")})
+    return _with(kept, ordered.prefixed(kept.select("campaign", "idx", "metric"), ["campaign"], "idx", {"best_so_far": ("min", "metric")}))
+
+
+def _narrow_deltas(log: DataFrame) -> DataFrame:
+    narrow = _kept(log).select("campaign", "idx", "metric")
+    found = ordered.prefixed(narrow, ["campaign"], "idx", {"kept_no": ("ordinal", None), "previous_metric": ("previous", "metric")})
+    return found.filter(F.col("kept_no") > 1).withColumn("delta", F.col("previous_metric") - F.col("metric"))
 
 
 def kept_deltas(log: DataFrame) -> DataFrame:
     """Improvement of each kept experiment over the kept one before it; the first has none and is left out."""
-    found = ordered.prefixed(
-        _kept(log), ["campaign"], "idx", {"kept_no": ("ordinal", None), "previous_metric": ("previous", "metric")}
-    )
-    return found.filter(F.col("kept_no") > 1).withColumn("delta", F.col("previous_metric") - F.col("metric"))
+    return _with(_kept(log), _narrow_deltas(log))
 
 
 def top_hits(log: DataFrame) -> DataFrame:
     """Deltas ranked per campaign, biggest first, ties by order of the experiments."""
-    return ordered.ranked(kept_deltas(log), ["campaign"], [F.col("delta").desc_nulls_last(), F.col("idx")], "hit_rank")
+    return _with(_kept(log), ordered.ranked(_narrow_deltas(log), ["campaign"], [F.col("delta").desc_nulls_last(), F.col("idx")], "hit_rank"))
 
 
 def total_improvement(log: DataFrame) -> DataFrame:
-    return kept_deltas(log).groupBy("campaign").agg(F.sum("delta").alias("total_delta"), F.count(F.lit(1)).alias("n_hits"))
+    return _narrow_deltas(log).groupBy("campaign").agg(F.sum("delta").alias("total_delta"), F.count(F.lit(1)).alias("n_hits"))
 
 
 def improvement_summary(log: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ class FilePart(InputPartition):
     end: int
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
@@ -65,7 +66,7 @@ class HubReader(DataSourceReader):
         self.range_bytes = int(options.get("range_bytes") or RANGE_BYTES)
 
     def partitions(self) -> list[FilePart]:
-        system, root = _opened(self.mirror)
+        system, root = opened(self.mirror)
         infos = system.get_file_info(fs.FileSelector(f"{root}/{self.folder}", allow_not_found=True, recursive=True))
         files = sorted((i for i in infos if i.is_file and not i.base_name.startswith(("_", "."))), key=lambda i: i.path)
         known = [i for i in files if i.extension in ("parquet", "jsonl", "json")]
@@ -82,7 +83,7 @@ class HubReader(DataSourceReader):
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        system, _ = _opened(self.mirror)
+        system, _ = opened(self.mirror)
         wanted = to_arrow_schema(self.schema)
         if part.path.endswith(".parquet"):
             table = pq.ParquetFile(part.path, filesystem=system).read_row_group(part.first)

@@ -54,10 +54,11 @@ def case_results(payloads: DataFrame) -> DataFrame:
 def write_payloads(summary: DataFrame, results: DataFrame, path: str, run: str = "run_name") -> None:
     """Summaries and case rows as two tables below ``path``, partitioned by run.
 
-    A payload is not assembled into one document: that would bring all cases of a run to one task.
+    A payload is not assembled into one document: that would bring all cases of a run to one task. Rows are rebalanced
+    by run first, so a run has a file for each so many of its bytes instead of one for each task that holds some of it.
     """
-    summary.write.mode("overwrite").partitionBy(run).json(f"{path}/summary")
-    results.write.mode("overwrite").partitionBy(run).json(f"{path}/cases")
+    summary.hint("rebalance", run).write.mode("overwrite").partitionBy(run).json(f"{path}/summary")
+    results.hint("rebalance", run).write.mode("overwrite").partitionBy(run).json(f"{path}/cases")
 
 
 def results_log_rows(summary: DataFrame) -> DataFrame:

@@ -320,3 +320,18 @@ def test_ratings_stream_remembers_ids_and_breaks_ties(spark, tmp_path):
     assert sorted(map(repr, spark.read.parquet(f"{path}/refused").select(*columns, "reason").collect())) == sorted(map(repr, refused))
     ids = [r["review_id"] for r in accepted]
     assert len(set(ids)) == len(ids) >= 3
+
+
+def test_listed_examples_are_all_returned(spark):
+    rows = spark.createDataFrame(
+        [("m1", "x", True, True, 0.5, ""), ("m2", "x", True, True, 0.6, "say"), ("m1", "y", True, True, 0.1, "p"), ("m2", "y", None, True, 0.2, "q")],
+        "run_name string, case_id string, render_ok boolean, syntax_ok boolean, weighted_score double, prompt string",
+    )
+    spec = spark.createDataFrame([("x", "X", "s", ["m2", "m1"]), ("y", "Y", "s", ["m1", "m2", "m3"]), ("gone", "G", "s", ["m1"]), ("bare", "B", "s", [])], "case_id string, title string, summary string, models array<string>")
+    found = {r["case_id"]: r for r in evaluation.rendered_examples(rows, spec, strict=False).collect()}
+    assert found["x"]["prompt"] == "say" and [r["name"] for r in found["x"]["rows"]] == ["m2", "m1"] and found["x"]["problems"] == []
+    assert found["y"]["problems"] == ["m2: not rendered", "m3: no result"] and found["gone"]["problems"] == ["m1: no result"]
+    assert found["bare"]["problems"] == ["no models"] and found["gone"]["prompt"] == ""
+    with pytest.raises(keys.CheckFailed, match="all-rendered examples: bare, gone, y"):
+        evaluation.rendered_examples(rows, spec)
+    assert evaluation.rendered_examples(rows, spec.where("case_id = 'x'")).count() == 1
