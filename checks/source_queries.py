@@ -47,14 +47,18 @@ def dataset_folder(spark, folder):
 
 
 @query("export_package", f"""WITH {views.CASES}, {SPLIT}
-SELECT 'cases' AS part, count(*) AS n_rows FROM cases_v
-UNION ALL SELECT CASE split WHEN 'valid' THEN 'validation' ELSE split END, count(*) FROM split_v GROUP BY split""")
+SELECT 'cases' AS part, count(*) AS n_rows, CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars, min(case_id) AS first_id, count(*) AS told FROM cases_v
+UNION ALL SELECT CASE split WHEN 'valid' THEN 'validation' ELSE split END, count(*), CAST(sum(length(prompt)) AS BIGINT), min(case_id), count(*) FROM split_v GROUP BY split""")
 def export_package(spark, folder):
-    """Counts from the package's own manifest."""
+    """What stands in the package's files, beside the counts that its own manifest tells."""
     path = scratch_path(spark, "package")
     metadata = datasets.export_dataset(spark, SourceSpec(path=written_cases(spark, folder)), path, SPEC, pretty_name="Documents")
-    counts = {"cases": spark.read.schema("case_id string").json(f"{path}/cases").count(), **metadata["counts"]["chat"]}
-    return spark.createDataFrame(sorted(counts.items()), "part string, n_rows long")
+    told = F.create_map(*[F.lit(x) for pair in {"cases": metadata["counts"]["cases"], **metadata["counts"]["chat"]}.items() for x in pair])
+    rows = spark.read.schema("case_id string, prompt string").json(f"{path}/cases").select(F.lit("cases").alias("part"), "case_id", "prompt")
+    chat = spark.read.schema("case_id string, split string, messages array<struct<role:string,content:string>>").json(f"{path}/chat")
+    rows = rows.unionByName(chat.select(F.col("split").alias("part"), "case_id", F.get("messages", F.lit(1))["content"].alias("prompt")))
+    counted = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.char_length("prompt")).alias("prompt_chars"), F.min("case_id").alias("first_id"))
+    return counted.withColumn("told", told[F.col("part")].cast("bigint"))
 
 
 @query("variant_folder", f"""WITH {views.CASES}, {SPLIT}

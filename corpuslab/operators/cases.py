@@ -95,18 +95,20 @@ def tag_filter(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str
 
 
 def prepare(
-    df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), strict: bool = True, label: str = "dataset"
+    df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), strict: bool = True, label: str = "dataset", licensed: bool = False
 ) -> DataFrame:
     """Normalise all cases, filter by tags, and check that something is left and ids are unique.
 
-    The checks are one pass; without ``strict`` nothing runs and unusable rows are left out.
+    With ``licensed`` every row that is left must carry a licence. The checks are one pass; without ``strict`` nothing
+    runs and unusable rows are left out.
     """
     normal = normalise(df)
     if strict:
         wanted = is_usable() & tag_functions.matches(F.col("tags"), include, exclude)
+        faults = {"unusable": f"Unusable cases in {label}"} | ({"unlicensed": f"Missing row-level license metadata in {label}"} if licensed else {})
+        unlicensed = [(wanted & lacks_license()).alias("unlicensed")] if licensed else []
         keys.gate(
-            normal.select("case_id", wanted.alias("kept"), (~is_usable()).alias("unusable")), "case_id",
-            {"unusable": f"Unusable cases in {label}"},
+            normal.select("case_id", wanted.alias("kept"), (~is_usable()).alias("unusable"), *unlicensed), "case_id", faults,
             repeated=f"Duplicate case_id values found in {label}",
             empty=f"No dataset cases matched filter for {label}.",
         )
