@@ -1,9 +1,9 @@
-"""Rewrite rules for generated code: tables of rules, folded over the text by one native expression.
+"""Rewrite rules for generated code: tables of rules, applied one after the other by one native expression.
 
-The rules are array literals and a fold applies them in turn, so the text is read from its column once
-however many rules there are, and a filter on the result cannot make the plan grow. A rule names a
-literal that every match contains: a byte search for it comes first, and only texts that hold it pay for
-the regex.
+Each rule is a step on a value that the step before binds, so the text is read from its column once however many rules
+there are, and the expression grows with the rules alone. A rule's pattern is a literal of its step, so a task compiles
+it once. A rule names a literal that every match contains: a byte search for it comes first, and only texts that hold it
+pay for the regex.
 """
 
 from __future__ import annotations
@@ -84,26 +84,6 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _line_rules() -> Column:
-    return F.array(*[
-        F.struct(
-            _strings(needed).alias("needed"), _strings(barred).alias("barred"), F.lit(_unicode(pattern)).alias("pattern"),
-            F.lit(replacement).alias("replacement"), F.lit(number).alias("number"), F.lit(note).alias("note"),
-        )
-        for number, (needed, barred, pattern, replacement, note) in enumerate(LINE_RULES)
-    ])
-
-
-def _text_rules(rules) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(literal).alias("literal"), F.lit(_unicode(pattern)).alias("pattern"),
-            F.lit(replacement).alias("replacement"), F.lit(note).alias("note"),
-        )
-        for literal, pattern, replacement, note in rules
-    ])
-
-
 def _bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -111,38 +91,52 @@ def _bound(value: Column, body) -> Column:
 
 def _after_line_rules(code: Column) -> Column:
     """``struct(lines, found)``: the lines, and where each rule that fired did so first."""
-    def rewritten(lines: Column, rule: Column) -> Column:
+    def step(number: int, rule: tuple):
+        needed, barred, pattern, replacement, note = rule
+
         def one(line: Column) -> Column:
-            applies = F.forall(rule["needed"], lambda n: F.contains(line, n)) & ~F.exists(rule["barred"], lambda n: F.contains(line, n))
-            return F.when(applies, F.regexp_replace(line, rule["pattern"], rule["replacement"])).otherwise(line)
+            applies = F.lit(True)
+            for literal in needed:
+                applies = applies & F.contains(line, F.lit(literal))
+            for literal in barred:
+                applies = applies & ~F.contains(line, F.lit(literal))
+            return F.when(applies, F.regexp_replace(line, _unicode(pattern), replacement)).otherwise(line)
 
-        return F.transform(lines, one)
+        def judged(so_far: Column):
+            def with_first(lines: Column) -> Column:
+                first = F.array_position(F.zip_with(so_far["lines"], lines, lambda a, b: a != b), F.lit(True))
+                entry = F.struct(first.alias("line"), F.lit(number).alias("rule"), F.lit(note).alias("note"))
+                found = F.when(first > 0, F.array_append(so_far["found"], entry)).otherwise(so_far["found"])
+                return F.struct(lines.alias("lines"), found.alias("found"))
 
-    def step(so_far: Column, rule: Column) -> Column:
-        def judged(lines: Column) -> Column:
-            first = F.array_position(F.zip_with(so_far["lines"], lines, lambda a, b: a != b), F.lit(True))
-            entry = F.struct(first.alias("line"), rule["number"].alias("rule"), rule["note"].alias("note"))
-            found = F.when(first > 0, F.array_append(so_far["found"], entry)).otherwise(so_far["found"])
-            return F.struct(lines.alias("lines"), found.alias("found"))
+            return with_first
 
-        return _bound(rewritten(so_far["lines"], rule), judged)
+        return lambda so_far: _bound(F.transform(so_far["lines"], one), judged(so_far))
 
     none = F.array().cast("array<struct<line:bigint,rule:int,note:string>>")
-    return F.aggregate(_line_rules(), F.struct(F.split(code, LINE_END, -1).alias("lines"), none.alias("found")), step)
+    state = F.struct(F.split(code, LINE_END, -1).alias("lines"), none.alias("found"))
+    for number, rule in enumerate(LINE_RULES):
+        state = _bound(state, step(number, rule))
+    return state
 
 
 def _after_text_rules(text: Column, notes: Column, rules) -> Column:
     """``struct(text, notes)``: the text, and ``notes`` with the note of each rule that matched."""
-    def step(so_far: Column, rule: Column) -> Column:
-        current = so_far["text"]
-        possible = F.contains(current, rule["literal"])
-        return F.struct(
-            F.when(possible, F.regexp_replace(current, rule["pattern"], rule["replacement"])).otherwise(current).alias("text"),
-            F.when(possible & F.rlike(current, rule["pattern"]), F.array_append(so_far["notes"], rule["note"]))
-            .otherwise(so_far["notes"]).alias("notes"),
-        )
-
-    return F.aggregate(_text_rules(rules), F.struct(text.alias("text"), notes.alias("notes")), step)
+    def step(literal: str, pattern: str, replacement: str, note: str):
+        def judged(so_far: Column) -> Column:
+            current, regex = so_far["text"], _unicode(pattern)
+            possible = F.contains(current, F.lit(literal))
+            return F.struct(
+                F.when(possible, F.regexp_replace(current, regex, replacement)).otherwise(current).alias("text"),
+                F.when(possible & F.rlike(current, F.lit(regex)), F.array_append(so_far["notes"], F.lit(note))).otherwise(so_far["notes"]).alias("notes"),
+            )
+
+        return judged
+
+    state = F.struct(text.alias("text"), notes.alias("notes"))
+    for rule in rules:
+        state = _bound(state, step(*rule))
+    return state
 
 
 def normalised(code: Column) -> Column:
