@@ -134,6 +134,19 @@ def test_source_tree(spark, tmp_path):
     assert (tmp_path / "out" / "candidate_set=plain").exists()
 
 
+def test_source_tree_is_listed_in_tasks(spark, tmp_path):
+    wanted = {"top.py", "a/one.py", "a/_own.py", "a/.hidden/two.py", "a/b/c/three.py", "b/four.py"}
+    for name in wanted | {"a/b/test_x.py", "a/b/__init__.py", "a/b/c/note.txt", "a.py/five.txt"}:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x = '%d'\r\n" % len(name))
+    everything = source_tree.read_sources(spark, f"file://{tmp_path}")
+    assert "FileScan" not in everything._jdf.queryExecution().toString() and everything.inputFiles() == []
+    assert {r["path"]: r["code"] for r in everything.collect()} == {name: f"x = '{len(name)}'\n" for name in wanted}
+    some = source_tree.read_sources(spark, str(tmp_path), ["a/b", "/a/", "./b", "a", "../up", "top.py", "gone"])
+    assert sorted(r["path"] for r in some.collect()) == sorted(wanted - {"top.py"})
+    assert source_tree.read_sources(spark, str(tmp_path), []).count() == source_tree.read_sources(spark, str(tmp_path / "gone")).count() == 0
+
+
 def test_payload_report(spark, tmp_path):
     def write(name, **body):
         (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
