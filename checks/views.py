@@ -100,7 +100,7 @@ def experiments(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("user_id").alias("campaign"), F.col("event_id").alias("idx"), F.col("value").alias("metric"),
         F.when(F.col("event_type") == "purchase", " keep").when(F.col("event_type") == "error", "CRASH").otherwise("Discard").alias("status"),
-        F.concat_ws(":", "event_type", "props").alias("description"),
+        F.concat("event_type", F.lit(":"), "props").alias("description"),
     )
 
 

@@ -117,6 +117,18 @@ def test_deltas_and_region(spark):
     assert outcome == {"x": 0.6, "y": 0.0}
 
 
+def test_improvement_of_zero_and_missing_metrics(spark):
+    rows = [
+        ("up", 1, None, "KEEP", "a"), ("up", 2, 0.0, "CRASH", "b"), ("up", 3, -2.0, "KEEP", "c"), ("down", 1, 0.0, "CRASH", "a"), ("down", 2, 3.0, "KEEP", "b"),
+        ("same", 1, 0.0, "KEEP", "a"), ("none", 1, 0.0, "CRASH", "a"), ("none", 2, None, "KEEP", "b"), ("none", 3, None, "KEEP", "c"), ("some", 1, 0.7, "CRASH", "a"), ("some", 2, 0.1, "KEEP", None),
+    ]
+    log = spark.createDataFrame(rows, "campaign string, idx long, metric double, status string, description string")
+    found = {r["campaign"]: tuple(r)[1:] for r in experiments.improvement_summary(log).collect()}
+    assert found["up"] == (0.0, -2.0, "c", 2.0, float("inf")) and found["down"] == (0.0, 3.0, "b", -3.0, float("-inf"))
+    assert found["same"][:4] == (0.0, 0.0, "a", 0.0) and found["same"][4] != found["same"][4]
+    assert found["none"] == (0.0, None, "b", None, None) and found["some"] == (0.7, 0.1, None, 0.7 - 0.1, 100 * (0.7 - 0.1) / 0.7)
+
+
 @pytest.mark.parametrize("buckets, small", [(2, 1), (3, 4), (4096, 50_000)])
 @pytest.mark.parametrize("budget", [1, 57, 400, 10**9])
 def test_char_budget_equals_a_walk(spark, monkeypatch, buckets, small, budget):
