@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from textwrap import dedent
 
@@ -16,7 +16,6 @@ from corpuslab.functions.text import first_truthy, strip
 IMPORT_LINE = "from manim import *"
 SCENE_CLASS = "class\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\("
 DEFAULT_LICENSE = "MIT"
-BLOCKS_SCHEMA = "source_url string, source_anchor string, block string"
 REQUIRED = ("case_id", "source_url", "source_anchor", "prompt")
 
 
@@ -70,34 +69,53 @@ def page_blocks(html: str) -> list[tuple[str, str | None]]:
     return [(anchor, None if at is None else texts[at]) for anchor, at in parser.anchors.items()]
 
 
-def anchored_blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(source_url, source_anchor, block)`` for every id of every page; each page is parsed once."""
+def anchored_blocks(pages: DataFrame, url: str = "url", html: str = "html", version: Sequence[str] = ()) -> DataFrame:
+    """``(source_url, *version, source_anchor, block)`` for every id of every page; each page is parsed once.
+
+    Where several pages have the same URL (and version), an id is taken from the one with the least digest that has it.
+    """
+    keys = ["source_url", *version]
+    columns = [*keys, "_digest", "source_anchor", "block"]
+    given = pages.select(F.col(url).alias("source_url"), *version, F.sha2(html, 256).alias("_digest"), F.col(html).alias("html"))
+    kinds = dict(given.dtypes)
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (address, anchor, code)
-                for address, text in zip(batch["source_url"], batch["html"]) if text is not None
+                (*key, anchor, code)
+                for *key, text in zip(*[batch[c] for c in (*keys, "_digest", "html")]) if text is not None
                 for anchor, code in page_blocks(text)
             ]
-            yield pd.DataFrame(rows, columns=["source_url", "source_anchor", "block"])
+            yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select(F.col(url).alias("source_url"), F.col(html).alias("html")).mapInPandas(parse, BLOCKS_SCHEMA)
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in columns)
+    return given.mapInPandas(parse, schema).groupBy(*keys, "source_anchor").agg(F.min_by("block", "_digest").alias("block"))
 
 
-def page_lookup(manifest: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Manifest rows with the page they name; rows whose page is missing keep a null."""
-    return manifest.join(pages.withColumnRenamed(url, "source_url"), "source_url", "left")
+def page_lookup(manifest: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", version: Sequence[str] = ()) -> DataFrame:
+    """Manifest rows with the page they name, each once; rows whose page is missing keep a null.
+
+    ``version`` are columns of both tables that tell pages with the same URL apart. Where several are left, the one with
+    the least digest stands for them.
+    """
+    keys = ["source_url", *version]
+    renamed = pages.withColumnRenamed(url, "source_url")
+    rest = [c for c in renamed.columns if c not in keys]
+    order = F.struct(F.col(html).isNull(), F.sha2(html, 256), F.xxhash64(*rest))
+    single = renamed.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_page")).select(*keys, "_page.*")
+    return manifest.join(single, keys, "left")
 
 
-def import_pages(manifest: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def import_pages(manifest: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", version: Sequence[str] = ()) -> DataFrame:
     """A case per manifest row, or a ``problem`` where its anchor, code or scene class is missing.
 
-    Only pages the manifest names are parsed. The pages' text goes to the parser and no further: what
-    is joined with the manifest is the blocks, on URL and anchor.
+    ``version`` are columns of both tables that tell pages with the same URL apart. Only pages the manifest names are
+    parsed. The pages' text goes to the parser and no further: what is joined with the manifest is the blocks, on URL,
+    version and anchor.
     """
-    named = pages.join(manifest.select(F.col("source_url").alias(url)).distinct(), url, "left_semi")
-    blocks = anchored_blocks(named, url, html).withColumn("_found", F.lit(True))
-    joined = manifest.join(blocks, ["source_url", "source_anchor"], "left")
+    named = pages.join(manifest.select(F.col("source_url").alias(url), *version).distinct(), [url, *version], "left_semi")
+    blocks = anchored_blocks(named, url, html, version).withColumn("_found", F.lit(True))
+    joined = manifest.join(blocks, ["source_url", *version, "source_anchor"], "left")
     block = F.col("block")
     code = F.when(F.startswith(block, F.lit(IMPORT_LINE)), block).otherwise(F.concat(F.lit(IMPORT_LINE + "\n\n"), block))
     scene = first_truthy(F.regexp_extract(F.col("completion"), SCENE_CLASS, 1))

@@ -110,6 +110,16 @@ def test_import_pages(spark):
     assert rows["c7"]["entry_scene"] == "Given"
 
 
+def test_pages_of_one_url(spark):
+    table = spark.createDataFrame([(1, "u", "<p id=a></p><pre>class One(Scene)</pre>"), (2, "u", "<p id=a></p><pre>class Two(Scene)</pre><p id=b></p>"), (3, "u", None)], "page_id long, url string, html string")
+    manifest = spark.createDataFrame([(f"{i}{a}", i, "u", a, "p") for i in (1, 2, 3) for a in "ab"], "case_id string, page_id long, source_url string, source_anchor string, prompt string")
+    found = {r["case_id"]: (r["entry_scene"], r["problem"]) for r in pages.import_pages(manifest, table, version=["page_id"]).collect()}
+    gone = (None, "anchor not found")
+    assert found == {"1a": ("One", None), "1b": gone, "2a": ("Two", None), "2b": (None, "no code block after anchor"), "3a": gone, "3b": gone}
+    every = [(r["case_id"], r["entry_scene"]) for r in pages.import_pages(manifest.drop("page_id"), table).collect()]
+    assert len(every) == 6 and len({scene for case, scene in every if case.endswith("a")} & {"One", "Two"}) == 1
+
+
 def test_audit(spark):
     schema = "case_id string, prompt string, completion string, entry_scene string, tags array<string>, must_contain array<string>, must_not_contain array<string>, license string"
     good = "from manim import *\nclass A(Scene):\n    pass\n"
