@@ -120,6 +120,16 @@ def test_pages_of_one_url(spark):
     assert len(every) == 6 and len({scene for case, scene in every if case.endswith("a")} & {"One", "Two"}) == 1
 
 
+def test_lookup_of_pages_of_one_url(spark):
+    table = spark.createDataFrame([(1, "u", "<title>1</title>"), (2, "u", "<title>2</title>"), (3, "u", None), (4, "v", "x")], "page_id long, url string, html string")
+    manifest = spark.createDataFrame([(1, "u"), (2, "u"), (3, "u"), (4, "u"), (4, "v"), (5, None)], "page_id long, source_url string")
+    titled = lambda found: sorted(((r["page_id"], r["source_url"], r["title"]) for r in pages.page_titles(found).collect()), key=repr)
+    own = titled(pages.page_lookup(manifest, table, version=["page_id"]))
+    assert own == [(1, "u", "1"), (2, "u", "2"), (3, "u", None), (4, "u", None), (4, "v", None), (5, None, None)]
+    single = pages.page_lookup(manifest.drop("page_id"), table.drop("page_id")).collect()
+    assert len(single) == 6 and len({r["html"] for r in single if r["source_url"] == "u"}) == 1 and all(r["html"] for r in single if r["source_url"])
+
+
 def test_audit(spark):
     schema = "case_id string, prompt string, completion string, entry_scene string, tags array<string>, must_contain array<string>, must_not_contain array<string>, license string"
     good = "from manim import *\nclass A(Scene):\n    pass\n"
