@@ -117,6 +117,16 @@ def test_shards(spark, tmp_path):
     assert "ReadSchema: struct<text:string>" in plan
 
 
+def test_shards_that_are_folders(spark, tmp_path):
+    for name, rows in (("a +%20b.parquet", 5), ("val.parquet", 3)):
+        spark.range(rows).select(F.col("id").cast("string").alias("text")).repartition(3).write.parquet(str(tmp_path / name))
+    spark.range(2).select(F.col("id").cast("string").alias("text")).toPandas().to_parquet(tmp_path / "c +%20d.parquet")
+    paths = [str(tmp_path / name) for name in ("a +%20b.parquet", "val.parquet", "c +%20d.parquet")]
+    found = shards.read_shards(spark, paths, "val.parquet")
+    counted = {(r["shard"], r["split"]): r["count"] for r in found.groupBy("shard", "split").count().collect()}
+    assert counted == {("a +%20b.parquet", "train"): 5, ("val.parquet", "val"): 3, ("c +%20d.parquet", "train"): 2}
+
+
 def test_source_tree(spark, tmp_path):
     for name, text in {"a/one.py": "x = 1\n", "a/b/two.py": "y = 2", "a/test_one.py": "z", "a/__init__.py": "", "c/three.py": "n", "a/note.txt": "t", "a/o p+%.py": "q"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
