@@ -15,12 +15,16 @@ BATCHES = 4
 
 
 def stream(spark, table, turn):
-    """The rows of a table as a file stream of several micro-batches, one for each value of ``turn`` (0 to BATCHES - 1)."""
+    """The rows of a table as a file stream of several micro-batches, one for each value of ``turn`` (0 to BATCHES - 1).
+
+    The rows of a turn are dealt evenly to as many files as the table has partitions, which one micro-batch takes in.
+    """
     path = scratch_path(spark, "arriving")
     numbered = table.withColumn("_turn", turn)
+    files = max(1, numbered.rdd.getNumPartitions())
     for k in range(BATCHES):
-        numbered.where(F.col("_turn") == k).drop("_turn").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        numbered.where(F.col("_turn") == k).drop("_turn").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def quarters(key, most, jitter=0):

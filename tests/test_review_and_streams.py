@@ -335,3 +335,21 @@ def test_listed_examples_are_all_returned(spark):
     with pytest.raises(keys.CheckFailed, match="all-rendered examples: bare, gone, y"):
         evaluation.rendered_examples(rows, spec)
     assert evaluation.rendered_examples(rows, spec.where("case_id = 'x'")).count() == 1
+
+
+def test_streams_deal_a_turn_to_many_files(spark):
+    from pyspark.sql import functions as F
+
+    from checks import stream_queries
+
+    table = spark.range(0, 4000, 1, 5).withColumn("x", F.col("id") * 2)
+    arriving = stream_queries.stream(spark, table, stream_queries.quarters(F.col("id"), 3999))
+    seen = []
+    query = arriving.writeStream.foreachBatch(lambda rows, _: seen.append(
+        [(r["n"], r["low"], r["high"]) for r in rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()]
+    )).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(seen) == stream_queries.BATCHES
+    for k, files in enumerate(seen):
+        assert len(files) == 5 and all(150 <= n <= 250 for n, _, _ in files)
+        assert (min(low for _, low, _ in files), max(high for _, _, high in files)) == (1000 * k, 1000 * k + 999)
