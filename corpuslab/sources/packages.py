@@ -25,10 +25,10 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def _counted_write(df: DataFrame, path: str, split: str, names: Sequence[str]) -> dict[str, int]:
-    """Write by split; the rows of each are counted as they are written, so nothing is read again."""
+    """Write by split, as gzipped JSON lines; the rows of each are counted as they are written, so nothing is read again."""
     counts = Observation()
     watched = df.observe(counts, *[F.count_if(F.col(split) == name).alias(name) for name in names])
-    watched.write.mode("overwrite").partitionBy(split).json(path)
+    watched.write.mode("overwrite").partitionBy(split).option("compression", "gzip").json(path)
     return {name: counts.get[name] for name in names}
 
 

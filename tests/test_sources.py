@@ -157,6 +157,14 @@ def test_source_tree_is_listed_in_tasks(spark, tmp_path):
     assert source_tree.read_sources(spark, str(tmp_path), []).count() == source_tree.read_sources(spark, str(tmp_path / "gone")).count() == 0
 
 
+def test_split_files_are_compressed(spark, tmp_path):
+    rows = spark.range(400).select("id", F.repeat(F.lit("word "), 500).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("split"))
+    assert packages._counted_write(rows, str(tmp_path / "out"), "split", ["a", "b", "c"]) == {"a": 100, "b": 300, "c": 0}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").rglob("part-*")) < 400 * 2500 / 4
+    back = spark.read.schema("id long, text string, split string").json(str(tmp_path / "out"))
+    assert sorted(back.collect()) == sorted(rows.collect())
+
+
 def test_payload_report(spark, tmp_path):
     def write(name, **body):
         (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
