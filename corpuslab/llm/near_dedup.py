@@ -250,11 +250,12 @@ def _frequencies(words: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def _prefixed(words: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, size, centrality, prefix): the number of k-mers, the mean logarithm of how many texts have each, and the
-    rarest ones: two texts of the similarity have one of these in common."""
+    """(doc_id, size, centrality, lone, prefix): the number of k-mers, the mean logarithm of how many texts have each, and
+    the rarest ones: two texts of the similarity have one of these in common. The first ``lone`` of them are counted but
+    not listed, as no other text has them; a collision only lists more."""
     shared = words.sparkSession.sparkContext.broadcast(_frequencies(words, settings))
 
-    @F.arrow_udf("struct<size long, centrality double, prefix array<bigint>>")
+    @F.arrow_udf("struct<size long, centrality double, lone long, prefix array<bigint>>")
     def prefixes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             kmers, first = _labelled(column, settings)
@@ -264,10 +265,12 @@ def _prefixed(words: DataFrame, settings: Settings) -> DataFrame:
             order = np.lexsort((kmers, seen, text))
             # Similar texts share at least ``similarity`` of either's k-mers.
             most = size - np.ceil(settings.similarity * size - 1e-9).astype(np.int64) + (size > 0)
-            rare = order[np.arange(len(order)) - first[text] < most[text]]
+            lone = np.minimum(np.bincount(text[seen == 1], minlength=len(size)), most)
+            place = np.arange(len(order)) - first[text]
+            rare = order[(place >= lone[text]) & (place < most[text])]
             centrality = np.bincount(text, np.log2(seen), minlength=len(size)) / np.maximum(size, 1)
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(most)]).astype(np.int32), kmers[rare].view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(size), pa.array(centrality), lists], ["size", "centrality", "prefix"])
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(most - lone)]).astype(np.int32), kmers[rare].view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(size), pa.array(centrality), pa.array(lone), lists], ["size", "centrality", "lone", "prefix"])
         common.give_back()
 
     return words.select("doc_id", prefixes(F.col("words")).alias("p")).select("doc_id", "p.*")
@@ -329,7 +332,10 @@ def _rest(placed: DataFrame, open_: DataFrame, prefixed: DataFrame, settings: Se
     """
     share = settings.similarity / (1 + settings.similarity)
     texts = placed.join(open_.where(F.col("n") > SMALL).select("key"), "key", "left_semi").select("rep", "root").distinct()
-    at = texts.join(prefixed.select(F.col("doc_id").alias("rep"), "size", F.posexplode("prefix").alias("place", "kmer")), "rep")
+    # Only the texts that are still open have their k-mers laid out.
+    held = texts.join(prefixed.select(F.col("doc_id").alias("rep"), "size", "lone", "prefix"), "rep")
+    at = held.select("rep", "root", "size", "lone", F.posexplode("prefix").alias("place", "kmer"))
+    at = at.withColumn("place", F.col("place") + F.col("lone")).drop("lone")
     several = at.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("kmer")
     at = checkpointed(at.join(several, "kmer", "left_semi"))
     level = lambda size: F.floor(F.log(size.cast("double")) / float(np.log(LEVEL)))

@@ -228,6 +228,23 @@ def test_the_rest_of_large_buckets_holds_every_similar_pair(spark):
     assert len(want) >= 10 and want <= got and len(got) < 2 * len(want) + 100
 
 
+def test_prefixes_list_no_kmer_that_one_text_alone_has(spark):
+    rng = random.Random(25)
+    template = sentence(rng, 150).split()
+    texts = [" ".join(edited(rng, template, 4, f"w{i}")) for i in range(60)] + [sentence(rng, 80), "", "one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    words = rows.select("doc_id", near_dedup._worded()(rows["text"]).alias("words"))
+    got = {r["doc_id"]: r for r in near_dedup._prefixed(words, near_dedup.Settings()).collect()}
+    holders = collections.Counter(k for t in texts for k in shingles(t))
+    for i, text in enumerate(texts):
+        own = [holders[k] for k in shingles(text)]
+        most = len(own) - int(np.ceil(0.8 * len(own) - 1e-9)) + (len(own) > 0)
+        # a collision of slots may list one
+        assert got[i]["size"] == len(own) and 0 <= min(most, own.count(1)) - got[i]["lone"] <= 1, i
+        assert len(got[i]["prefix"]) == most - got[i]["lone"], i
+    assert sum(r["lone"] for r in got.values()) > sum(len(r["prefix"]) for r in got.values())
+
+
 def test_filters_drop_rows_by_id_and_text(spark):
     rng = random.Random(24)
     a, b, c, item = (sentence(rng, 60) for _ in range(4))
