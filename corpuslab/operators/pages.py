@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions import tags as tag_functions
-from corpuslab.functions.text import first_truthy, strip
+from corpuslab.functions.text import WHITESPACE, first_truthy
 
 IMPORT_LINE = "from manim import *"
 SCENE_CLASS = "class\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\("
@@ -93,17 +93,19 @@ def anchored_blocks(pages: DataFrame, url: str = "url", html: str = "html", vers
 
 
 def page_lookup(manifest: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", version: Sequence[str] = ()) -> DataFrame:
-    """Manifest rows with the page they name, each once; rows whose page is missing keep a null.
+    """Manifest rows with the page they name, each once, and whether it is ``found``: a page may be there without text.
 
     ``version`` are columns of both tables that tell pages with the same URL apart. Where several are left, the one with
-    the least digest stands for them.
+    the least digest stands for them. A null key names the page whose key is null.
     """
     keys = ["source_url", *version]
     renamed = pages.withColumnRenamed(url, "source_url")
     rest = [c for c in renamed.columns if c not in keys]
     order = F.struct(F.col(html).isNull(), F.sha2(html, 256), F.xxhash64(*rest))
-    single = renamed.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_page")).select(*keys, "_page.*")
-    return manifest.join(single, keys, "left")
+    single = renamed.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_page"))
+    single = single.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_page")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return manifest.join(single, same, "left").select(*manifest.columns, "_page.*", F.col("_page").isNotNull().alias("found"))
 
 
 def import_pages(manifest: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", version: Sequence[str] = ()) -> DataFrame:
@@ -142,10 +144,10 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
     return manifest.select("case_id", F.explode(missing).alias("missing"))
 
 
-def page_titles(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title and first heading of a page, by pattern."""
+def page_titles(pages: DataFrame, html: str = "html", blank: str = WHITESPACE) -> DataFrame:
+    """Title and first heading of a page, by pattern, without the characters of ``blank`` around them."""
     def element(tag: str):
         found = F.regexp_extract(F.col(html), f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-        return F.nullif(strip(found), F.lit(""))
+        return F.nullif(F.btrim(found, F.lit(blank)), F.lit(""))
 
     return pages.withColumns({"title": element("title"), "heading": element("h1")})

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from corpuslab.operators import audit, code, curation, pages
 from corpuslab.plans import curation as curation_plans
 from corpuslab.plans import evaluation as evaluation_plans
@@ -130,6 +132,21 @@ def test_lookup_of_pages_of_one_url(spark):
     assert len(single) == 6 and len({r["html"] for r in single if r["source_url"] == "u"}) == 1 and all(r["html"] for r in single if r["source_url"])
 
 
+def test_lookup_of_odd_pages_equals_its_sql(spark, tmp_path):
+    """Pages without text, URL or id, several texts of one id, and line ends around a title."""
+    rows = [
+        (1, "u", "<title>\n a \t</title>"), (2, "u", None), (3, None, "<title>t</title>"), (4, "v", " <TITLE x>\u3000nb\xa0</TITLE>"), (5, "v", "<title>five</title>"),
+        (6, "w", "<title>  </title>"), (7, "w", ""), (None, "z", "<title>null</title>"), (11, "d", "<title>A</title>"), (11, "d", "<title>B</title>"), (11, "d", None),
+        (12, "e", "<title>same</title>"), (12, "e", "<title>same</title>"), (-1, "x", "<title>neg</title>"), (10, None, "<title>ten</title>"), (15, "", "x"), (16, "-gone", "y"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = connection.execute(oracle_sql()["page_lookup"]).fetchall()
+    got = [tuple(r) for r in queries()["page_lookup"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
 def test_audit(spark):
     schema = "case_id string, prompt string, completion string, entry_scene string, tags array<string>, must_contain array<string>, must_not_contain array<string>, license string"
     good = "from manim import *\nclass A(Scene):\n    pass\n"
