@@ -189,7 +189,8 @@ def row_slice(df: DataFrame, order: Sequence[str | Key], offset: int = 0, limit:
     A slice of few rows from the start is a plain top-k. Any other is cut out between two boundary rows: the keys alone
     are put in ranges, counted, and the boundaries read from the two ranges that hold them, so that the wide rows meet
     a filter on the keys, which reaches the scan, and are not moved but to sort what is left. Of rows with equal keys at
-    a boundary as many belong to the slice as its size asks for, in the order of a hash of their contents.
+    a boundary as many belong to the slice as its size asks for, in the order of a hash of their contents; so a top-k
+    and the slice that follows it share no row.
     """
     keys = [k if isinstance(k, Key) else Key(k) for k in order]
     return df if offset == 0 and limit == 0 else _cut(df, keys, offset, limit).orderBy(*[k.sorted() for k in keys])
@@ -198,7 +199,7 @@ def row_slice(df: DataFrame, order: Sequence[str | Key], offset: int = 0, limit:
 def _cut(df: DataFrame, keys: Sequence[Key], offset: int, limit: int, last: bool = False) -> DataFrame:
     by, kinds = [k.sorted() for k in keys], dict(df.dtypes)
     if offset == 0 and limit <= TOP_ROWS:
-        return df.orderBy(*by).limit(limit)
+        return df.orderBy(*by, *([] if last else _contents(df))).limit(limit)
     ranged = df.select(*[k.name for k in keys]).repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
     narrow = checkpointed(ranged)
     counts = sorted(narrow.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"])
@@ -233,5 +234,14 @@ def _tied(df: DataFrame, keys: Sequence[Key], at: Boundary, skip: int, upto: int
         return rows
     if last:
         return rows.limit(upto - skip)
+    name = "_content"
+    while name in [c.lower() for c in df.columns]:
+        name = f"_{name}"
+    rows = rows.withColumn(name, (*_contents(df), F.lit(0))[0])
+    return _cut(rows, [Key(name)], skip, upto - skip, last=True).drop(name)
+
+
+def _contents(df: DataFrame) -> list[Column]:
+    """The hash of a row's contents, if it has columns that can be hashed."""
     hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    return _cut(rows.withColumn("_content", F.xxhash64(*hashed)), [Key("_content")], skip, upto - skip, last=True).drop("_content")
+    return [F.xxhash64(*hashed)] if hashed else []

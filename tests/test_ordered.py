@@ -178,6 +178,15 @@ def test_a_budget_over_null_texts(spark):
     assert corpus.char_budget(docs.where("text is null"), "doc_id", 2).count() == 2
 
 
+def test_a_top_of_tied_rows_does_not_hang_on_their_order(spark):
+    rows = [("k", n, "_" * (n % 3)) for n in range(200)]
+    slices = []
+    for parts, given in ((1, rows), (7, rows[::-1])):
+        df = spark.createDataFrame(given, "k string, n long, _content string").repartition(parts)
+        slices.append([{tuple(r) for r in ordered.row_slice(df, ["k"], at, 50).collect()} for at in (0, 50, 100, 150)])
+    assert slices[0] == slices[1] and set().union(*slices[0]) == set(rows)
+
+
 @pytest.mark.parametrize("top", [0, 10_000])
 @pytest.mark.parametrize("descending", [False, True])
 def test_slices_of_tied_and_null_keys_are_pages(spark, monkeypatch, descending, top):
