@@ -70,9 +70,9 @@ def bounded_sample(rows: DataFrame, stratum: Column, key: str, size: Column, max
     return taken.groupBy(stratum.alias(of), F.col(key).alias(at)).agg(least).select(f"{one}.*")
 
 
-def arrow_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def arrow_slices(column: pa.Array, kind: pa.DataType = pa.large_string(), most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about ``most`` bytes, or of one longer row. Null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(kind).fill_null("")
     n = len(column)
     if not n:
         return

@@ -2,9 +2,10 @@
 
 The benchmark is taken in blocks of ``block`` items. The terms of a block's items are its vocabulary; how many
 documents hold each term is counted over all documents. Items, and windows of the documents' words, are TF-IDF
-vectors over that vocabulary, projected onto the leading right singular vectors of the matrix of all passages of the
-block's items: nothing is learnt from a sample of documents. A distributed randomised SVD finds these: test vectors
-are multiplied by the matrix and its transpose inside the partitions, and only terms x rank sums come back.
+vectors over that vocabulary, projected onto the leading right singular vectors of the matrix of all passages of all
+documents and of the block's items: no document is left out and none is sampled. A distributed randomised SVD finds
+these: test vectors are multiplied by the matrix and its transpose inside the partitions, and only terms x rank sums
+come back. Texts are cut into words once a block; their words' places in the vocabulary are checkpointed for the rest.
 
 Documents are read as windows of 24, 48, 72, ... words that start a third of their length apart; an item is looked
 for in windows half as long again as itself or more, so that some window holds it whole. Candidates are the items whose cosine with a
@@ -34,11 +35,15 @@ from pyspark.sql import functions as F
 from corpuslab.llm import common
 from corpuslab.llm.near_dedup import common_in_band
 from corpuslab.llm.words import HashIndex, words_of
+from corpuslab.session import checkpointed, released
 
-# The items' passages are dealt to so many tasks, their sums to so many groups of terms.
+# The passages are read in so many tasks at least, their sums are dealt to so many groups of terms.
 FIT_PARTS = 16
 FIT_GROUPS = 8
 PASSAGE = 32
+# The terms in most documents are counted in dense blocks of passages, all others one by one.
+DENSE = 512
+DENSE_ROWS = 4096
 # An item's uncommon words are this share of its words, those in fewest documents.
 UNCOMMON = 0.6
 # Windows are multiples of three steps long and a third of themselves apart.
@@ -47,7 +52,7 @@ STEP = 8
 
 @dataclass(frozen=True)
 class Settings:
-    """``block`` bounds what is broadcast at once, and what a latent space is fitted on."""
+    """``block`` bounds what is broadcast at once. A latent space is fitted on all documents, whatever the block."""
 
     rank: int = 96
     extra: int = 16
@@ -94,58 +99,96 @@ def items_of(rows: list) -> Items:
     return Items(ids, words, answers, vocabulary, HashIndex(vocabulary), np.array(windows, np.int64))
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+def _code(items: Items) -> np.dtype:
+    return np.dtype(np.int16 if len(items.vocabulary) < 1 << 15 else np.int32)
+
+
+def coded(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, terms) of (doc_id, text): the places of a text's words in the vocabulary, -1 for words that it lacks."""
+    kind = _code(items)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in common.arrow_slices(batch.column(1)):
+                _, _, _, hashes, first = words_of(data, offsets)
+                terms = items.index.find(hashes).astype(kind)
+                where = pa.py_buffer((first * kind.itemsize).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), high - low, [None, where, pa.py_buffer(terms)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), column], ["doc_id", "terms"])
+        common.give_back()
+
+    return docs.mapInArrow(code, docs.select("doc_id").schema.add("terms", "binary"))
+
+
+def _terms(column: pa.Array, kind: np.dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, terms, first word of each text and the number of words at the end) of runs of rows."""
+    for low, _, data, offsets in common.arrow_slices(column, pa.large_binary()):
+        yield low, data.view(kind), offsets // kind.itemsize
+
+
+def document_frequencies(words: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many documents each term of the vocabulary occurs, over all documents; and how many documents there are."""
-    width = len(items.vocabulary)
+    width, kind = len(items.vocabulary), _code(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(width + 1, np.int64)
         for batch in batches:
-            for low, high, data, offsets in common.arrow_slices(batch.column(0)):
-                _, _, _, hashes, first = words_of(data, offsets)
-                term = items.index.find(hashes)
-                owner = np.repeat(np.arange(high - low), np.diff(first))
-                own = np.unique(owner[term >= 0] * width + term[term >= 0])
+            for _, terms, first in _terms(batch.column(0), kind):
+                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                own = np.unique(owner[terms >= 0] * width + terms[terms >= 0])
                 seen[:width] += np.bincount(own % width, minlength=width)
-                seen[width] += high - low
+                seen[width] += len(first) - 1
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["term", "n"])
         common.give_back()
 
-    got = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = words.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(width + 1, np.int64)
     out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out[:width], int(out[width])
 
 
-def _multiply(items: Items, idf: np.ndarray, basis: np.ndarray):
+def _multiply(kind: np.dtype, idf: np.ndarray, dense: np.ndarray, basis: np.ndarray):
     """Of one partition: the sum over its passages of (passage transposed) x (passage x basis), by term."""
+    weighted = (basis * idf[:, None]).astype(np.float32)
+    place = np.full(len(idf), -1)
+    place[dense] = np.arange(len(dense))
+
+    def add(total: np.ndarray, terms: np.ndarray, passage: np.ndarray, n: int) -> None:
+        norm = np.sqrt(np.bincount(passage, idf[terms] ** 2, n))
+        at = place[terms]
+        own = at >= 0
+        counts = np.bincount(passage[own] * len(dense) + at[own], minlength=n * len(dense)).reshape(n, -1).astype(np.float32)
+        image = counts @ weighted[dense]
+        terms, passage = terms[~own], passage[~own]
+        heads = np.flatnonzero(np.diff(passage, prepend=-1))
+        if len(heads):
+            image[passage[heads]] += np.add.reduceat(weighted[terms], heads, axis=0)
+        image *= (np.maximum(norm, 1e-12) ** -2).astype(np.float32)[:, None]
+        total[dense] += counts.T @ image
+        order = np.argsort(terms, kind="stable")
+        heads = np.flatnonzero(np.diff(terms[order], prepend=-1))
+        if len(heads):
+            total[terms[order][heads]] += np.add.reduceat(image[passage[order]], heads, axis=0)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(basis)
+        total = np.zeros(basis.shape)
         for batch in batches:
-            for _, _, data, offsets in common.arrow_slices(batch.column(0)):
-                _, _, _, hashes, first = words_of(data, offsets)
-                size = np.diff(first)
-                owner = np.repeat(np.arange(len(size)), size)
-                passage = owner * (1 << 32) + (np.arange(len(hashes)) - first[owner]) // PASSAGE
-                terms = items.index.find(hashes)
-                known = terms >= 0
-                terms, passage = terms[known], passage[known]
-                if not len(terms):
-                    continue
-                cuts = np.flatnonzero(np.diff(passage, prepend=-1))
-                spread = np.diff(np.append(cuts, len(terms)))
-                norm = np.sqrt(np.add.reduceat(idf[terms] ** 2, cuts))
-                value = (idf[terms] / np.repeat(np.maximum(norm, 1e-12), spread)).astype(np.float32)
-                image = np.add.reduceat(basis[terms] * value[:, None], cuts, axis=0)
-                order = np.argsort(terms, kind="stable")
-                back = np.repeat(np.arange(len(cuts)), spread)[order]
-                heads = np.flatnonzero(np.diff(terms[order], prepend=-1))
-                total[terms[order][heads]] += np.add.reduceat(image[back] * value[order][:, None], heads, axis=0)
+            for _, terms, first in _terms(batch.column(0), kind):
+                # A text's passages follow those of the texts before it.
+                count = -(-np.diff(first) // PASSAGE)
+                owner = np.repeat(np.arange(len(count)), np.diff(first))
+                passage = (np.cumsum(count) - count)[owner] + (np.arange(len(terms)) - first[owner]) // PASSAGE
+                terms, passage = terms[terms >= 0], passage[terms >= 0]
+                for low in range(0, int(count.sum()), DENSE_ROWS):
+                    a, b = np.searchsorted(passage, (low, low + DENSE_ROWS))
+                    if a < b:
+                        add(total, terms[a:b], passage[a:b] - low, int(passage[b - 1]) - low + 1)
+        total *= idf[:, None]
         used = np.flatnonzero(total.any(axis=1))
-        values = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), total.shape[1]).cast(pa.list_(pa.float32()))
+        values = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel().astype(np.float32)), total.shape[1]).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([pa.array(used), values], ["term", "v"])
+        common.give_back()
 
     return multiply
 
@@ -159,33 +202,33 @@ def _added(rows: pa.Table) -> pa.Table:
     return pa.table({"term": terms[order][heads], "v": values})
 
 
-def _orthogonal(image: np.ndarray) -> np.ndarray:
-    """Orthonormal columns that span those of ``image``, by its small Gram matrix, twice for accuracy."""
-    for _ in range(2):
-        values, turn = np.linalg.eigh(image.T @ image)
-        image = image @ (turn / np.sqrt(np.maximum(values, values.max() * 1e-12) + 1e-300))
-    return image
+def _leading(basis: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """Eigenvectors, largest first, of the least positive matrix that takes the orthonormal ``basis`` to ``image`` (Nystroem)."""
+    values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+    kept = values > values[-1] * 1e-7
+    return np.linalg.svd(image @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)[0]
 
 
-def fit(texts: DataFrame, items: Items, idf: np.ndarray, settings: Settings) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the passages of ``texts``, by a randomised range finder."""
-    width = len(idf)
+def fit(words: DataFrame, items: Items, idf: np.ndarray, seen: np.ndarray, settings: Settings) -> np.ndarray:
+    """Leading right singular vectors (terms x rank) of all passages of ``words``, by a randomised range finder."""
+    width, kind = len(idf), _code(items)
     k = min(settings.rank + settings.extra, width)
+    dense = np.sort(np.argsort(-seen, kind="stable")[:DENSE])
+    # A task brings sums of all terms, so there are as many as the cluster works on, not one for each partition.
+    words = words.select("terms").coalesce(max(FIT_PARTS, 2 * words.sparkSession.sparkContext.defaultParallelism))
 
     def product(basis: np.ndarray) -> np.ndarray:
-        parts = texts.select("text").mapInArrow(_multiply(items, idf, basis.astype(np.float32)), "term long, v array<float>")
+        parts = words.mapInArrow(_multiply(kind, idf, dense, basis), "term long, v array<float>")
         summed = parts.groupBy(F.col("term") % FIT_GROUPS).applyInArrow(_added, "term long, v array<float>").toArrow()
         image = np.zeros((width, k))
         if summed.num_rows:
             image[summed["term"].to_numpy()] = summed["v"].combine_chunks().flatten().to_numpy().reshape(-1, k)
         return image
 
-    basis = np.random.default_rng(settings.seed).standard_normal((width, k))
-    for _ in range(settings.powers + 1):
-        basis = _orthogonal(product(basis))
-    # basis spans the range of A'A: the small matrix gives the order of its directions.
-    _, turn = np.linalg.eigh(basis.T @ product(basis))
-    return np.ascontiguousarray((basis @ turn[:, ::-1])[:, : settings.rank]).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((width, k)))[0]
+    for _ in range(settings.powers):
+        basis = np.linalg.qr(product(basis))[0]
+    return np.ascontiguousarray(_leading(basis, product(basis))[:, : settings.rank]).astype(np.float32)
 
 
 def _kept(item: np.ndarray, region: np.ndarray) -> float:
@@ -193,7 +236,7 @@ def _kept(item: np.ndarray, region: np.ndarray) -> float:
 
 
 def _search(items: Items, idf: np.ndarray, seen: np.ndarray, basis: np.ndarray, settings: Settings, types: list[pa.DataType]):
-    """Rows (doc_id, item_id, overlap, answer_overlap, cosine) of each batch of (doc_id, text)."""
+    """Rows (doc_id, item_id, overlap, answer_overlap, cosine) of each batch of (doc_id, terms)."""
     projected = basis * idf[:, None].astype(np.float32)
     latent = np.zeros((len(items.ids), basis.shape[1]), np.float32)
     reach, needs = np.zeros(len(items.ids)), np.zeros(len(items.ids))
@@ -266,10 +309,8 @@ def _search(items: Items, idf: np.ndarray, seen: np.ndarray, basis: np.ndarray,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
-            for low, _, data, offsets in common.arrow_slices(batch.column(1)):
-                _, _, _, hashes, first = words_of(data, offsets)
+            for low, terms, first in _terms(batch.column(1), _code(items)):
                 best: dict[tuple, tuple] = {}
-                terms = items.index.find(hashes)
                 for doc, i, begin, end, cosine in candidates(terms, first):
                     # Words that the item lacks keep nothing; what is left bounds the subsequence.
                     own = terms[begin:end]
@@ -279,7 +320,7 @@ def _search(items: Items, idf: np.ndarray, seen: np.ndarray, basis: np.ndarray,
                     region = items.vocabulary[own]
                     overlap = _kept(items.words[i], region)
                     if overlap >= settings.partly and overlap > best.get((doc, i), (0.0,))[0]:
-                        best[doc, i] = (overlap, _kept(items.answers[i], hashes[begin:end]), cosine)
+                        best[doc, i] = (overlap, _kept(items.answers[i], region), cosine)
                 for (doc, i), (overlap, answer, cosine) in best.items():
                     if overlap >= settings.whole or answer >= settings.partly:
                         out.append((ids[low + doc].as_py(), items.ids[i], overlap, answer, cosine))
@@ -309,11 +350,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
         items = items_of(rows)
         if not items.ids:
             continue
-        seen, total = document_frequencies(docs, items)
+        words = checkpointed(coded(docs, items))
+        seen, total = document_frequencies(words, items)
         idf = np.log((total + 2) / (seen + 1))
-        own = docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string").repartition(FIT_PARTS)
-        basis = fit(own, items, idf, settings)
-        part = docs.mapInArrow(_search(items, idf, seen, basis, settings, types), schema)
+        own = docs.sparkSession.createDataFrame(list(enumerate(r["text"] for r in rows)), "doc_id long, text string")
+        basis = fit(words.select("terms").unionByName(coded(own, items).select("terms")), items, idf, seen, settings)
+        part = checkpointed(words.mapInArrow(_search(items, idf, seen, basis, settings, types), schema))
+        released(words)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)

@@ -167,6 +167,33 @@ def test_latent_space_of_decontamination_needs_no_sample(spark, tables, monkeypa
     assert found <= every and len(found) >= 0.9 * len(every)
 
 
+def test_latent_space_of_decontamination_is_that_of_all_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    lexicon = sorted({prose(rng, lang, 1) for lang in ("aa", "zz") for _ in range(200)})
+    # Words of one topic stand together in the documents; the items mix the topics.
+    topics = [lexicon[k::25] for k in range(25)]
+    docs = [(i, " ".join(rng.choice(lexicon if j % 9 == 0 else topics[i % 25]) for j in range(rng.randint(0, 150)))) for i in range(400)]
+    items = [(k, " ".join(rng.choice(lexicon) for _ in range(40))) for k in range(60)]
+    spaces, search = [], decontamination._search
+    monkeypatch.setattr(decontamination, "DENSE", 20, raising=False)
+    monkeypatch.setattr(decontamination, "DENSE_ROWS", 50, raising=False)
+    monkeypatch.setattr(decontamination, "_search", lambda *given: spaces.append(given[:4]) or search(*given))
+    tables = frame(spark, [*docs, (500, None)], "doc_id long, text string").repartition(7), frame(spark, items, "item_id long, text string")
+    decontamination.find_leaks(*tables, decontamination.Settings(rank=24)).collect()
+    ((found, idf, seen, basis),) = spaces
+    rows = []
+    for _, text in [*docs, *items]:
+        words = text.split()
+        for low in range(0, len(words), decontamination.PASSAGE):
+            terms = found.index.find(decontamination._hashes(" ".join(words[low : low + decontamination.PASSAGE])))
+            terms = terms[terms >= 0]
+            rows.append(np.bincount(terms, minlength=len(idf)) * idf / max(np.sqrt((idf[terms] ** 2).sum()), 1e-12))
+    passages, held = np.array(rows), [set(found.index.find(decontamination._hashes(text)).tolist()) for _, text in docs]
+    assert seen.tolist() == [sum(t in words for words in held) for t in range(len(idf))]
+    assert np.allclose(basis.T @ basis, np.eye(24), atol=1e-4)
+    assert ((passages @ basis) ** 2).sum() > 0.98 * (np.linalg.svd(passages, compute_uv=False)[:24] ** 2).sum()
+
+
 # Secrets
 
 
