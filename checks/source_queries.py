@@ -13,16 +13,16 @@ from corpuslab.operators import evaluation
 from corpuslab.plans import curation as curation_plans
 from corpuslab.plans import datasets
 from corpuslab.plans import evaluation as evaluation_plans
-from corpuslab.session import scratch_path
+from corpuslab.session import removed, scratch_path
 from corpuslab.sources import logs, packages, payloads, records
 from corpuslab.sources.resolver import SourceSpec
 
 
 def written_cases(spark, folder):
-    """The cases as a folder of JSON lines; no licence is missing."""
+    """The cases as a folder of gzipped JSON lines; no licence is missing."""
     path = scratch_path(spark, "cases")
     rows = views.cases(spark, folder).withColumn("license", F.coalesce("license", F.lit("MIT")))
-    records.write_records(rows, path)
+    records.write_records(rows, path, compression="gzip")
     return path
 
 
@@ -38,8 +38,9 @@ def case_files(spark, folder):
 SELECT split, count(*) AS n_rows, CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars FROM split_v GROUP BY split""")
 def dataset_folder(spark, folder):
     """Build a dataset folder from case files and count what is in it."""
-    path = scratch_path(spark, "dataset")
-    datasets.build_dataset(spark, SourceSpec(path=written_cases(spark, folder)), path, SPEC)
+    source, path = written_cases(spark, folder), scratch_path(spark, "dataset")
+    datasets.build_dataset(spark, SourceSpec(path=source), path, SPEC)
+    removed(spark, source)
     written = spark.read.schema("case_id string, split string, messages array<struct<role:string,content:string>>").json(f"{path}/records")
     return written.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.char_length(F.get("messages", F.lit(1))["content"])).alias("prompt_chars")
@@ -51,8 +52,9 @@ SELECT 'cases' AS part, count(*) AS n_rows, CAST(sum(length(prompt)) AS BIGINT)
 UNION ALL SELECT CASE split WHEN 'valid' THEN 'validation' ELSE split END, count(*), CAST(sum(length(prompt)) AS BIGINT), min(case_id), count(*) FROM split_v GROUP BY split""")
 def export_package(spark, folder):
     """What stands in the package's files, beside the counts that its own manifest tells."""
-    path = scratch_path(spark, "package")
-    metadata = datasets.export_dataset(spark, SourceSpec(path=written_cases(spark, folder)), path, SPEC, pretty_name="Documents")
+    source, path = written_cases(spark, folder), scratch_path(spark, "package")
+    metadata = datasets.export_dataset(spark, SourceSpec(path=source), path, SPEC, pretty_name="Documents")
+    removed(spark, source)
     told = F.create_map(*[F.lit(x) for pair in {"cases": metadata["counts"]["cases"], **metadata["counts"]["chat"]}.items() for x in pair])
     rows = spark.read.schema("case_id string, prompt string").json(f"{path}/cases").select(F.lit("cases").alias("part"), "case_id", "prompt")
     chat = spark.read.schema("case_id string, split string, messages array<struct<role:string,content:string>>").json(f"{path}/chat")
@@ -64,10 +66,12 @@ def export_package(spark, folder):
 @query("variant_folder", f"""WITH {views.CASES}, {SPLIT}
 SELECT split, count(*) AS n_rows FROM split_v WHERE split = 'test' OR NOT list_contains(tags, 'lang:es') GROUP BY split""")
 def variant_folder(spark, folder):
-    source, path = scratch_path(spark, "dataset"), scratch_path(spark, "variant")
-    datasets.build_dataset(spark, SourceSpec(path=written_cases(spark, folder)), source, SPEC)
+    files, source, path = written_cases(spark, folder), scratch_path(spark, "dataset"), scratch_path(spark, "variant")
+    datasets.build_dataset(spark, SourceSpec(path=files), source, SPEC)
+    removed(spark, files)
     schema = T.StructType([*schemas.CASE.fields, T.StructField("split", T.StringType())])
     manifest = packages.write_variant(spark, source, path, ["lang:es"], schema)
+    removed(spark, source)
     return spark.createDataFrame(sorted(manifest["counts"].items()), "split string, n_rows long")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import cases, splitting
+from corpuslab.sources import records
 
 SPLITS = ("train", "valid", "test")
 EXPORT_SPLITS = ("train", "validation", "test")
@@ -53,8 +54,8 @@ def write_dataset(
 
 def write_variant(spark: SparkSession, source_path: str, path: str, exclude: Sequence[str], schema) -> dict[str, Any]:
     """A dataset folder without the excluded tags in train and valid; the test split stays as it is."""
-    records = spark.read.schema(schema).json(f"{source_path}/records")
-    counts = _counted_write(splitting.split_variant(records, exclude), f"{path}/records", "split", SPLITS)
+    rows = spark.read.schema(schema).json(f"{source_path}/records")
+    counts = _counted_write(splitting.split_variant(rows, exclude), f"{path}/records", "split", SPLITS)
     manifest = read_manifest(spark, f"{source_path}/manifest")
     manifest |= {"output_dir": path, "variant_exclude_tags": sorted(set(exclude)), "counts": counts}
     write_manifest(spark, manifest, f"{path}/manifest")
@@ -65,10 +66,10 @@ def write_export(
     prepared: DataFrame, path: str, source: str, spec: splitting.SplitSpec,
     include: Sequence[str] = (), exclude: Sequence[str] = (), **card: Any,
 ) -> dict[str, Any]:
-    """Export package: ``cases`` unsplit, ``chat`` by split (valid renamed), and the package metadata."""
+    """Export package: ``cases`` unsplit, ``chat`` by split (valid renamed), both gzipped, and the package metadata."""
     spark = prepared.sparkSession
     export_records = cases.export_records(prepared)
-    export_records.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/cases")
+    records.write_records(export_records, f"{path}/cases", compression="gzip")
     chat = splitting.exact_split(cases.chat_records(prepared), spec)
     counts = _counted_write(export_split_names(chat), f"{path}/chat", "split", EXPORT_SPLITS)
     metadata = {

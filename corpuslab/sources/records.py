@@ -70,16 +70,16 @@ def _merged(df: DataFrame, but: Sequence[str]) -> Column:
     return F.when(F.size(others) > 0, F.concat(F.substring(known, F.lit(1), F.length(known) - 1), F.lit(","), more)).otherwise(known)
 
 
-def write_records(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_records(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", **options: str) -> None:
     """JSON lines, one file per task. ``path`` must be a new version, never one the frame reads from.
 
-    A column REST is not written as such: its fields are merged into their records.
+    A column REST is not written as such: its fields are merged into their records. ``options`` are the writer's, as ``compression``.
     """
     if REST in df.columns:
-        writer = df.select(_merged(df, partition_by).alias("value"), *partition_by).write.mode(mode)
+        writer = df.select(_merged(df, partition_by).alias("value"), *partition_by).write.mode(mode).options(**options)
         (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
         return
-    writer = df.write.mode(mode).option("ignoreNullFields", False)
+    writer = df.write.mode(mode).option("ignoreNullFields", False).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.json(path)

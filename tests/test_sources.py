@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import source_queries
 from corpuslab import schemas
 from corpuslab.operators import evaluation
 from corpuslab.operators.splitting import SplitSpec
@@ -165,6 +166,18 @@ def test_split_files_are_compressed(spark, tmp_path):
     assert sorted(back.collect()) == sorted(rows.collect())
 
 
+def test_packages_and_their_sources_take_little_disk(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpuslab.session.shared_dir", lambda _: str(tmp_path))
+    for name in ("dataset_folder", "export_package", "variant_folder"):
+        before = set(tmp_path.iterdir())
+        assert getattr(source_queries, name)(spark, tables).count() in (3, 4)
+        # What a query only read on its way is gone, what it made is there, and all records are compressed.
+        (left,) = set(tmp_path.iterdir()) - before
+        assert left.name.split("-")[0] == name.split("_")[0 if name != "export_package" else 1]
+        parts = [p for p in left.rglob("part-*") if p.parent.name != "manifest"]
+        assert parts and all(p.name.endswith(".json.gz") for p in parts)
+
+
 def test_payload_report(spark, tmp_path):
     def write(name, **body):
         (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
